@@ -13,12 +13,15 @@ from ..operators.splits import last_period
 from .gbt import GbtParams, Inputs, fit_gbt, predict, score_batch
 
 
-def direct_inputs(spec: FeatureSpec, keys) -> Inputs:
-    return Inputs((*spec.names, "horizon"), tuple(keys), "label", (*keys, "origin", "horizon"))
+def direct_inputs(spec: FeatureSpec, keys, categories=None) -> Inputs:
+    """Inputs of the direct model; ``categories`` are the keys it may split on."""
+    chosen = tuple(keys if categories is None else categories)
+    return Inputs((*spec.names, "horizon"), chosen, "label", (*keys, "origin", "horizon"))
 
 
-def step_inputs(spec: FeatureSpec, keys) -> Inputs:
-    return Inputs(tuple(spec.names), tuple(keys), "y", (*keys, "ds"))
+def step_inputs(spec: FeatureSpec, keys, categories=None) -> Inputs:
+    """Inputs of the one-step model; ``categories`` are the keys it may split on."""
+    return Inputs(tuple(spec.names), tuple(keys if categories is None else categories), spec.column, (*keys, "ds"))
 
 
 def horizon_table(panel: DataFrame, keys, horizons: int, grain: str, spec: FeatureSpec,
@@ -37,20 +40,21 @@ def horizon_table(panel: DataFrame, keys, horizons: int, grain: str, spec: Featu
 
 
 def forecast_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column,
-                    params: GbtParams = GbtParams()) -> tuple[DataFrame, PipelineModel]:
+                    params: GbtParams = GbtParams(), categories=None) -> tuple[DataFrame, PipelineModel]:
     """Forecast all horizons from ``origin`` with one model.
 
     ``table`` is a (stored) ``horizon_table``; the horizon is a feature. Only rows
     whose label is dated up to the origin are trained on.
     """
     known = table.filter((F.col("ds") <= origin) & F.col("label").isNotNull())
-    model = fit_gbt(known, direct_inputs(spec, keys), params)
+    model = fit_gbt(known, direct_inputs(spec, keys, categories), params)
     return score_batch(model, table.filter(F.col("origin") == origin), keys, "gbt_direct"), model
 
 
-def fit_step(panel: DataFrame, keys, spec: FeatureSpec, params: GbtParams = GbtParams()) -> PipelineModel:
+def fit_step(panel: DataFrame, keys, spec: FeatureSpec, params: GbtParams = GbtParams(),
+             categories=None) -> PipelineModel:
     """One-step model for recursive forecasts."""
-    return fit_gbt(drop_warmup(spec.from_panel(panel, keys), spec.names), step_inputs(spec, keys), params)
+    return fit_gbt(drop_warmup(spec.from_panel(panel, keys), spec.names), step_inputs(spec, keys, categories), params)
 
 
 def forecast_recursive(model: PipelineModel, panel: DataFrame, keys, horizons: int, grain: str, spec: FeatureSpec,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.errors import error_columns
 from .features import series_window
-from .running import same_keys
+from .joins import attach
 
 
 def metrics(df: DataFrame, by=()) -> DataFrame:
@@ -25,9 +25,7 @@ def mase(df: DataFrame, train: DataFrame, keys, season: int, by=()) -> DataFrame
     naive = train.select(*keys, F.abs(F.col("y") - F.lag("y", season).over(series_window(keys))).alias("_miss"))
     scale = naive.groupBy(*keys).agg(F.avg("_miss").alias("scale"))
     mae = df.groupBy(*keys, *extra).agg(F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("mae"))
-    joined = mae.join(scale, same_keys(mae, scale, keys), "left")
-    return joined.select(
-        *[mae[c] for c in (*keys, *extra)], "mae", "scale", F.try_divide("mae", "scale").alias("mase"))
+    return attach(mae, scale, keys, "left").withColumn("mase", F.try_divide("mae", "scale"))
 
 
 def metrics_cube(df: DataFrame, dims, always=("model",)) -> DataFrame:

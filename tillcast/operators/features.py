@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, fourier_columns
 from ..functions.periods import shift
-from .running import same_keys
+from .joins import attach
 
 ROLLING = {
     "mean": F.avg,
@@ -124,8 +124,7 @@ def target_encode_past(df: DataFrame, category, column: str = "y") -> DataFrame:
         F.try_divide(F.sum("_sum").over(before), F.sum("_count").over(before).cast("double"))
         .alias("_".join(category) + "_past_mean"),
     )
-    joined = df.join(encoded, same_keys(df, encoded, [*category, "ds"]), "left")
-    return joined.select(*[df[c] for c in df.columns], encoded["_".join(category) + "_past_mean"])
+    return attach(df, encoded, [*category, "ds"], "left")
 
 
 def fit_key_index(df: DataFrame, columns, max_categories: int = 1000):

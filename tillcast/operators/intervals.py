@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .running import pooled_quantiles, same_keys
+from .joins import attach
+from .running import pooled_quantiles
 
 
 def residual_interval(backtest: DataFrame, by, lo: float = 0.1, hi: float = 0.9, pooled: bool = False) -> DataFrame:
@@ -25,9 +26,8 @@ def residual_interval(backtest: DataFrame, by, lo: float = 0.1, hi: float = 0.9,
 
 def with_interval(forecasts: DataFrame, quantiles: DataFrame, by) -> DataFrame:
     """Add ``lo`` and ``hi``; groups without residuals get null limits."""
-    joined = forecasts.join(quantiles, same_keys(forecasts, quantiles, by), "left")
-    return joined.select(
-        *[forecasts[c] for c in forecasts.columns],
+    return attach(forecasts, quantiles, by, "left").select(
+        *forecasts.columns,
         (F.col("yhat") + F.col("q_lo")).alias("lo"),
         (F.col("yhat") + F.col("q_hi")).alias("hi"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import exact_sum
 from ..functions.periods import period_range, shift
-from .running import same_keys
+from .joins import attach
 
 
 def bottom_up(forecasts: DataFrame, parent: str = "region_key", child: str = "nation_key",
@@ -31,17 +31,16 @@ def top_down(parents: DataFrame, train: DataFrame, parent: str = "region_key", c
     """
     children = train.groupBy(parent, child).agg(exact_sum("y").alias("_y"))
     whole = children.groupBy(parent).agg(F.sum("_y").alias("_all"), F.count("*").alias("_n"))
-    shares = children.join(whole, same_keys(children, whole, [parent])).select(
-        children[parent].alias(parent), child,
+    shares = attach(children, whole, [parent]).select(
+        parent, child,
         F.coalesce(
             F.try_divide(F.col("_y").cast("double"), F.col("_all").cast("double")),
             F.lit(1.0) / F.col("_n"),
         ).alias("share"),
     )
-    joined = parents.join(shares, same_keys(parents, shares, [parent]))
     kept = [c for c in parents.columns if c not in ("yhat", child)]
-    return joined.select(
-        *[parents[c] for c in kept], shares[child], "share", (F.col("yhat") * F.col("share")).alias("yhat"))
+    return attach(parents.select(*kept, "yhat"), shares, [parent]).select(
+        *kept, child, "share", (F.col("yhat") * F.col("share")).alias("yhat"))
 
 
 def future_frame(panel: DataFrame, keys, horizon: int, grain: str, last: Column | None = None) -> DataFrame:
@@ -61,9 +60,8 @@ def actual_vs_forecast(actual: DataFrame, forecasts: DataFrame, keys) -> DataFra
     keys = [*keys, "ds"]
     left = actual.select(*keys, "y", F.lit(True).alias("_actual"))
     right = forecasts.select(*keys, "yhat", "lo", "hi", F.lit(True).alias("_forecast"))
-    joined = left.join(right, same_keys(left, right, keys), "full")
-    return joined.select(
-        *[F.coalesce(left[k], right[k]).alias(k) for k in keys],
+    return attach(left, right, keys, "full").select(
+        *keys,
         "y", "yhat", "lo", "hi",
         (F.col("y") - F.col("yhat")).alias("variance"),
         F.try_divide(F.col("y") - F.col("yhat"), F.col("yhat")).alias("variance_rate"),

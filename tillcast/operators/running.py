@@ -7,14 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys) -> Column:
-    """Join condition on ``keys`` under which null keys meet each other."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+from .joins import attach
 
 
 def running_totals(df: DataFrame, order_by, sums: dict[str, Column], partition_by=()) -> DataFrame:
@@ -46,9 +39,8 @@ def running_totals(df: DataFrame, order_by, sums: dict[str, Column], partition_b
     )
     inside = W.partitionBy("_piece", *groups).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
     summed = pieces.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_s_{n}") for n in names])
-    joined = summed.join(carried, same_keys(summed, carried, ["_piece", *groups]))
-    return joined.select(
-        *[summed[c] for c in df.columns],
+    return attach(summed, carried, ["_piece", *groups]).select(
+        *df.columns,
         *[(F.col(f"_s_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in names],
         *[f"{n}_total" for n in names],
     )
