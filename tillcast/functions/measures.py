@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,33 @@ def money(column) -> Column:
     return column.cast(MONEY)
 
 
-def net(gross: Column, discount: Column) -> Column:
-    """Revenue of one line: price less discount, tax excluded."""
-    return gross * (F.lit(1) - discount)
+def hundredths(df: DataFrame, column: str) -> Column:
+    """A column held at two decimals, as a whole number of hundredths.
+
+    Sums of whole numbers are exact like sums of decimals and several times
+    cheaper, so the large facts are added up this way.
+    """
+    if dict(df.dtypes)[column].startswith("decimal"):
+        return (money(column) * 100).cast("bigint")
+    return F.rint(F.col(column) * 100).cast("bigint")
+
+
+def net_units(gross: Column, discount: Column) -> Column:
+    """Net revenue in ten-thousandths, from hundredths of price and discount.
+
+    Held as a decimal so that its sum cannot overflow in a group of any size.
+    """
+    return (gross * (F.lit(100) - discount)).cast("decimal(20,0)")
+
+
+def from_units(total: Column, decimals: int) -> Column:
+    """A sum of whole units as an amount with ``decimals`` decimals."""
+    return total.cast("decimal(30,0)") * F.lit(Decimal(1).scaleb(-decimals))
 
 
 def with_revenue(df: DataFrame) -> DataFrame:
     """Add ``revenue``, the exact net amount of each sales line."""
-    return df.withColumn("revenue", net(money("gross"), money("discount")))
+    return df.withColumn("revenue", money("gross") * (F.lit(1) - money("discount")))
 
 
 def exact_sum(column) -> Column:

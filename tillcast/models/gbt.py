@@ -75,10 +75,14 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
         *inputs.identity, *[c for c in (*inputs.categorical, *inputs.numeric) if c not in inputs.identity],
         F.col(inputs.label).cast("double").alias("_label"), "_valid",
     )
+    counts = rows.agg(
+        F.count("*").alias("_rows"), *[F.approx_count_distinct(c).alias(c) for c in inputs.categorical],
+    ).first().asDict()
+    row_count = counts.pop("_rows")
     stages = []
     bins = params.bins
     if inputs.categorical:
-        index = fit_key_index(train, inputs.categorical, inputs.max_categories)
+        index = fit_key_index(train, inputs.categorical, inputs.max_categories, counts)
         bins = max(bins, *[len(labels) + 1 for labels in index.labelsArray])
         stages.append(index)
     stages.append(VectorAssembler(inputCols=inputs.assembled, outputCol="features"))
@@ -86,7 +90,7 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
     for stage in stages:
         assembled = stage.transform(assembled)
     if tasks is None:
-        tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
+        tasks = max(1, -(-row_count // ROWS_PER_TASK))
     laid_out = fixed_layout(assembled.select(*inputs.identity, "features", "_label", "_valid"), inputs.identity, tasks)
     laid_out = laid_out.select("features", "_label", "_valid").persist(StorageLevel.MEMORY_AND_DISK)
     trainer = GBTRegressor(

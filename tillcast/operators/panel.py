@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.measures import exact_sum, net, with_revenue
+from ..functions.measures import exact_sum, from_units, money, with_revenue
 from ..functions.periods import period_range, period_start, shift
-from ..sources.sales import CUSTOMER_COLUMNS, LINE_COLUMNS, SalesTables, line_side, order_side
+from ..sources.sales import CUSTOMER_COLUMNS, LINE_COLUMNS, SalesTables, order_amounts, order_side
 from .running import running_totals
 
 MEASURES = ("y", "units", "n_orders", "avg_discount")
@@ -18,34 +18,26 @@ ADI_CUT = 1.32
 CV2_CUT = 0.49
 
 
-def _panel_columns(keys, revenue, units, orders, discounts, lines) -> list[Column]:
+def _panel_columns(revenue: Column, units: Column, orders: Column, discounts: Column, lines: Column) -> list[Column]:
     return [
-        *keys,
-        "ds",
         revenue.cast("double").alias("y"),
         units.cast("double").alias("units"),
-        orders.cast("bigint").alias("n_orders"),
-        (discounts.cast("double") / lines.cast("double")).alias("avg_discount"),
+        orders.alias("n_orders"),
+        F.try_divide(discounts.cast("double"), lines.cast("double")).alias("avg_discount"),
     ]
 
 
 def revenue_by_period(sales: DataFrame, keys, grain: str) -> DataFrame:
     """Revenue, units, orders and mean discount per series and period."""
-    keys = list(keys)
-    grouped = (
+    return (
         with_revenue(sales)
         .withColumn("ds", period_start(F.col("ds"), grain))
         .groupBy(*keys, "ds")
-        .agg(
-            F.sum("revenue").alias("_revenue"),
-            F.sum(F.col("qty").cast("decimal(18,2)")).alias("_units"),
-            F.count_distinct("order_key").alias("_orders"),
-            F.sum("discount").alias("_discounts"),
-            F.count("discount").alias("_lines"),
-        )
+        .agg(*_panel_columns(
+            F.sum("revenue"), F.sum(money("qty")), F.count_distinct("order_key"),
+            F.sum("discount"), F.count("discount"),
+        ))
     )
-    return grouped.select(*_panel_columns(
-        keys, *[F.col(c) for c in ("_revenue", "_units", "_orders", "_discounts", "_lines")]))
 
 
 def revenue_panel(tables: SalesTables, keys, grain: str, exclude_returns: bool = False,
@@ -57,38 +49,22 @@ def revenue_panel(tables: SalesTables, keys, grain: str, exclude_returns: bool =
     per task, and leaves one row per order and series, so orders are counted
     without a distinct. ``bounds`` keeps only the periods between the two.
     """
-    keys = list(keys)
     on_lines = [k for k in keys if k in LINE_COLUMNS]
     on_orders = [k for k in keys if k not in LINE_COLUMNS]
     unknown = set(on_orders) - {*CUSTOMER_COLUMNS, "customer_key"}
     if unknown:
         raise ValueError(f"unknown series keys: {sorted(unknown)}")
-    per_order = (
-        line_side(tables, on_lines, exclude_returns)
-        .withColumn("revenue", net(F.col("gross"), F.col("discount")))
-        .groupBy("order_key", *on_lines)
-        .agg(
-            F.sum("revenue").alias("_revenue"),
-            F.sum(F.col("qty").cast("decimal(18,2)")).alias("_units"),
-            F.sum("discount").alias("_discounts"),
-            F.count("discount").alias("_lines"),
-        )
-    )
     since, until = (bounds[0], shift(bounds[1], 1, grain)) if bounds else (None, None)
     orders = order_side(tables, on_orders, since, until).withColumn("ds", period_start(F.col("ds"), grain))
-    grouped = (
-        per_order.join(orders, "order_key")
+    return (
+        order_amounts(tables, on_lines, exclude_returns)
+        .join(orders, "order_key")
         .groupBy(*keys, "ds")
-        .agg(
-            exact_sum("_revenue").alias("_revenue"),
-            F.sum("_units").alias("_units"),
-            F.count("*").alias("_orders"),
-            F.sum("_discounts").alias("_discounts"),
-            F.sum("_lines").alias("_lines"),
-        )
+        .agg(*_panel_columns(
+            from_units(F.sum("net"), 4), from_units(F.sum("units"), 2), F.count("*"),
+            from_units(F.sum("discounts"), 2), F.sum("lines"),
+        ))
     )
-    return grouped.select(*_panel_columns(
-        keys, *[F.col(c) for c in ("_revenue", "_units", "_orders", "_discounts", "_lines")]))
 
 
 def densify(panel: DataFrame, keys, grain: str, bounds: tuple[Column, Column] | None = None) -> DataFrame:

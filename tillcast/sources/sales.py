@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.measures import money
+from ..functions.measures import hundredths, money, net_units
 
 SALES_SCHEMA = T.StructType([
     T.StructField("ds", T.DateType()),
@@ -83,12 +83,20 @@ def order_side(tables: SalesTables, columns, since: Column | None = None, until:
     return orders.select(*kept)
 
 
+def _with_brand(lines: DataFrame, tables: SalesTables, columns) -> DataFrame:
+    if "brand" in set(columns):
+        part = tables.part.select(F.col("p_partkey").alias("part_key"), F.col("p_brand").alias("brand"))
+        lines = lines.join(part, "part_key", "left")
+    return lines.drop("part_key")
+
+
+def _raw_lines(tables: SalesTables, exclude_returns: bool) -> DataFrame:
+    return tables.lineitem.filter(F.col("l_returnflag") != "R") if exclude_returns else tables.lineitem
+
+
 def line_side(tables: SalesTables, columns, exclude_returns: bool = False) -> DataFrame:
     """One row per line with exact prices, and the brand only if asked for."""
-    lines = tables.lineitem
-    if exclude_returns:
-        lines = lines.filter(F.col("l_returnflag") != "R")
-    lines = lines.select(
+    lines = _raw_lines(tables, exclude_returns).select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_partkey").alias("part_key"),
         F.col("l_quantity").alias("qty"),
@@ -96,10 +104,29 @@ def line_side(tables: SalesTables, columns, exclude_returns: bool = False) -> Da
         money("l_discount").alias("discount"),
         (F.col("l_returnflag") == "R").alias("returned"),
     )
-    if "brand" in set(columns):
-        part = tables.part.select(F.col("p_partkey").alias("part_key"), F.col("p_brand").alias("brand"))
-        lines = lines.join(part, "part_key", "left")
-    return lines.drop("part_key")
+    return _with_brand(lines, tables, columns)
+
+
+def order_amounts(tables: SalesTables, keys=(), exclude_returns: bool = False) -> DataFrame:
+    """Lines added up per order and ``keys`` (brand, or none).
+
+    ``net`` is in ten-thousandths; ``units`` and ``discounts`` are in hundredths;
+    ``lines`` counts the lines.
+    """
+    raw = _raw_lines(tables, exclude_returns)
+    lines = raw.select(
+        F.col("l_orderkey").alias("order_key"),
+        F.col("l_partkey").alias("part_key"),
+        hundredths(raw, "l_quantity").alias("units"),
+        hundredths(raw, "l_extendedprice").alias("gross"),
+        hundredths(raw, "l_discount").alias("discount"),
+    )
+    return _with_brand(lines, tables, keys).groupBy("order_key", *keys).agg(
+        F.sum(net_units(F.col("gross"), F.col("discount"))).alias("net"),
+        F.sum("units").alias("units"),
+        F.sum("discount").alias("discounts"),
+        F.count("discount").alias("lines"),
+    )
 
 
 def sales_lines(tables: SalesTables, exclude_returns: bool = False, columns=None,
