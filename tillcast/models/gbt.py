@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass, field, replace
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.errors import error_columns
 from ..operators.features import fit_key_index
 from ..operators.running import running_totals
+from ..session import side_by_side
 
 ROWS_PER_TASK = 200_000
 
@@ -189,8 +189,8 @@ def tune_gbt(folds, inputs: Inputs, grid: list[GbtParams], parallelism: int = 2)
     """Score every setting on every time fold.
 
     ``folds`` are pairs of train and test rows (random folds would leak the
-    future). Fits run ``parallelism`` at a time, as single fits leave a cluster
-    idle between their short jobs; scoring is one job over all of them.
+    future). Fits run ``parallelism`` at a time; scoring is one job over all of
+    them.
     """
     folds = list(folds)
     spark = folds[0][0].sparkSession
@@ -200,8 +200,7 @@ def tune_gbt(folds, inputs: Inputs, grid: list[GbtParams], parallelism: int = 2)
         return setting, fold, fit_gbt(folds[fold][0], inputs, grid[setting])
 
     tasks = [(s, f) for s in range(len(grid)) for f in range(len(folds))]
-    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-        fitted = pool.map(inheritable_thread_target(spark)(fit), tasks)
+    fitted = side_by_side(spark, fit, tasks, parallelism)
     scored = None
     for setting, fold, model in fitted:
         params = grid[setting]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from ..functions.periods import shift
 from ..operators.features import FeatureSpec, drop_warmup, horizon_labels
 from ..operators.reconcile import future_frame
 from ..operators.splits import last_period
+from ..session import side_by_side
 from .gbt import GbtParams, Inputs, fit_gbt, predict, score_batch
 
 
@@ -39,18 +42,40 @@ def horizon_table(panel: DataFrame, keys, horizons: int, grain: str, spec: Featu
     return drop_warmup(rows, spec.past)
 
 
-def forecast_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column,
-                    params: GbtParams = GbtParams(), categories=None) -> tuple[DataFrame, PipelineModel]:
-    """Forecast all horizons from ``origin`` with one model.
+def fit_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column, params: GbtParams = GbtParams(),
+               categories=None) -> PipelineModel:
+    """One model for all horizons, from rows whose label is dated up to ``origin``.
 
-    ``table`` is a (stored) ``horizon_table``; the horizon is a feature. Only rows
-    whose label is dated up to the origin are trained on.
+    ``table`` is a (stored) ``horizon_table``; the horizon is a feature.
     """
     known = table.filter((F.col("ds") <= origin) & F.col("label").isNotNull())
-    model = fit_gbt(known, direct_inputs(spec, keys, categories), params)
+    return fit_gbt(known, direct_inputs(spec, keys, categories), params)
+
+
+def forecast_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column,
+                    params: GbtParams = GbtParams(), categories=None) -> tuple[DataFrame, PipelineModel]:
+    """Forecast all horizons from ``origin`` with one model fitted up to it."""
+    model = fit_direct(table, keys, spec, origin, params, categories)
     return score_batch(model, table.filter(F.col("origin") == origin), keys, "gbt_direct"), model
 
 
+def backtest_direct(table: DataFrame, keys, spec: FeatureSpec, folds: dict[int, Column],
+                    params: GbtParams = GbtParams(), categories=None, parallelism: int = 3) -> DataFrame:
+    """Direct forecasts from each fold's origin, with the actual values as ``y``.
+
+    A fold is a date filter on ``table``. Folds are fitted side by side.
+    """
+    def scored(fold: int) -> DataFrame:
+        model = fit_direct(table, keys, spec, folds[fold], params, categories)
+        rows = predict(model, table.filter(F.col("origin") == folds[fold]))
+        return rows.select(
+            *keys, F.lit(fold).alias("fold"), "origin", "ds", "horizon", F.lit("gbt_direct").alias("model"),
+            F.col("label").alias("y"), "yhat",
+        )
+
+    return reduce(DataFrame.unionByName, side_by_side(table.sparkSession, scored, folds, parallelism))
+
+
 def fit_step(panel: DataFrame, keys, spec: FeatureSpec, params: GbtParams = GbtParams(),
              categories=None) -> PipelineModel:
     """One-step model for recursive forecasts."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import periods_between
 from ..models.gbt import GbtParams, Inputs, fit_gbt, predict
-from ..models.horizons import forecast_direct, horizon_table
+from ..models.horizons import backtest_direct, horizon_table
 from ..operators.baselines import BASELINES, baseline_forecasts
 from ..operators.evaluate import metrics
 from ..operators.features import FeatureSpec, drop_warmup
@@ -33,33 +33,29 @@ def backtest_baselines(panel: DataFrame, keys, grain: str, n: int, horizon: int,
     return rows.select(*keys, fold.alias("fold"), "origin", "ds", "horizon", "model", "y", "yhat")
 
 
+def fold_origins(table: DataFrame, n: int, horizon: int, step: int, grain: str) -> dict[int, Column]:
+    """Origins of the folds of a stored ``horizon_table``, as literal dates."""
+    last = F.lit(table.agg(F.max("origin").alias("last")).first()["last"])
+    return {fold: fold_origin(last, fold, n, horizon, step, 0, grain) for fold in range(1, n + 1)}
+
+
 def backtest_gbt(panel: DataFrame, keys, grain: str, n: int, horizon: int, step: int, spec: FeatureSpec,
-                 params: GbtParams = GbtParams(), last: Column | None = None) -> DataFrame:
+                 params: GbtParams = GbtParams(), last: Column | None = None, categories=None) -> DataFrame:
     """Forecasts of the boosted model, fitted anew for every fold.
 
-    The table of all origins and horizons is built and stored once; a fold is a
-    date filter on it.
+    The table of all origins and horizons is built and stored once.
     """
-    last = last_period(panel) if last is None else last
     table = materialize(horizon_table(panel, keys, horizon, grain, spec, last))
-    end = F.lit(table.agg(F.max(F.when(F.col("label").isNotNull(), F.col("ds"))).alias("e")).first()["e"])
-    result = None
-    for fold in range(1, n + 1):
-        origin = fold_origin(end, fold, n, horizon, step, 0, grain)
-        rows, _ = forecast_direct(table, keys, spec, origin, params)
-        rows = rows.withColumn("fold", F.lit(fold))
-        result = rows if result is None else result.unionByName(rows)
-    actual = panel.select(*keys, "ds", "y")
-    joined = result.join(actual, [*keys, "ds"], "left")
-    return joined.select(*keys, "fold", "origin", "ds", "horizon", "model", "y", "yhat")
+    folds = fold_origins(table, n, horizon, step, grain)
+    return backtest_direct(table, keys, spec, folds, params, categories)
 
 
 def backtest(panel: DataFrame, keys, grain: str, n: int = 3, horizon: int = 12, step: int = 1, season: int = 12,
              width: int = 12, spec: FeatureSpec = FeatureSpec(), params: GbtParams = GbtParams(),
-             last: Column | None = None) -> DataFrame:
+             last: Column | None = None, categories=None) -> DataFrame:
     """Actual and forecast of all models on all folds, one row each."""
     baselines = backtest_baselines(panel, keys, grain, n, horizon, step, season, width, last)
-    return baselines.unionByName(backtest_gbt(panel, keys, grain, n, horizon, step, spec, params, last))
+    return baselines.unionByName(backtest_gbt(panel, keys, grain, n, horizon, step, spec, params, last, categories))
 
 
 def next_value_comparison(tables: SalesTables, keys, grain: str = "month", horizon: int = 12,

@@ -6,26 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..models.gbt import GbtParams
-from ..models.horizons import forecast_direct, horizon_table
+from ..models.horizons import backtest_direct, horizon_table
 from ..operators.features import FeatureSpec
 from ..operators.intervals import residual_interval, with_interval
-from ..operators.splits import last_period
 from ..session import materialize
-from .backtest import backtest_gbt
+from .backtest import fold_origins
 
 
 def forecast_revenue(panel: DataFrame, keys, grain: str, horizon: int = 12, folds: int = 2,
                      spec: FeatureSpec = FeatureSpec(), params: GbtParams = GbtParams(),
-                     lo: float = 0.1, hi: float = 0.9, last: Column | None = None) -> DataFrame:
+                     lo: float = 0.1, hi: float = 0.9, last: Column | None = None, categories=None) -> DataFrame:
     """Rows of the ``forecasts`` table for the ``horizon`` periods after the panel.
 
     The limits come from backtest residuals, pooled over series per horizon: a
-    single series has too few folds for quantiles of its own.
+    single series has too few folds for quantiles of its own. The final model and
+    those of the folds read the same stored table and are fitted side by side;
+    fold 0 is the final one, which has no actual values yet.
     """
-    panel = materialize(panel)
-    last = last_period(panel) if last is None else last
     table = materialize(horizon_table(panel, keys, horizon, grain, spec, last))
-    rows, _ = forecast_direct(table, keys, spec, F.lit(panel.agg(F.max("ds").alias("e")).first()["e"]), params)
-    past = backtest_gbt(panel, keys, grain, folds, horizon, horizon, spec, params, last)
-    limits = residual_interval(past, ["horizon"], lo, hi, pooled=True)
-    return with_interval(rows.drop("lo", "hi"), limits, ["horizon"])
+    origins = fold_origins(table, folds, horizon, horizon, grain)
+    final = F.lit(table.agg(F.max("origin").alias("last")).first()["last"])
+    rows = materialize(backtest_direct(table, keys, spec, {0: final, **origins}, params, categories))
+    limits = residual_interval(rows.filter(F.col("fold") > 0), ["horizon"], lo, hi, pooled=True)
+    return with_interval(rows.filter(F.col("fold") == 0).drop("fold", "y"), limits, ["horizon"])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are written for. Only the join skew and partition sizing
@@ -59,3 +61,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(spark: SparkSession, job, items, parallelism: int) -> list:
+    """Results of ``job`` on each item, up to ``parallelism`` at a time.
+
+    Model fits are chains of short Spark jobs that leave a cluster waiting for
+    the driver; independent fits fill the gaps.
+    """
+    items = list(items)
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(job), items)
