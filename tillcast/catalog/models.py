@@ -14,11 +14,11 @@ from ..models import horizons as H
 from ..operators.features import FeatureSpec, drop_warmup
 from ..operators.splits import fold_origin, fold_rows, holdout
 from ..plans.backtest import backtest as run_backtest
-from ..plans.backtest import next_value_comparison
+from ..plans.backtest import backtest_gbt, next_value_comparison
 from ..plans.forecast import forecast_revenue as run_forecast
 from ..session import materialize, new_path
 from ..sources.sales import read_tables
-from .base import PANEL, last_month, nation_panel, query, rounded
+from .base import ERROR_PLACES, ERRORS, PANEL, last_month, nation_panel, query, rounded
 
 K = ["nation_key"]
 SPEC = FeatureSpec()
@@ -28,22 +28,29 @@ LAG_ONLY = FeatureSpec(lags=(1,), means=(), calendar=())
 INPUTS = M.Inputs(tuple(SPEC.names), tuple(K), "y", (*K, "ds"))
 
 
-def _splits_sql(name: str, rows: str, features: str, label: str) -> str:
-    """CTEs for the split that explains most of ``label``: ``<name>`` has the
-    feature, the threshold between two values and the means on both sides."""
+def _splits_sql(name: str, rows: str, features: str, label: str, by: str = "") -> str:
+    """CTEs for the split that explains most of ``label`` (within each ``by``):
+    ``<name>`` has the feature, the threshold between two values, the means on
+    both sides and the reduction of squared error."""
+    by = f"{by}, " if by else ""
     per_feature = "\nUNION ALL ".join(
-        f"SELECT '{f.strip()}' AS feature, CAST({f} AS DOUBLE) AS v, count(*) AS n, sum({label}) AS s FROM {rows} GROUP BY ALL"
-        for f in features.split(","))
+        f"SELECT {by}'{f}' AS feature, CAST({f} AS DOUBLE) AS v, count(*) AS n, sum({label}) AS s FROM {rows} GROUP BY ALL"
+        for f in features.split(", "))
+    gain = ("s_left * s_left / n_left + (s_all - s_left) * (s_all - s_left) / (n_all - n_left) - s_all * s_all / n_all")
     return f"""{name}_values AS ({per_feature}),
 {name}_sums AS (
-  SELECT feature, v, lead(v) OVER o AS next_v, sum(n) OVER o AS n_left, sum(s) OVER o AS s_left,
-    sum(n) OVER (PARTITION BY feature) AS n_all, sum(s) OVER (PARTITION BY feature) AS s_all
-  FROM {name}_values WINDOW o AS (PARTITION BY feature ORDER BY v)),
+  SELECT {by}feature, v, lead(v) OVER o AS next_v, sum(n) OVER o AS n_left, sum(s) OVER o AS s_left,
+    sum(n) OVER (PARTITION BY {by}feature) AS n_all, sum(s) OVER (PARTITION BY {by}feature) AS s_all
+  FROM {name}_values WINDOW o AS (PARTITION BY {by}feature ORDER BY v)),
 {name} AS (
-  SELECT feature, (v + next_v) / 2 AS threshold, s_left / n_left AS left_mean,
-    (s_all - s_left) / (n_all - n_left) AS right_mean
+  SELECT {by}feature, (v + next_v) / 2 AS threshold, s_left / n_left AS left_mean,
+    (s_all - s_left) / (n_all - n_left) AS right_mean, {gain} AS gain
   FROM {name}_sums WHERE n_left < n_all
-  ORDER BY s_left * s_left / n_left + (s_all - s_left) * (s_all - s_left) / (n_all - n_left) DESC, feature, v LIMIT 1)"""
+  QUALIFY row_number() OVER ({f"PARTITION BY {by[:-2]} " if by else ""}ORDER BY gain DESC, feature, v) = 1)"""
+
+
+def _leaf(value: str) -> str:
+    return f"CASE WHEN {value} <= threshold THEN left_mean ELSE right_mean END"
 
 
 def _features(spark, path, spec=SPEC):
@@ -103,10 +110,6 @@ def direct_stump(spark, path):
     return rounded(rows.drop("lo", "hi"), {"yhat": 2})
 
 
-def _leaf(value: str) -> str:
-    return f"CASE WHEN {value} <= threshold THEN left_mean ELSE right_mean END"
-
-
 @query("recursive_stump", f"""{PANEL},
 pairs AS (
   SELECT o.y AS y_lag_1, t.y AS label FROM panel o
@@ -127,6 +130,160 @@ def recursive_stump(spark, path):
     return rounded(rows.drop("lo", "hi"), {"yhat": 2})
 
 
+# Series rows with the features of the small models, and the last year's start.
+_KNOWN = f"""{PANEL},
+known AS (
+  SELECT nation_key, ds, y, CAST(month(ds) AS INTEGER) AS month, lag(y, 1) OVER o AS y_lag_1, lag(y, 12) OVER o AS y_lag_12
+  FROM panel WINDOW o AS (PARTITION BY nation_key ORDER BY ds)),
+cut AS (SELECT CAST(last_ds - INTERVAL 12 MONTH AS DATE) AS cut_ds FROM bounds)"""
+
+
+@query("stump_comparison", f"""{_KNOWN},
+train AS (SELECT known.* FROM known, cut WHERE ds <= cut_ds AND y_lag_12 IS NOT NULL),
+{_splits_sql('best', 'train', 'y_lag_1, y_lag_12', 'y')},
+scored AS (
+  SELECT 'gbt' AS model, y, CASE WHEN (CASE WHEN feature = 'y_lag_1' THEN y_lag_1 ELSE y_lag_12 END) <= threshold
+    THEN left_mean ELSE right_mean END AS yhat FROM known, cut, best WHERE ds > cut_ds
+  UNION ALL SELECT 'seasonal_naive', y, y_lag_12 FROM known, cut WHERE ds > cut_ds)
+SELECT model, {ERRORS} FROM scored GROUP BY model""")
+def stump_comparison(spark, path):
+    spec = FeatureSpec(lags=(1, 12), means=(), calendar=())
+    out = next_value_comparison(read_tables(spark, path), K, spec=spec, params=STUMP, categories=())
+    return rounded(out, ERROR_PLACES)
+
+
+@query("log_stump", f"""{_KNOWN},
+logs AS (SELECT *, ln(1 + y) AS log_y FROM known WHERE y_lag_1 IS NOT NULL),
+{_splits_sql('best', 'logs', 'y_lag_1', 'log_y')}
+SELECT nation_key, ds, y, round(greatest(exp({_leaf('y_lag_1')}) - 1, 0), 2) AS yhat FROM logs, best""")
+def log_stump(spark, path):
+    rows = materialize(_features(spark, path, LAG_ONLY).withColumn("log_y", M.log_target()))
+    model = M.fit_gbt(rows, M.Inputs(("y_lag_1",), (), "log_y", (*K, "ds")), STUMP)
+    return rounded(M.predict(model, rows).select("nation_key", "ds", "y", M.unlog().alias("yhat")), {"yhat": 2})
+
+
+@query("stump_importance", f"""{_KNOWN},
+rows_in AS (SELECT * FROM known WHERE y_lag_1 IS NOT NULL),
+{_splits_sql('first', 'rows_in', 'month, y_lag_1', 'y')},
+residuals AS (
+  SELECT r.*, 2 * (y - CASE WHEN (CASE feature WHEN 'month' THEN month ELSE y_lag_1 END) <= threshold
+    THEN left_mean ELSE right_mean END) AS e FROM rows_in r, first),
+{_splits_sql('second', 'residuals', 'month, y_lag_1', 'e')},
+weights AS (
+  SELECT f.feature, coalesce(sum(w), 0) / (SELECT sum(gain * weight) FROM
+    (SELECT gain, 1.0 AS weight FROM first UNION ALL SELECT gain, 0.1 FROM second)) AS importance
+  FROM (SELECT unnest(['month', 'y_lag_1']) AS feature) f
+  LEFT JOIN (SELECT feature, gain AS w FROM first UNION ALL SELECT feature, 0.1 * gain FROM second) g USING (feature)
+  GROUP BY f.feature)
+SELECT feature, round(importance, 8) AS importance,
+  CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS position FROM weights""")
+def stump_importance(spark, path):
+    rows = _features(spark, path, FeatureSpec(lags=(1,), means=(), calendar=("month",)))
+    model = M.fit_gbt(rows, M.Inputs(("month", "y_lag_1"), (), "y", (*K, "ds")), M.GbtParams(2, 1, 0.1, 2048))
+    return rounded(M.feature_importance(model, spark), {"importance": 8})
+
+
+# Two rounds of one split on the month: after the second round the validation
+# error must have gained one percent, or only the first tree is kept.
+@query("early_stop_stump", f"""{_KNOWN},
+train AS (SELECT known.* FROM known, cut WHERE ds <= cut_ds),
+{_splits_sql('first', 'train', 'month', 'y')},
+residuals AS (SELECT train.*, 2 * (y - {_leaf('month')}) AS e FROM train, first),
+{_splits_sql('second', 'residuals', 'month', 'e')},
+once AS (SELECT known.nation_key, known.ds, known.month, y, {_leaf('month')} AS f1 FROM known, first),
+twice AS (SELECT nation_key, ds, y, f1, f1 + 0.1 * {_leaf('month')} AS f2 FROM once, second),
+errors AS (
+  SELECT avg((y - f1) * (y - f1)) AS e1, avg((y - f2) * (y - f2)) AS e2 FROM twice, cut WHERE ds > cut_ds),
+kept AS (SELECT CASE WHEN e1 - e2 < 0.01 * greatest(e2, 0.01) THEN 1 ELSE 2 END AS trees FROM errors)
+SELECT nation_key, ds, y, round(CASE trees WHEN 1 THEN f1 ELSE f2 END, 2) AS yhat, trees FROM twice, kept""")
+def early_stop_stump(spark, path):
+    panel = nation_panel(spark, path).select("nation_key", "ds", F.month("ds").alias("month"), "y")
+    train, valid = holdout(panel, 12, "month", last_month(spark, path))
+    model = M.early_stop(train, valid, M.Inputs(("month",), (), "y", (*K, "ds")), M.GbtParams(2, 1, 0.1))
+    scored = M.predict(model, panel).drop("month").withColumn("trees", F.lit(M.tree_count(model)))
+    return rounded(scored, {"yhat": 2})
+
+
+_TUNED = f"""{_KNOWN},
+folds AS (
+  SELECT fold, CAST(last_ds - to_months(CAST(6 + (2 - fold) * 6 AS INTEGER)) AS DATE) AS origin
+  FROM bounds, (SELECT CAST(unnest(range(1, 3)) AS INTEGER) AS fold)),
+train AS (SELECT known.*, fold FROM known JOIN folds ON ds <= origin),
+{_splits_sql('first', 'train', 'month', 'y', 'fold')},
+residuals AS (SELECT train.*, 2 * (y - {_leaf('month')}) AS e FROM train JOIN first USING (fold)),
+{_splits_sql('second', 'residuals', 'month', 'e', 'fold')},
+tests AS (
+  SELECT known.*, fold FROM known JOIN folds ON ds > origin AND ds <= origin + INTERVAL 6 MONTH),
+once AS (SELECT fold, month, y, {_leaf('month')} AS f1 FROM tests JOIN first USING (fold)),
+scored AS (
+  SELECT fold, setting, CAST(step AS DOUBLE) AS step, y, f1 + step * {_leaf('month')} AS yhat
+  FROM once JOIN second USING (fold), (VALUES (0, 0.1), (1, 0.5)) AS grid(setting, step)),
+scores AS (
+  SELECT CAST(setting AS INTEGER) AS setting, fold, 2 AS trees, 1 AS depth, step, {ERRORS},
+    sum(abs(yhat - y)) / sum(abs(y)) AS raw_wape
+  FROM scored GROUP BY ALL)"""
+
+
+def _tune_stumps(spark, path):
+    panel = nation_panel(spark, path).select("nation_key", "ds", F.month("ds").alias("month"), "y")
+    rows, last = materialize(panel), last_month(spark, path)
+    folds = [fold_rows(rows, fold_origin(last, f, 2, 6, 6, 0, "month"), 6, 0, "month") for f in (1, 2)]
+    grid = M.param_grid(M.GbtParams(2, 1), step=[0.1, 0.5])
+    return M.tune_gbt(folds, M.Inputs(("month",), (), "y", (*K, "ds")), grid)
+
+
+@query("tune_stumps", f"{_TUNED} SELECT * EXCLUDE (raw_wape) FROM scores")
+def tune_stumps(spark, path):
+    return rounded(_tune_stumps(spark, path), ERROR_PLACES)
+
+
+@query("tuned_stump", f"""{_TUNED}
+SELECT setting, trees, depth, step, round(avg(raw_wape), 8) AS wape FROM scores
+GROUP BY setting, trees, depth, step ORDER BY avg(raw_wape), setting LIMIT 1""")
+def tuned_stump(spark, path):
+    return rounded(M.best_setting(_tune_stumps(spark, path)), {"wape": 8})
+
+
+def _direct_folds_sql(horizon: int, folds: str) -> str:
+    """CTE ``direct``: stump forecasts of every fold, with the actual values."""
+    return f"""{PANEL},
+steps AS (SELECT CAST(unnest(range(1, {horizon + 1})) AS INTEGER) AS horizon),
+cells AS (
+  SELECT o.nation_key, o.ds AS origin, horizon, CAST(o.ds + to_months(horizon) AS DATE) AS ds, o.y AS y_lag_1, t.y AS label
+  FROM panel o CROSS JOIN steps
+  LEFT JOIN panel t ON t.nation_key = o.nation_key AND t.ds = CAST(o.ds + to_months(horizon) AS DATE)),
+folds AS (
+  SELECT fold, CAST(last_ds - to_months(CAST(behind AS INTEGER)) AS DATE) AS fold_origin
+  FROM bounds, (VALUES {folds}) AS f(fold, behind)),
+train AS (SELECT cells.*, fold FROM cells JOIN folds ON ds <= fold_origin WHERE label IS NOT NULL),
+{_splits_sql('best', 'train', 'y_lag_1, horizon', 'label', 'fold')},
+direct AS (
+  SELECT nation_key, CAST(fold AS INTEGER) AS fold, origin, ds, horizon, 'gbt_direct' AS model, label AS y,
+    CASE WHEN (CASE feature WHEN 'y_lag_1' THEN y_lag_1 ELSE horizon END) <= threshold
+      THEN left_mean ELSE right_mean END AS yhat
+  FROM cells JOIN folds ON origin = fold_origin JOIN best USING (fold))"""
+
+
+@query("backtest_stump", f"""{_direct_folds_sql(6, '(1, 12), (2, 6)')}
+SELECT nation_key, fold, origin, ds, horizon, model, y, round(yhat, 2) AS yhat FROM direct""")
+def backtest_stump(spark, path):
+    rows = backtest_gbt(nation_panel(spark, path), K, "month", 2, 6, 6, LAG_ONLY, STUMP, last_month(spark, path), ())
+    return rounded(rows, {"yhat": 2})
+
+
+@query("forecast_stump", f"""{_direct_folds_sql(3, '(0, 0), (1, 6), (2, 3)')},
+limits AS (
+  SELECT horizon, quantile_cont(y - yhat, 0.1) AS q_lo, quantile_cont(y - yhat, 0.9) AS q_hi
+  FROM direct WHERE fold > 0 GROUP BY horizon)
+SELECT nation_key, origin, ds, horizon, model, round(yhat, 2) AS yhat, round(yhat + q_lo, 2) AS lo,
+  round(yhat + q_hi, 2) AS hi FROM direct LEFT JOIN limits USING (horizon) WHERE fold = 0""")
+def forecast_stump(spark, path):
+    """The whole forecasting job with models of a single split."""
+    out = run_forecast(nation_panel(spark, path), K, "month", 3, 2, LAG_ONLY, STUMP, last=last_month(spark, path),
+                       categories=())
+    return rounded(out, {"yhat": 2, "lo": 2, "hi": 2})
+
+
 @query("next_value_comparison")
 def comparison(spark, path):
     return next_value_comparison(read_tables(spark, path), K)

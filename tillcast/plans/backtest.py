@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import periods_between
-from ..models.gbt import GbtParams, Inputs, fit_gbt, predict
-from ..models.horizons import backtest_direct, horizon_table
+from ..models.gbt import GbtParams, fit_gbt, predict
+from ..models.horizons import backtest_direct, horizon_table, step_inputs
 from ..operators.baselines import BASELINES, baseline_forecasts
 from ..operators.evaluate import metrics
 from ..operators.features import FeatureSpec, drop_warmup
@@ -59,13 +59,14 @@ def backtest(panel: DataFrame, keys, grain: str, n: int = 3, horizon: int = 12,
 
 
 def next_value_comparison(tables: SalesTables, keys, grain: str = "month", horizon: int = 12,
-                          spec: FeatureSpec = FeatureSpec(), params: GbtParams = GbtParams(trees=10)) -> DataFrame:
+                          spec: FeatureSpec = FeatureSpec(), params: GbtParams = GbtParams(trees=10),
+                          categories=None) -> DataFrame:
     """Is the boosted model better than last year's value, one period ahead?"""
     bounds = period_bounds(tables, grain)
     panel = dense_panel(tables, keys, grain, bounds=bounds)
     rows = materialize(drop_warmup(spec.from_panel(panel, keys), spec.names))
     train, test = holdout(rows, horizon, grain, bounds[1])
-    model = fit_gbt(train, Inputs(tuple(spec.names), tuple(keys), "y", (*keys, "ds")), params)
+    model = fit_gbt(train, step_inputs(spec, keys, categories), params)
     season = f"y_lag_{max(spec.lags)}"
     scored = predict(model, test).select("y", F.explode(F.array(
         F.struct(F.lit("gbt").alias("model"), F.col("yhat").alias("yhat")),
