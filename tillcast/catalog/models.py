@@ -86,7 +86,7 @@ SELECT nation_key, ds, y, round(f1 + 0.1 * CASE WHEN month <= threshold THEN lef
 FROM once, second""")
 def boosted_stumps(spark, path):
     """Two boosting rounds of one split each."""
-    rows = nation_panel(spark, path).select("nation_key", "ds", F.month("ds").alias("month"), "y")
+    rows = materialize(nation_panel(spark, path).select("nation_key", "ds", F.month("ds").alias("month"), "y"))
     params = M.GbtParams(trees=2, depth=1, step=0.1)
     model = M.fit_gbt(rows, M.Inputs(("month",), (), "y", (*K, "ds")), params)
     return rounded(M.predict(model, rows).drop("month"), {"yhat": 2})
@@ -124,7 +124,7 @@ SELECT nation_key, origin, CAST(origin + to_months(h) AS DATE) AS ds, h AS horiz
 FROM three, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS h)""")
 def recursive_stump(spark, path):
     """Step-by-step forecasts of a model with a single split."""
-    panel = nation_panel(spark, path)
+    panel = materialize(nation_panel(spark, path))
     model = H.fit_step(panel, K, LAG_ONLY, STUMP, categories=())
     rows = H.forecast_recursive(model, panel, K, 3, "month", LAG_ONLY, last_month(spark, path))
     return rounded(rows.drop("lo", "hi"), {"yhat": 2})
@@ -178,7 +178,7 @@ weights AS (
 SELECT feature, round(importance, 8) AS importance,
   CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS position FROM weights""")
 def stump_importance(spark, path):
-    rows = _features(spark, path, FeatureSpec(lags=(1,), means=(), calendar=("month",)))
+    rows = materialize(_features(spark, path, FeatureSpec(lags=(1,), means=(), calendar=("month",))))
     model = M.fit_gbt(rows, M.Inputs(("month", "y_lag_1"), (), "y", (*K, "ds")), M.GbtParams(2, 1, 0.1, 2048))
     return rounded(M.feature_importance(model, spark), {"importance": 8})
 
@@ -197,7 +197,7 @@ errors AS (
 kept AS (SELECT CASE WHEN e1 - e2 < 0.01 * greatest(e2, 0.01) THEN 1 ELSE 2 END AS trees FROM errors)
 SELECT nation_key, ds, y, round(CASE trees WHEN 1 THEN f1 ELSE f2 END, 2) AS yhat, trees FROM twice, kept""")
 def early_stop_stump(spark, path):
-    panel = nation_panel(spark, path).select("nation_key", "ds", F.month("ds").alias("month"), "y")
+    panel = materialize(nation_panel(spark, path).select("nation_key", "ds", F.month("ds").alias("month"), "y"))
     train, valid = holdout(panel, 12, "month", last_month(spark, path))
     model = M.early_stop(train, valid, M.Inputs(("month",), (), "y", (*K, "ds")), M.GbtParams(2, 1, 0.1))
     scored = M.predict(model, panel).drop("month").withColumn("trees", F.lit(M.tree_count(model)))
@@ -297,7 +297,7 @@ def fit_gbt(spark, path):
 
 @query("feature_importance")
 def feature_importance(spark, path):
-    return M.feature_importance(M.fit_gbt(_features(spark, path), INPUTS, SMALL), spark)
+    return M.feature_importance(M.fit_gbt(materialize(_features(spark, path)), INPUTS, SMALL), spark)
 
 
 @query("early_stop")

@@ -63,8 +63,8 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
             tasks: int | None = None) -> PipelineModel:
     """Fit one boosted-tree model over all series.
 
-    The result is a pipeline that indexes, assembles and predicts ``yhat``. With
-    ``valid`` training stops when another tree no longer helps on those rows.
+    The result is a pipeline that indexes, assembles and predicts ``yhat``. The
+    rows are read several times, so they should be a stored table. With ``valid`` training stops when another tree no longer helps on those rows.
     Categories unseen in training are scored with the index's spare value. The
     number of tasks follows the number of rows: trees take many short jobs.
     """

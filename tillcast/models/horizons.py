@@ -12,7 +12,7 @@ from ..functions.periods import shift
 from ..operators.features import FeatureSpec, drop_warmup, horizon_labels
 from ..operators.reconcile import future_frame
 from ..operators.splits import last_period
-from ..session import side_by_side
+from ..session import materialize, side_by_side
 from .gbt import GbtParams, Inputs, fit_gbt, predict, score_batch
 
 
@@ -79,7 +79,8 @@ def backtest_direct(table: DataFrame, keys, spec: FeatureSpec, folds: dict[int,
 def fit_step(panel: DataFrame, keys, spec: FeatureSpec, params: GbtParams = GbtParams(),
              categories=None) -> PipelineModel:
     """One-step model for recursive forecasts."""
-    return fit_gbt(drop_warmup(spec.from_panel(panel, keys), spec.names), step_inputs(spec, keys, categories), params)
+    rows = materialize(drop_warmup(spec.from_panel(panel, keys), spec.names))
+    return fit_gbt(rows, step_inputs(spec, keys, categories), params)
 
 
 def forecast_recursive(model: PipelineModel, panel: DataFrame, keys, horizons: int, grain: str, spec: FeatureSpec,

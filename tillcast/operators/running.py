@@ -17,15 +17,15 @@ def running_totals(df: DataFrame, order_by, sums: dict[str, Column], partition_b
 
     A window without partitioning would send every row to one task, and one
     partitioned by a hot key a large share of them. Here the rows are sorted
-    across the cluster and stored, each stored piece is summed on its own, and
-    the totals of the pieces before it are added. Only those totals, one row per
-    piece and group, are accumulated in one place. ``order_by`` has to order the
-    rows of a group without ties.
+    across the cluster and stored with the number of their piece, each piece is
+    summed on its own, and the totals of the pieces before it are added. Only
+    those totals, one row per piece and group, are accumulated in one place.
+    ``order_by`` has to order the rows of a group without ties.
     """
     groups = list(partition_by)
     names = list(sums)
     added = df.select("*", *[sums[n].alias(f"_v_{n}") for n in names])
-    pieces = materialize(added.orderBy(*groups, *order_by)).withColumn("_piece", F.spark_partition_id())
+    pieces = materialize(added.orderBy(*groups, *order_by).withColumn("_piece", F.spark_partition_id()))
 
     whole = W.partitionBy(*groups)
     earlier = whole.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)

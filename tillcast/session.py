@@ -55,12 +55,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the stored rows.
+    """Write ``df`` to the shared folder and continue from the stored table.
 
-    Later jobs neither recompute the plan above nor lose it with an executor.
+    Later jobs neither recompute the plan above nor lose it with an executor, and
+    they read only the columns and row groups they need.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def side_by_side(spark: SparkSession, job, items, parallelism: int) -> list:
