@@ -171,3 +171,7 @@ def test_forecast_job_gives_ordered_limits(planted):
     assert out.columns == ["sid", "origin", "ds", "horizon", "model", "yhat", "lo", "hi"]
     rows = out.collect()
     assert len(rows) == 150 and all(r.lo <= r.hi for r in rows)
+
+
+def test_tasks_follow_the_rows():
+    assert [M.fit_tasks(n) for n in (0, 1000, 50_000, 5_000_000, 10**11)] == [1, 1, 2, 64, 100_000]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillcast.functions.measures import sum_units
 from tillcast.functions.periods import complete_bounds, period_range, periods_between, shift
 from tillcast.operators import baselines as B
 from tillcast.operators import evaluate as E
@@ -109,6 +110,12 @@ def test_panel_accepts_decimal_prices(spark, small):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def test_unit_sums_are_exact_for_any_sign_and_size(spark):
+    values = [0, 1, -1, 2**20, -(2**20) - 1, 10**17 + 3, -(10**17), 7]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    assert int(df.agg(sum_units(F.col("v"))).first()[0]) == sum(values)
+
+
 def test_one_hot_order_customer_and_part(spark, small):
     """A third of the lines on one order, part and customer changes no total."""
     tables = read_tables(spark, small)

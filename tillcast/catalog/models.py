@@ -169,12 +169,10 @@ residuals AS (
   SELECT r.*, 2 * (y - CASE WHEN (CASE feature WHEN 'month' THEN month ELSE y_lag_1 END) <= threshold
     THEN left_mean ELSE right_mean END) AS e FROM rows_in r, first),
 {_splits_sql('second', 'residuals', 'month, y_lag_1', 'e')},
+gains AS (SELECT feature, gain FROM first UNION ALL SELECT feature, gain FROM second),
 weights AS (
-  SELECT f.feature, coalesce(sum(w), 0) / (SELECT sum(gain * weight) FROM
-    (SELECT gain, 1.0 AS weight FROM first UNION ALL SELECT gain, 0.1 FROM second)) AS importance
-  FROM (SELECT unnest(['month', 'y_lag_1']) AS feature) f
-  LEFT JOIN (SELECT feature, gain AS w FROM first UNION ALL SELECT feature, 0.1 * gain FROM second) g USING (feature)
-  GROUP BY f.feature)
+  SELECT f.feature, coalesce(sum(gain), 0) / (SELECT sum(gain) FROM gains) AS importance
+  FROM (SELECT unnest(['month', 'y_lag_1']) AS feature) f LEFT JOIN gains USING (feature) GROUP BY f.feature)
 SELECT feature, round(importance, 8) AS importance,
   CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS position FROM weights""")
 def stump_importance(spark, path):

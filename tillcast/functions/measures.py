@@ -29,16 +29,24 @@ def hundredths(df: DataFrame, column: str) -> Column:
 
 
 def net_units(gross: Column, discount: Column) -> Column:
-    """Net revenue in ten-thousandths, from hundredths of price and discount.
+    """Net revenue in ten-thousandths, from hundredths of price and discount."""
+    return gross * (F.lit(100) - discount)
 
-    Held as a decimal so that its sum cannot overflow in a group of any size.
+
+def sum_units(units: Column) -> Column:
+    """Sum of whole numbers, as decimal.
+
+    The upper and the lower bits are summed apart: each stays inside 64 bits for
+    groups of trillions of lines, and sums of 64-bit numbers are cheaper than
+    sums of decimals.
     """
-    return (gross * (F.lit(100) - discount)).cast("decimal(20,0)")
+    upper, lower = F.sum(F.shiftright(units, 20)), F.sum(units.bitwiseAND(F.lit(2**20 - 1)))
+    return (upper.cast("decimal(20,0)") * F.lit(2**20) + lower.cast("decimal(20,0)")).cast("decimal(28,0)")
 
 
 def from_units(total: Column, decimals: int) -> Column:
     """A sum of whole units as an amount with ``decimals`` decimals."""
-    return total.cast("decimal(30,0)") * F.lit(Decimal(1).scaleb(-decimals))
+    return total.cast("decimal(34,0)") * F.lit(Decimal(1).scaleb(-decimals))
 
 
 def with_revenue(df: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ from ..operators.features import fit_key_index
 from ..operators.running import running_totals
 from ..session import side_by_side
 
-ROWS_PER_TASK = 200_000
+# Small fits are spread over some tasks, large ones keep tasks of a steady size.
+SMALL_TASK_ROWS, SMALL_TASKS, LARGE_TASK_ROWS = 20_000, 64, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -59,14 +60,18 @@ def fixed_layout(df: DataFrame, identity, tasks: int) -> DataFrame:
     return df.repartition(tasks, *identity).sortWithinPartitions(*identity)
 
 
+def fit_tasks(rows: int) -> int:
+    """Number of tasks for a fit; it depends on the rows alone, like their layout."""
+    return max(1, min(SMALL_TASKS, rows // SMALL_TASK_ROWS), -(-rows // LARGE_TASK_ROWS))
+
+
 def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), valid: DataFrame | None = None,
             tasks: int | None = None) -> PipelineModel:
     """Fit one boosted-tree model over all series.
 
     The result is a pipeline that indexes, assembles and predicts ``yhat``. The
     rows are read several times, so they should be a stored table. With ``valid`` training stops when another tree no longer helps on those rows.
-    Categories unseen in training are scored with the index's spare value. The
-    number of tasks follows the number of rows: trees take many short jobs.
+    Categories unseen in training are scored with the index's spare value.
     """
     rows = train.withColumn("_valid", F.lit(False))
     if valid is not None:
@@ -89,9 +94,8 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
     assembled = rows
     for stage in stages:
         assembled = stage.transform(assembled)
-    if tasks is None:
-        tasks = max(1, -(-row_count // ROWS_PER_TASK))
-    laid_out = fixed_layout(assembled.select(*inputs.identity, "features", "_label", "_valid"), inputs.identity, tasks)
+    laid_out = fixed_layout(
+        assembled.select(*inputs.identity, "features", "_label", "_valid"), inputs.identity, tasks or fit_tasks(row_count))
     laid_out = laid_out.select("features", "_label", "_valid").persist(StorageLevel.MEMORY_AND_DISK)
     trainer = GBTRegressor(
         featuresCol="features", labelCol="_label", predictionCol="yhat", maxIter=params.trees, maxDepth=params.depth,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.measures import hundredths, money, net_units
+from ..functions.measures import hundredths, money, net_units, sum_units
 
 SALES_SCHEMA = T.StructType([
     T.StructField("ds", T.DateType()),
@@ -122,7 +122,7 @@ def order_amounts(tables: SalesTables, keys=(), exclude_returns: bool = False) -
         hundredths(raw, "l_discount").alias("discount"),
     )
     return _with_brand(lines, tables, keys).groupBy("order_key", *keys).agg(
-        F.sum(net_units(F.col("gross"), F.col("discount"))).alias("net"),
+        sum_units(net_units(F.col("gross"), F.col("discount"))).alias("net"),
         F.sum("units").alias("units"),
         F.sum("discount").alias("discounts"),
         F.count("discount").alias("lines"),
