@@ -1,6 +1,6 @@
 """Operations of a training-data pipeline over documents and pages."""
 
-from . import jaccard  # noqa: F401
+from . import bpe, decontaminate, jaccard, records, secret_scan, token_counts  # noqa: F401  (each registers its query)
 from .common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
