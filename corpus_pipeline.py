@@ -4,24 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tillcast.llm.bpe import bpe_tokens
 from tillcast.llm.common import table
+from tillcast.llm.decontaminate import without_benchmark
 from tillcast.llm.jaccard import one_of_each
+from tillcast.llm.secret_scan import mask_secrets
+from tillcast.llm.toxicity import train_toxicity, without_toxic
 from tillcast.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score as toxic, by a model of the labelled ones among them."""
+    return without_toxic(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each group of near copies."""
     return one_of_each(docs)
 
 
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a window of the benchmark occurs."""
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in the texts; all documents stay, and ``n_chars`` follows the text."""
+    masked = mask_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``n_tokens``, digests and the token ids of every text."""
+    return bpe_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("n-gram Jaccard join", without_near_copies),
+    ("toxicity", reject_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("secret scans", hide_secrets),
+    ("BPE encoding", encode),
 ]
 
+# The first stage is a trained model: no SQL gives its rows.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,8 @@
 """Operations of a training-data pipeline over documents and pages."""
 
-from . import bpe, decontaminate, jaccard, records, secret_scan, token_counts  # noqa: F401  (each registers its query)
+from . import (  # noqa: F401  (each registers its query)
+    bpe, decontaminate, html_text, jaccard, pii, quality, records, secret_scan, token_counts, toxicity,
+)
 from .common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
