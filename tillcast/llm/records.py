@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,8 +32,9 @@ from .common import buckets, query, ship_package, table
 from .textnum import slices, text_bytes
 
 MASK = 0xA282EAD8  # added to a checksum after its bits are rotated by 15
-CHUNKS_KEPT = 600_000  # encoded chunks that a worker remembers
-CHUNKS_AT_ONCE = 200_000  # of one text
+CHUNKS_KEPT = 1_500_000  # encoded chunks that a worker remembers, some 200 bytes each
+CHUNKS_TOGETHER = 1_000  # encoded in one call
+CHUNKS_AT_ONCE = 500_000  # of one text
 
 _HEAD, _CHECK, _FRONT, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?qB"), struct.Struct("<QQ")
 _FILES = T.StructType([
@@ -110,14 +110,22 @@ class ChunkEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks - self.known.keys())
+        new = [c for c in chunks if c not in self.known]
         if len(self.known) + len(new) > CHUNKS_KEPT:
             self.known.clear()
             new = list(chunks)
-        texts = [c.decode("utf-8", "replace") for c in new]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        kind = {2: "H", 4: "I"}[self.width]
-        self.known.update(zip(new, (array(kind, e.ids).tobytes() for e in found)))
+        for i in range(0, len(new), CHUNKS_TOGETHER):
+            self._encode_together(new[i:i + CHUNKS_TOGETHER])
+
+    def _encode_together(self, chunks: list[bytes]) -> None:
+        """Encode chunks as one text, and cut its ids where the chunks begin."""
+        text = b" ".join(chunks).decode("utf-8", "replace")
+        begins = np.cumsum([0] + [len(c) + 1 for c in text.split(" ")])
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        places = np.array([low for low, _ in found.offsets], np.int64)
+        cuts = (np.searchsorted(places, begins) * self.width).tolist()
+        ids = np.array(found.ids, f"<u{self.width}").tobytes()
+        self.known.update((c, ids[low:high]) for c, low, high in zip(chunks, cuts, cuts[1:]))
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text, ``width`` little-endian bytes each."""
@@ -150,11 +158,11 @@ def _encoder(path: str) -> ChunkEncoder:
 
 
 def _encoded(batches, encoder: ChunkEncoder):
-    """Ids of each document, a megabyte of text encoded at a time."""
+    """Ids of each document, a slice of text encoded at a time."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         docs = batch.column(0).to_pylist()
-        for low, high in slices(offsets, 1_000_000):
+        for low, high in slices(offsets):
             whole = data[offsets[low]:offsets[high]].tobytes()
             at = (offsets[low:high + 1] - offsets[low]).tolist()
             yield from zip(docs[low:high], encoder.encode_all([whole[a:b] for a, b in zip(at, at[1:])]))
