@@ -57,6 +57,8 @@ def _null_sql(table, columns):
     _null_sql("orders", ["o_orderkey", "o_custkey", "o_orderdate"]),
     """SELECT 'nonpositive_price' AS "check", count(*) AS n FROM lineitem WHERE l_extendedprice <= 0""",
     """SELECT 'discount_out_of_range', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1""",
+    *[f"""SELECT 'finer_{c}', count(*) FROM lineitem WHERE CAST(CAST(l_{c} AS DECIMAL(18,2)) AS DOUBLE) <> l_{c}"""
+      for c in ("quantity", "extendedprice", "discount")],
     """SELECT 'orders_in_partial_last_month', count(*) FROM orders,
   (SELECT CAST(max(o_orderdate) AS DATE) AS hi FROM orders)
   WHERE hi < last_day(hi) AND o_orderdate >= date_trunc('month', hi)""",

@@ -17,15 +17,19 @@ def money(column) -> Column:
     return column.cast(MONEY)
 
 
-def hundredths(df: DataFrame, column: str) -> Column:
+def hundredths(column: str) -> Column:
     """A column held at two decimals, as a whole number of hundredths.
 
     Sums of whole numbers are exact like sums of decimals and several times
-    cheaper, so the large facts are added up this way.
+    cheaper, so the large facts are added up this way. Finer values are rounded as
+    ``money`` rounds them: half up, by their decimal digits.
     """
-    if dict(df.dtypes)[column].startswith("decimal"):
-        return (money(column) * 100).cast("bigint")
-    return F.rint(F.col(column) * 100).cast("bigint")
+    return (money(column) * 100).cast("bigint")
+
+
+def finer(column: str) -> Column:
+    """Whether a value has more than two decimals, so that ``money`` rounds it."""
+    return money(column).cast("double") != F.col(column).cast("double")
 
 
 def net_units(gross: Column, discount: Column) -> Column:

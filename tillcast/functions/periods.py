@@ -49,11 +49,12 @@ def period_range(first: Column, last: Column, grain: str) -> Column:
 def complete_bounds(df: DataFrame, date: str, grain: str) -> tuple[Column, Column]:
     """First and last period fully covered by the dates in ``df``.
 
-    Both are scalar subqueries over one column of ``df``, so they stay inside
-    the plan that uses them. Pass them to the panel operators.
+    Read in one job over one column of ``df`` and given as literal dates, so that
+    they reach the scans of the plans that use them. Null for an empty ``df``.
     """
     low = F.min(date).cast("date")
     high = F.max(date).cast("date")
     first = F.when(period_start(low, grain) == low, low).otherwise(shift(period_start(low, grain), 1, grain))
     last = shift(period_start(F.date_add(high, 1), grain), -1, grain)
-    return df.agg(first.alias("first")).scalar(), df.agg(last.alias("last")).scalar()
+    found = df.agg(first.alias("first"), last.alias("last")).first()
+    return F.lit(found["first"]).cast("date"), F.lit(found["last"]).cast("date")

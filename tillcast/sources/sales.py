@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.measures import hundredths, money, net_units, sum_units
+from ..functions.measures import finer, hundredths, money, net_units, sum_units
 
 SALES_SCHEMA = T.StructType([
     T.StructField("ds", T.DateType()),
@@ -117,9 +117,9 @@ def order_amounts(tables: SalesTables, keys=(), exclude_returns: bool = False) -
     lines = raw.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_partkey").alias("part_key"),
-        hundredths(raw, "l_quantity").alias("units"),
-        hundredths(raw, "l_extendedprice").alias("gross"),
-        hundredths(raw, "l_discount").alias("discount"),
+        hundredths("l_quantity").alias("units"),
+        hundredths("l_extendedprice").alias("gross"),
+        hundredths("l_discount").alias("discount"),
     )
     return _with_brand(lines, tables, keys).groupBy("order_key", *keys).agg(
         sum_units(net_units(F.col("gross"), F.col("discount"))).alias("net"),
@@ -186,6 +186,7 @@ def sales_quality(tables: SalesTables) -> DataFrame:
             *_nulls(tables.lineitem, "lineitem", ["l_orderkey", "l_partkey", "l_extendedprice", "l_discount"]),
             F.count_if(F.col("l_extendedprice") <= 0).alias("nonpositive_price"),
             F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 1)).alias("discount_out_of_range"),
+            *[F.count_if(finer(f"l_{c}")).alias(f"finer_{c}") for c in ("quantity", "extendedprice", "discount")],
         )),
         _as_rows(orders.agg(
             *_nulls(orders, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]),
