@@ -51,13 +51,13 @@ def mase(spark, path):
 
 
 @query("metrics_cube", f"""{BACKTEST},
-placed AS (SELECT b.*, n_regionkey AS region_key FROM backtest b JOIN nation ON nation_key = n_nationkey)
+placed AS (SELECT b.*, n_regionkey AS region_key FROM backtest b LEFT JOIN nation ON nation_key = n_nationkey)
 SELECT model, horizon, region_key,
   concat_ws(',', CASE WHEN grouping(horizon) = 0 THEN 'horizon' END,
                  CASE WHEN grouping(region_key) = 0 THEN 'region_key' END) AS grouped_by, {ERRORS}
 FROM placed GROUP BY GROUPING SETS ((model), (model, horizon), (model, region_key), (model, horizon, region_key))""")
 def metrics_cube(spark, path):
-    rows = attach(nation_backtest(spark, path), nation_regions(spark, path), K)
+    rows = attach(nation_backtest(spark, path), nation_regions(spark, path), K, "left")
     return rounded(E.metrics_cube(rows, ["horizon", "region_key"]), ERROR_PLACES)
 
 
@@ -90,6 +90,16 @@ def residual_acf(spark, path):
     return rounded(E.residual_acf(rows, K, [1, 12]), {"acf_1": 8, "acf_12": 8})
 
 
+@query("residual_acf_backtest", f"""{BACKTEST},
+lagged AS (
+  SELECT nation_key, model, fold, y - yhat AS e,
+    lag(y - yhat, 1) OVER (PARTITION BY nation_key, model, fold ORDER BY ds) AS e_1 FROM backtest)
+SELECT nation_key, model, fold, round(corr(e, e_1), 8) AS acf_1 FROM lagged GROUP BY ALL""")
+def residual_acf_backtest(spark, path):
+    rows = E.residual_acf(nation_backtest(spark, path), K, [1], ["model", "fold"])
+    return rounded(rows, {"acf_1": 8})
+
+
 @query("residual_interval", f"""{BACKTEST}
 SELECT nation_key, model, round(quantile_cont(y - yhat, 0.1), 2) AS q_lo, round(quantile_cont(y - yhat, 0.9), 2) AS q_hi
 FROM backtest GROUP BY ALL""")
@@ -132,12 +142,12 @@ def coverage(spark, path):
 _PLACED = f"""{BACKTEST},
 placed AS (
   SELECT model, origin, horizon, ds, n_regionkey AS region_key, nation_key, yhat
-  FROM backtest JOIN nation ON nation_key = n_nationkey WHERE fold = {FOLDS} AND model = 'moving_average')"""
+  FROM backtest LEFT JOIN nation ON nation_key = n_nationkey WHERE fold = {FOLDS} AND model = 'moving_average')"""
 
 
 def _placed(spark, path):
     rows = nation_backtest(spark, path).filter((F.col("model") == "moving_average") & (F.col("fold") == FOLDS))
-    return attach(rows, nation_regions(spark, path), K)
+    return attach(rows, nation_regions(spark, path), K, "left")
 
 
 @query("bottom_up", f"""{_PLACED}
@@ -160,11 +170,27 @@ SELECT region_key, ds, horizon, nation_key, share, round(yhat * share, 2) AS yha
 FROM (SELECT region_key, ds, horizon, sum(yhat) AS yhat FROM placed GROUP BY ALL) JOIN shares USING (region_key)""")
 def top_down(spark, path):
     whole = R.bottom_up(_placed(spark, path)).filter(F.col("level") == "region_key")
-    train = attach(nation_panel(spark, path), nation_regions(spark, path), K)
+    train = attach(nation_panel(spark, path), nation_regions(spark, path), K, "left")
     split = R.top_down(whole.select("region_key", "ds", "horizon", "yhat"), train)
     return rounded(split, {"yhat": 2})
 
 
+@query("top_down_childless", f"""{_PLACED},
+children AS (
+  SELECT n_regionkey AS region_key, nation_key, sum(CAST(y AS DECIMAL(38,4))) AS y
+  FROM panel JOIN nation ON nation_key = n_nationkey WHERE n_regionkey > 0 GROUP BY ALL),
+shares AS (
+  SELECT region_key, nation_key, CAST(y AS DOUBLE) / CAST(sum(y) OVER (PARTITION BY region_key) AS DOUBLE) AS share
+  FROM children)
+SELECT region_key, ds, horizon, nation_key, coalesce(share, 1) AS share, round(yhat * coalesce(share, 1), 2) AS yhat
+FROM (SELECT region_key, ds, horizon, sum(yhat) AS yhat FROM placed GROUP BY ALL) LEFT JOIN shares USING (region_key)""")
+def top_down_childless(spark, path):
+    """Region 0 has no training rows: its forecast stays whole."""
+    whole = R.bottom_up(_placed(spark, path)).filter(F.col("level") == "region_key")
+    train = attach(nation_panel(spark, path), nation_regions(spark, path), K, "left").filter(F.col("region_key") > 0)
+    return rounded(R.top_down(whole.select("region_key", "ds", "horizon", "yhat"), train), {"yhat": 2})
+
+
 @query("future_frame", f"""{panel_sql('nation_key, segment')}
 SELECT nation_key, segment, CAST(max(ds) + to_months(h) AS DATE) AS ds
 FROM panel, (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS h) GROUP BY nation_key, segment, h""")

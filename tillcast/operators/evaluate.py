@@ -58,9 +58,16 @@ def worst_series(scores: DataFrame, keys, n: int, metric: str = "mae") -> DataFr
     return scores.orderBy(F.col(metric).desc_nulls_last(), *[F.col(k) for k in keys]).limit(n)
 
 
-def residual_acf(df: DataFrame, keys, ks) -> DataFrame:
-    """Correlation of each series' residuals with those ``k`` rows earlier."""
+def residual_acf(df: DataFrame, keys, ks, by=()) -> DataFrame:
+    """Correlation of each series' residuals with those ``k`` dates earlier.
+
+    Name in ``by`` what else tells the rows of a date apart, such as model and
+    fold: they are correlated apart. Rows that still share a date count as their
+    mean, so no order of rows can matter.
+    """
+    keys = [*keys, *by]
     order = series_window(keys)
-    with_error = df.select(*keys, "ds", (F.col("y") - F.col("yhat")).alias("_e"))
+    error = F.avg(F.col("y") - F.col("yhat"))
+    with_error = df.repartition(*[F.col(k) for k in keys]).groupBy(*keys, "ds").agg(error.alias("_e"))
     lagged = with_error.select(*keys, "_e", *[F.lag("_e", k).over(order).alias(f"_e_{k}") for k in ks])
     return lagged.groupBy(*keys).agg(*[F.corr("_e", f"_e_{k}").alias(f"acf_{k}") for k in ks])

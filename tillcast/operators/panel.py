@@ -72,12 +72,15 @@ def densify(panel: DataFrame, keys, grain: str, bounds: tuple[Column, Column] |
 
     Each row is stretched over the gap up to the next row of its series (and the
     first also back to the start), so no calendar is joined: the only shuffle is
-    by ``keys``, which the feature windows then reuse. Without ``bounds`` the
-    range is taken from the panel itself, which runs its plan a second time.
+    by ``keys``, which the feature windows then reuse. Rows outside ``bounds`` are
+    left out, on either side. Without ``bounds`` the range is taken from the panel
+    itself, which runs its plan a second time.
     """
     keys = list(keys)
     if bounds is None:
         bounds = (panel.agg(F.min("ds").alias("ds")).scalar(), panel.agg(F.max("ds").alias("ds")).scalar())
+    else:
+        panel = panel.filter(F.col("ds").between(*bounds))
     start, end = bounds
     measures = [c for c in panel.columns if c not in (*keys, "ds")]
     order = W.partitionBy(*keys).orderBy("ds")

@@ -27,7 +27,8 @@ def bottom_up(forecasts: DataFrame, parent: str = "region_key", child: str = "na
 def top_down(parents: DataFrame, train: DataFrame, parent: str = "region_key", child: str = "nation_key") -> DataFrame:
     """Split each parent forecast by the children's share of training revenue.
 
-    Children of a parent without any training revenue share it equally.
+    Children of a parent without any training revenue share it equally. A parent
+    without training rows keeps its forecast whole, under a null child.
     """
     children = train.groupBy(parent, child).agg(exact_sum("y").alias("_y"))
     whole = children.groupBy(parent).agg(F.sum("_y").alias("_all"), F.count("*").alias("_n"))
@@ -39,8 +40,8 @@ def top_down(parents: DataFrame, train: DataFrame, parent: str = "region_key", c
         ).alias("share"),
     )
     kept = [c for c in parents.columns if c not in ("yhat", child)]
-    return attach(parents.select(*kept, "yhat"), shares, [parent]).select(
-        *kept, child, "share", (F.col("yhat") * F.col("share")).alias("yhat"))
+    split = attach(parents.select(*kept, "yhat"), shares, [parent], "left").withColumn("share", F.coalesce("share", F.lit(1.0)))
+    return split.select(*kept, child, "share", (F.col("yhat") * F.col("share")).alias("yhat"))
 
 
 def future_frame(panel: DataFrame, keys, horizon: int, grain: str, last: Column | None = None) -> DataFrame:
