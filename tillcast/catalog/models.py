@@ -18,7 +18,7 @@ from ..plans.backtest import backtest_gbt, next_value_comparison
 from ..plans.forecast import forecast_revenue as run_forecast
 from ..session import materialize, new_path
 from ..sources.sales import read_tables
-from .base import ERROR_PLACES, ERRORS, PANEL, last_month, nation_panel, query, rounded
+from .base import ERROR_PLACES, ERRORS, PANEL, last_month, nation_panel, panel_sql, query, rounded
 
 K = ["nation_key"]
 SPEC = FeatureSpec()
@@ -99,7 +99,7 @@ pairs AS (
   JOIN panel t ON t.nation_key = o.nation_key AND t.ds = CAST(o.ds + to_months(horizon) AS DATE)),
 {_splits_sql('best', 'pairs', 'y_lag_1, horizon', 'label')}
 SELECT nation_key, ds AS origin, CAST(ds + to_months(s.horizon) AS DATE) AS ds, s.horizon, 'gbt_direct' AS model,
-  round(CASE WHEN (CASE WHEN feature = 'y_lag_1' THEN y ELSE s.horizon END) <= threshold THEN left_mean ELSE right_mean
+  'model' AS status, round(CASE WHEN (CASE WHEN feature = 'y_lag_1' THEN y ELSE s.horizon END) <= threshold THEN left_mean ELSE right_mean
         END, 2) AS yhat
 FROM panel CROSS JOIN steps s, bounds, best WHERE panel.ds = last_ds""")
 def direct_stump(spark, path):
@@ -120,7 +120,7 @@ one AS (SELECT nation_key, ds AS origin, threshold, left_mean, right_mean, {_lea
 two AS (SELECT *, {_leaf('f1')} AS f2 FROM one),
 three AS (SELECT *, {_leaf('f2')} AS f3 FROM two)
 SELECT nation_key, origin, CAST(origin + to_months(h) AS DATE) AS ds, h AS horizon, 'gbt_recursive' AS model,
-  round(CASE h WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END, 2) AS yhat
+  'model' AS status, round(CASE h WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END, 2) AS yhat
 FROM three, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS h)""")
 def recursive_stump(spark, path):
     """Step-by-step forecasts of a model with a single split."""
@@ -247,8 +247,8 @@ def _direct_folds_sql(horizon: int, folds: str) -> str:
     return f"""{PANEL},
 steps AS (SELECT CAST(unnest(range(1, {horizon + 1})) AS INTEGER) AS horizon),
 cells AS (
-  SELECT o.nation_key, o.ds AS origin, horizon, CAST(o.ds + to_months(horizon) AS DATE) AS ds, o.y AS y_lag_1, t.y AS label
-  FROM panel o CROSS JOIN steps
+  SELECT o.nation_key, o.ds AS origin, horizon, CAST(o.ds + to_months(horizon) AS DATE) AS ds, o.y AS y_lag_1, t.y AS label, level
+  FROM (SELECT *, avg(y) OVER (PARTITION BY nation_key ORDER BY ds) AS level FROM panel) o CROSS JOIN steps
   LEFT JOIN panel t ON t.nation_key = o.nation_key AND t.ds = CAST(o.ds + to_months(horizon) AS DATE)),
 folds AS (
   SELECT fold, CAST(last_ds - to_months(CAST(behind AS INTEGER)) AS DATE) AS fold_origin
@@ -257,13 +257,13 @@ train AS (SELECT cells.*, fold FROM cells JOIN folds ON ds <= fold_origin WHERE
 {_splits_sql('best', 'train', 'y_lag_1, horizon', 'label', 'fold')},
 direct AS (
   SELECT nation_key, CAST(fold AS INTEGER) AS fold, origin, ds, horizon, 'gbt_direct' AS model, label AS y,
-    CASE WHEN (CASE feature WHEN 'y_lag_1' THEN y_lag_1 ELSE horizon END) <= threshold
+    'model' AS status, nullif(level, 0) AS level, CASE WHEN (CASE feature WHEN 'y_lag_1' THEN y_lag_1 ELSE horizon END) <= threshold
       THEN left_mean ELSE right_mean END AS yhat
   FROM cells JOIN folds ON origin = fold_origin JOIN best USING (fold))"""
 
 
 @query("backtest_stump", f"""{_direct_folds_sql(6, '(1, 12), (2, 6)')}
-SELECT nation_key, fold, origin, ds, horizon, model, y, round(yhat, 2) AS yhat FROM direct""")
+SELECT nation_key, fold, origin, ds, horizon, model, y, status, round(yhat, 2) AS yhat FROM direct""")
 def backtest_stump(spark, path):
     rows = backtest_gbt(nation_panel(spark, path), K, "month", 2, 6, 6, LAG_ONLY, STUMP, last_month(spark, path), ())
     return rounded(rows, {"yhat": 2})
@@ -271,10 +271,10 @@ def backtest_stump(spark, path):
 
 @query("forecast_stump", f"""{_direct_folds_sql(3, '(0, 0), (1, 6), (2, 3)')},
 limits AS (
-  SELECT horizon, quantile_cont(y - yhat, 0.1) AS q_lo, quantile_cont(y - yhat, 0.9) AS q_hi
+  SELECT horizon, quantile_cont((y - yhat) / level, 0.1) AS q_lo, quantile_cont((y - yhat) / level, 0.9) AS q_hi
   FROM direct WHERE fold > 0 GROUP BY horizon)
-SELECT nation_key, origin, ds, horizon, model, round(yhat, 2) AS yhat, round(yhat + q_lo, 2) AS lo,
-  round(yhat + q_hi, 2) AS hi FROM direct LEFT JOIN limits USING (horizon) WHERE fold = 0""")
+SELECT nation_key, origin, ds, horizon, model, status, round(yhat, 2) AS yhat, round(greatest(yhat + q_lo * level, 0), 2) AS lo,
+  round(greatest(yhat + q_hi * level, 0), 2) AS hi FROM direct LEFT JOIN limits USING (horizon) WHERE fold = 0""")
 def forecast_stump(spark, path):
     """The whole forecasting job with models of a single split."""
     out = run_forecast(nation_panel(spark, path), K, "month", 3, 2, LAG_ONLY, STUMP, last=last_month(spark, path),
@@ -282,6 +282,46 @@ def forecast_stump(spark, path):
     return rounded(out, {"yhat": 2, "lo": 2, "hi": 2})
 
 
+# Nation k keeps its last k + 1 months: nation 0 has one month and no lag.
+@query("forecast_short_series", f"""{PANEL},
+short AS (SELECT panel.* FROM panel, bounds WHERE panel.ds >= CAST(last_ds - to_months(CAST(nation_key AS INTEGER)) AS DATE)),
+steps AS (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS horizon),
+cells AS (
+  SELECT o.*, lag(y, 1) OVER s AS y_lag_2, avg(y) OVER s AS level FROM short o WINDOW s AS (PARTITION BY nation_key ORDER BY ds)),
+pairs AS (
+  SELECT o.y_lag_2, horizon, t.y AS label FROM cells o CROSS JOIN steps
+  JOIN short t ON t.nation_key = o.nation_key AND t.ds = CAST(o.ds + to_months(horizon) AS DATE) WHERE o.y_lag_2 IS NOT NULL),
+{_splits_sql('best', 'pairs', 'y_lag_2, horizon', 'label')}
+SELECT nation_key, ds AS origin, CAST(ds + to_months(s.horizon) AS DATE) AS ds, s.horizon, 'gbt_direct' AS model,
+  CASE WHEN y_lag_2 IS NULL THEN 'mean of past' ELSE 'model' END AS status,
+  round(CASE WHEN y_lag_2 IS NULL THEN level
+    WHEN (CASE WHEN feature = 'y_lag_2' THEN y_lag_2 ELSE s.horizon END) <= threshold THEN left_mean ELSE right_mean END, 2) AS yhat
+FROM cells CROSS JOIN steps s, bounds, best WHERE cells.ds = last_ds""")
+def forecast_short_series(spark, path):
+    """Series of all lengths are forecast; the shortest has no feature row and gets its mean."""
+    spec = FeatureSpec(lags=(2,), means=(), calendar=())
+    last = last_month(spark, path)
+    panel = nation_panel(spark, path).filter(F.col("ds") >= F.add_months(last, -F.col("nation_key")))
+    table = materialize(H.horizon_table(panel, K, 3, "month", spec, last))
+    rows, _ = H.forecast_direct(table, K, spec, last, STUMP)
+    return rounded(rows.drop("lo", "hi"), {"yhat": 2})
+
+
+@query("forecast_customers", f"""{panel_sql('customer_key')},
+steps AS (SELECT CAST(unnest(range(1, 3)) AS INTEGER) AS horizon),
+halves AS (SELECT avg(y) AS left_mean, avg(CASE WHEN ds > first_ds THEN y END) AS right_mean FROM panel, bounds)
+SELECT customer_key, ds AS origin, CAST(ds + to_months(s.horizon) AS DATE) AS ds, s.horizon, 'gbt_direct' AS model, 'model' AS status,
+  round(CASE WHEN s.horizon = 1 THEN left_mean ELSE right_mean END, 2) AS yhat
+FROM panel CROSS JOIN steps s, bounds, halves WHERE panel.ds = last_ds""")
+def forecast_customers(spark, path):
+    """More series than any list of categories should hold; the one split is that of the horizon."""
+    spec = FeatureSpec(lags=(), means=(), calendar=())
+    keys, last = ["customer_key"], last_month(spark, path)
+    table = materialize(H.horizon_table(nation_panel(spark, path, keys), keys, 2, "month", spec, last))
+    rows, _ = H.forecast_direct(table, keys, spec, last, STUMP)
+    return rounded(rows.drop("lo", "hi"), {"yhat": 2})
+
+
 @query("next_value_comparison")
 def comparison(spark, path):
     return next_value_comparison(read_tables(spark, path), K)

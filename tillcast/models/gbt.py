@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -17,12 +18,14 @@ from ..operators.features import fit_key_index
 from ..operators.running import running_totals
 from ..session import side_by_side
 
-# Small fits are spread over some tasks, large ones keep tasks of a steady size.
-SMALL_TASK_ROWS, SMALL_TASKS, LARGE_TASK_ROWS = 20_000, 64, 1_000_000
-
 
 @dataclass(frozen=True)
 class GbtParams:
+    """Settings of a fit. ``pieces`` is the number of tasks that the training rows are laid out in: raise it
+    with the data. It is never taken from the row count, so that more rows do not re-lay the others. Split
+    candidates are the trainer's own: at most ``bins`` values of an input, from a sample of
+    max(bins ** 2, 10,000) rows."""
+
     trees: int = 20
     depth: int = 4
     step: float = 0.1
@@ -31,18 +34,20 @@ class GbtParams:
     seed: int = 42
     subsample: float = 1.0
     min_rows: int = 1
+    pieces: int = 8
 
 
 @dataclass(frozen=True)
 class Inputs:
     """What a model reads: numbers, categories, the label, and the columns that
-    tell the training rows apart (they fix the order of the rows)."""
+    tell the training rows apart (they fix the order of the rows). Trees hold the
+    labels of a category, so name only columns with few values; a series comes in
+    through its own past, which looks the same for any number of series."""
 
     numeric: tuple[str, ...]
     categorical: tuple[str, ...] = ()
     label: str = "y"
     identity: tuple[str, ...] = ("ds",)
-    max_categories: int = field(default=1000)
 
     @property
     def assembled(self) -> list[str]:
@@ -60,11 +65,6 @@ def fixed_layout(df: DataFrame, identity, tasks: int) -> DataFrame:
     return df.repartition(tasks, *identity).sortWithinPartitions(*identity)
 
 
-def fit_tasks(rows: int) -> int:
-    """Number of tasks for a fit; it depends on the rows alone, like their layout."""
-    return max(1, min(SMALL_TASKS, rows // SMALL_TASK_ROWS), -(-rows // LARGE_TASK_ROWS))
-
-
 def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), valid: DataFrame | None = None,
             tasks: int | None = None) -> PipelineModel:
     """Fit one boosted-tree model over all series.
@@ -80,14 +80,10 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
         *inputs.identity, *[c for c in (*inputs.categorical, *inputs.numeric) if c not in inputs.identity],
         F.col(inputs.label).cast("double").alias("_label"), "_valid",
     )
-    counts = rows.agg(
-        F.count("*").alias("_rows"), *[F.approx_count_distinct(c).alias(c) for c in inputs.categorical],
-    ).first().asDict()
-    row_count = counts.pop("_rows")
     stages = []
     bins = params.bins
     if inputs.categorical:
-        index = fit_key_index(train, inputs.categorical, inputs.max_categories, counts)
+        index = fit_key_index(train, inputs.categorical)
         bins = max(bins, *[len(labels) + 1 for labels in index.labelsArray])
         stages.append(index)
     stages.append(VectorAssembler(inputCols=inputs.assembled, outputCol="features"))
@@ -95,7 +91,7 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
     for stage in stages:
         assembled = stage.transform(assembled)
     laid_out = fixed_layout(
-        assembled.select(*inputs.identity, "features", "_label", "_valid"), inputs.identity, tasks or fit_tasks(row_count))
+        assembled.select(*inputs.identity, "features", "_label", "_valid"), inputs.identity, tasks or params.pieces)
     laid_out = laid_out.select("features", "_label", "_valid").persist(StorageLevel.MEMORY_AND_DISK)
     trainer = GBTRegressor(
         featuresCol="features", labelCol="_label", predictionCol="yhat", maxIter=params.trees, maxDepth=params.depth,
@@ -121,11 +117,25 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, "yhat")
 
 
-def score_batch(model: PipelineModel, frame: DataFrame, keys, name: str = "gbt") -> DataFrame:
+def predict_or_mean(model: PipelineModel, df: DataFrame, past) -> DataFrame:
+    """``df`` with ``yhat`` and ``status``, for all of its rows.
+
+    Rows that miss one of the ``past`` features get the mean of what their series has, in ``past_mean``.
+    ``status`` is model, mean of past, or no past (then ``yhat`` is null).
+    """
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in past], F.lit(True))
+    flagged = df.withColumn("_complete", complete).fillna(0.0, subset=list(past))
+    return predict(model, flagged).select(
+        *df.columns, F.when(F.col("_complete"), F.col("yhat")).otherwise(F.col("past_mean")).alias("yhat"),
+        F.when(F.col("_complete"), "model").when(F.col("past_mean").isNotNull(), "mean of past").otherwise("no past").alias("status"),
+    )
+
+
+def score_batch(model: PipelineModel, frame: DataFrame, keys, past, name: str = "gbt") -> DataFrame:
     """Forecast rows, without limits, for feature rows with ``origin`` and ``horizon``."""
-    return predict(model, frame).select(
+    return predict_or_mean(model, frame, past).select(
         *keys, "origin", "ds", "horizon", F.lit(name).alias("model"), "yhat",
-        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "status",
     )
 
 

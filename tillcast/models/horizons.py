@@ -6,25 +6,25 @@ from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import shift
-from ..operators.features import FeatureSpec, drop_warmup, horizon_labels
+from ..operators.features import FeatureSpec, drop_warmup, horizon_labels, series_window
 from ..operators.reconcile import future_frame
 from ..operators.splits import last_period
-from ..session import materialize, side_by_side
-from .gbt import GbtParams, Inputs, fit_gbt, predict, score_batch
+from ..session import delete_stored, materialize, materialize_at, side_by_side
+from .gbt import GbtParams, Inputs, fit_gbt, predict, predict_or_mean, score_batch
 
 
 def direct_inputs(spec: FeatureSpec, keys, categories=None) -> Inputs:
-    """Inputs of the direct model; ``categories`` are the keys it may split on."""
-    chosen = tuple(keys if categories is None else categories)
-    return Inputs((*spec.names, "horizon"), chosen, "label", (*keys, "origin", "horizon"))
+    """Inputs of the direct model; ``categories`` are columns it may split on, by default none."""
+    return Inputs((*spec.names, "horizon"), tuple(categories or ()), "label", (*keys, "origin", "horizon"))
 
 
 def step_inputs(spec: FeatureSpec, keys, categories=None) -> Inputs:
-    """Inputs of the one-step model; ``categories`` are the keys it may split on."""
-    return Inputs(tuple(spec.names), tuple(keys if categories is None else categories), spec.column, (*keys, "ds"))
+    """Inputs of the one-step model; ``categories`` are columns it may split on, by default none."""
+    return Inputs(tuple(spec.names), tuple(categories or ()), spec.column, (*keys, "ds"))
 
 
 def horizon_table(panel: DataFrame, keys, horizons: int, grain: str, spec: FeatureSpec,
@@ -32,14 +32,17 @@ def horizon_table(panel: DataFrame, keys, horizons: int, grain: str, spec: Featu
     """Training and scoring rows of all origins and horizons.
 
     One empty period is put after the panel, so that the last origin has its
-    feature row too. Rows to score are those without a label.
+    feature row too. Rows to score are those without a label. No row is left out:
+    a series with too short a past has nulls in its features, and ``past_mean``
+    holds the mean of what it has up to the origin.
     """
     last = last_period(panel) if last is None else last
     ahead = future_frame(panel, keys, 1, grain, last)
     longer = panel.select(*keys, "ds", spec.column).unionByName(
         ahead.withColumn(spec.column, F.lit(None).cast("double")))
-    rows = horizon_labels(spec.from_panel(longer, keys), keys, horizons, grain, spec.column)
-    return drop_warmup(rows, spec.past)
+    before = series_window(keys).rowsBetween(W.unboundedPreceding, -1)
+    dated = spec.from_panel(longer, keys).withColumn("past_mean", F.avg(spec.column).over(before))
+    return horizon_labels(dated, keys, horizons, grain, spec.column)
 
 
 def fit_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column, params: GbtParams = GbtParams(),
@@ -49,28 +52,29 @@ def fit_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column, params
     ``table`` is a (stored) ``horizon_table``; the horizon is a feature.
     """
     known = table.filter((F.col("ds") <= origin) & F.col("label").isNotNull())
-    return fit_gbt(known, direct_inputs(spec, keys, categories), params)
+    return fit_gbt(drop_warmup(known, spec.past), direct_inputs(spec, keys, categories), params)
 
 
 def forecast_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column,
                     params: GbtParams = GbtParams(), categories=None) -> tuple[DataFrame, PipelineModel]:
     """Forecast all horizons from ``origin`` with one model fitted up to it."""
     model = fit_direct(table, keys, spec, origin, params, categories)
-    return score_batch(model, table.filter(F.col("origin") == origin), keys, "gbt_direct"), model
+    return score_batch(model, table.filter(F.col("origin") == origin), keys, spec.past, "gbt_direct"), model
 
 
 def backtest_direct(table: DataFrame, keys, spec: FeatureSpec, folds: dict[int, Column],
                     params: GbtParams = GbtParams(), categories=None, parallelism: int = 3) -> DataFrame:
     """Direct forecasts from each fold's origin, with the actual values as ``y``.
 
-    A fold is a date filter on ``table``. Folds are fitted side by side.
+    A fold is a date filter on ``table``. Folds are fitted side by side. ``past_mean`` is the level of the
+    series at the origin.
     """
     def scored(fold: int) -> DataFrame:
         model = fit_direct(table, keys, spec, folds[fold], params, categories)
-        rows = predict(model, table.filter(F.col("origin") == folds[fold]))
+        rows = predict_or_mean(model, table.filter(F.col("origin") == folds[fold]), spec.past)
         return rows.select(
             *keys, F.lit(fold).alias("fold"), "origin", "ds", "horizon", F.lit("gbt_direct").alias("model"),
-            F.col("label").alias("y"), "yhat",
+            F.col("label").alias("y"), "yhat", "status", "past_mean",
         )
 
     return reduce(DataFrame.unionByName, side_by_side(table.sparkSession, scored, folds, parallelism))
@@ -84,32 +88,48 @@ def fit_step(panel: DataFrame, keys, spec: FeatureSpec, params: GbtParams = GbtP
 
 
 def forecast_recursive(model: PipelineModel, panel: DataFrame, keys, horizons: int, grain: str, spec: FeatureSpec,
-                       origin: Column | None = None) -> DataFrame:
+                       origin: Column | None = None, store_every: int = 12) -> DataFrame:
     """Forecast step by step, reading earlier forecasts as if they had happened.
 
     Each series is carried as one row with its last values, as many as the
-    features read. A step appends its forecast to them, so no step shuffles or
-    lengthens any lineage but its own. Series with too short a past are left out.
+    features read; a step appends its forecast to them, so no step shuffles. After
+    every ``store_every`` steps the rows are stored and read back and the store
+    before is deleted: the plan of a step does not grow with the horizon, and the
+    forecasts do not depend on the number. Every series of ``panel`` gets all its
+    horizons: one with too short a past the mean of what it has up to ``origin``,
+    one without any a null; ``status`` tells.
     """
     keys = list(keys)
     origin = last_period(panel) if origin is None else origin
-    recent = panel.filter((F.col("ds") <= origin) & (F.col("ds") > shift(origin, -spec.depth, grain)))
+    recent = (F.col("ds") <= origin) & (F.col("ds") > shift(origin, -spec.depth, grain))
+    values = F.transform("_past", lambda p: p[spec.column])
+    level = F.coalesce("past_mean", F.lit(0.0))
     state = (
-        recent.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("ds", spec.column))).alias("_past"))
-        .filter(F.size("_past") == spec.depth)
-        .select(*keys, F.transform("_past", lambda p: p[spec.column]).alias("history"))
+        panel.groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.when(recent & F.col(spec.column).isNotNull(), F.struct("ds", spec.column)))).alias("_past"),
+             F.avg(F.when(F.col("ds") <= origin, F.col(spec.column))).alias("past_mean"))
+        .select(
+            *keys, "past_mean", (F.size("_past") == spec.depth).alias("complete"),
+            F.concat(F.array_repeat(level, F.lit(spec.depth) - F.size("_past")), values).alias("history"))
         .withColumn("origin", origin)
         .withColumn("done", F.array().cast("array<struct<ds:date,yhat:double>>"))
     )
+    stored = None
     for step in range(1, horizons + 1):
         dated = spec.from_history(state.withColumn("ds", shift(F.col("origin"), step, grain)))
+        yhat = F.when(F.col("complete"), F.col("yhat")).otherwise(F.col("past_mean"))
         state = predict(model, dated).select(
-            *keys, "origin",
-            F.concat(F.slice("history", 2, spec.depth - 1), F.array("yhat")).alias("history"),
-            F.concat("done", F.array(F.struct("ds", "yhat"))).alias("done"),
+            *keys, "past_mean", "complete", "origin",
+            F.concat(F.slice("history", 2, spec.depth - 1), F.array(F.coalesce(yhat, F.lit(0.0)))).alias("history"),
+            F.concat("done", F.array(F.struct("ds", yhat.alias("yhat")))).alias("done"),
         )
-    return state.select(*keys, "origin", F.posexplode("done").alias("_i", "_f")).select(
+        if step % store_every == 0:
+            before = stored
+            state, stored = materialize_at(state)
+            if before:
+                delete_stored(panel.sparkSession, before)
+    status = F.when(F.col("complete"), "model").when(F.col("past_mean").isNotNull(), "mean of past").otherwise("no past")
+    return state.select(*keys, "origin", status.alias("status"), F.posexplode("done").alias("_i", "_f")).select(
         *keys, "origin", "_f.ds", (F.col("_i") + 1).alias("horizon"), F.lit("gbt_recursive").alias("model"),
-        "_f.yhat", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+        "_f.yhat", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "status",
     )

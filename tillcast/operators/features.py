@@ -127,32 +127,22 @@ def target_encode_past(df: DataFrame, category, column: str = "y") -> DataFrame:
     return attach(df, encoded, [*category, "ds"], "left")
 
 
-def check_categories(sizes: dict[str, int], max_categories: int) -> None:
-    wide = [c for c, n in sizes.items() if n > max_categories]
-    if wide:
-        raise ValueError(f"too many categories in {wide}; encode them with target_encode_past")
+def fit_key_index(df: DataFrame, columns):
+    """A category index for trees; null and unseen values get the spare last index.
 
-
-def fit_key_index(df: DataFrame, columns, max_categories: int = 1000, sizes: dict[str, int] | None = None):
-    """A category index for trees; unseen values get the spare last index.
-
-    The labels of an index are held on the driver and in every tree node, so a
-    column with more than ``max_categories`` values is refused. Numbers of values
-    that are known already can be given as ``sizes``.
+    The trainer holds the labels of an index in the model, so name columns with
+    few values; encode others with ``target_encode_past``.
     """
     columns = list(columns)
-    if sizes is None:
-        sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-    check_categories(sizes, max_categories)
     return StringIndexer(
         inputCols=columns, outputCols=[f"{c}_index" for c in columns],
         stringOrderType="alphabetAsc", handleInvalid="keep",
     ).fit(df)
 
 
-def index_keys(df: DataFrame, columns, max_categories: int = 1000) -> DataFrame:
+def index_keys(df: DataFrame, columns) -> DataFrame:
     """Add ``<column>_index``, the alphabetical position of each category."""
-    return fit_key_index(df, columns, max_categories).transform(df)
+    return fit_key_index(df, columns).transform(df)
 
 
 def horizon_labels(df: DataFrame, keys, horizons: int, grain: str, label: str = "y",

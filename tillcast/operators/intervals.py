@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import attach
@@ -24,13 +24,18 @@ def residual_interval(backtest: DataFrame, by, lo: float = 0.1, hi: float = 0.9,
         *by, F.col("_q")[0].alias("q_lo"), F.col("_q")[1].alias("q_hi"))
 
 
-def with_interval(forecasts: DataFrame, quantiles: DataFrame, by) -> DataFrame:
-    """Add ``lo`` and ``hi``; groups without residuals get null limits."""
-    return attach(forecasts, quantiles, by, "left").select(
-        *forecasts.columns,
-        (F.col("yhat") + F.col("q_lo")).alias("lo"),
-        (F.col("yhat") + F.col("q_hi")).alias("hi"),
-    )
+def with_interval(forecasts: DataFrame, quantiles: DataFrame, by, level: Column | None = None,
+                  least: Column | None = None) -> DataFrame:
+    """Add ``lo`` and ``hi``; groups without residuals get null limits.
+
+    Quantiles of relative residuals are multiplied with ``level``; limits do not
+    fall below ``least``.
+    """
+    level = F.lit(1.0) if level is None else level
+    lo, hi = (F.col("yhat") + F.col(q) * level for q in ("q_lo", "q_hi"))
+    if least is not None:  # greatest would put it in the place of a null
+        lo, hi = (F.when(limit.isNotNull(), F.greatest(limit, least)) for limit in (lo, hi))
+    return attach(forecasts, quantiles, by, "left").select(*forecasts.columns, lo.alias("lo"), hi.alias("hi"))
 
 
 def coverage(df: DataFrame, by=()) -> DataFrame:

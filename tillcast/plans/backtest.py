@@ -47,7 +47,7 @@ def backtest_gbt(panel: DataFrame, keys, grain: str, n: int, horizon: int, step:
     """
     table = materialize(horizon_table(panel, keys, horizon, grain, spec, last))
     folds = fold_origins(table, n, horizon, step, grain)
-    return backtest_direct(table, keys, spec, folds, params, categories)
+    return backtest_direct(table, keys, spec, folds, params, categories).drop("past_mean")
 
 
 def backtest(panel: DataFrame, keys, grain: str, n: int = 3, horizon: int = 12, step: int = 1, season: int = 12,
@@ -55,6 +55,7 @@ def backtest(panel: DataFrame, keys, grain: str, n: int = 3, horizon: int = 12,
              last: Column | None = None, categories=None) -> DataFrame:
     """Actual and forecast of all models on all folds, one row each."""
     baselines = backtest_baselines(panel, keys, grain, n, horizon, step, season, width, last)
+    baselines = baselines.withColumn("status", F.lit("baseline"))
     return baselines.unionByName(backtest_gbt(panel, keys, grain, n, horizon, step, spec, params, last, categories))
 
 

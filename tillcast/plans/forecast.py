@@ -19,13 +19,20 @@ def forecast_revenue(panel: DataFrame, keys, grain: str, horizon: int = 12, fold
     """Rows of the ``forecasts`` table for the ``horizon`` periods after the panel.
 
     The limits come from backtest residuals, pooled over series per horizon: a
-    single series has too few folds for quantiles of its own. The final model and
-    those of the folds read the same stored table and are fitted side by side;
+    single series has too few folds for quantiles of its own. They are pooled
+    relative to the mean of the series' past and multiplied with it again, so that
+    small and large series get limits of their own size; ``lo`` does not fall below
+    zero, and a series without a positive past mean has no limits. The final model
+    and those of the folds read the same stored table and are fitted side by side;
     fold 0 is the final one, which has no actual values yet.
     """
     table = materialize(horizon_table(panel, keys, horizon, grain, spec, last))
     origins = fold_origins(table, folds, horizon, horizon, grain)
     final = F.lit(table.agg(F.max("origin").alias("last")).first()["last"])
     rows = materialize(backtest_direct(table, keys, spec, {0: final, **origins}, params, categories))
-    limits = residual_interval(rows.filter(F.col("fold") > 0), ["horizon"], lo, hi, pooled=True)
-    return with_interval(rows.filter(F.col("fold") == 0).drop("fold", "y"), limits, ["horizon"])
+    level = F.when(F.col("past_mean") > 0, F.col("past_mean"))
+    known = rows.filter((F.col("fold") > 0) & level.isNotNull())
+    relative = known.select("horizon", (F.col("y") / level).alias("y"), (F.col("yhat") / level).alias("yhat"))
+    limits = residual_interval(relative, ["horizon"], lo, hi, pooled=True)
+    final_rows = rows.filter(F.col("fold") == 0).drop("fold", "y")
+    return with_interval(final_rows, limits, ["horizon"], level, F.lit(0.0)).drop("past_mean")

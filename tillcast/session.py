@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="tillcast-")
+    if named.startswith("file:") and not context.master.startswith("local"):
+        raise RuntimeError(f"{named} is a folder of one machine; spark.checkpoint.dir has to be shared by all executors")
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
@@ -60,9 +62,22 @@ def materialize(df: DataFrame) -> DataFrame:
     Later jobs neither recompute the plan above nor lose it with an executor, and
     they read only the columns and row groups they need.
     """
+    return materialize_at(df)[0]
+
+
+def materialize_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``materialize``, with the path of the stored table for those who delete it."""
     path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_stored(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more; only tables of the shared folder."""
+    if not path.startswith(f"{shared_dir(spark)}/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def side_by_side(spark: SparkSession, job, items, parallelism: int) -> list:
