@@ -12,7 +12,7 @@ from tillcast.operators.features import FeatureSpec, drop_warmup
 from tillcast.operators.splits import holdout
 from tillcast.plans.backtest import backtest
 from tillcast.plans.forecast import forecast_revenue
-from tillcast.session import materialize
+from tillcast.session import delete_stored, materialize, materialize_at
 
 K = ["sid"]
 SPEC = FeatureSpec()
@@ -168,10 +168,57 @@ def test_backtest_has_all_models_on_the_same_cells(planted):
 
 def test_forecast_job_gives_ordered_limits(planted):
     out = forecast_revenue(planted, K, "month", 3, 2, SPEC, SMALL)
-    assert out.columns == ["sid", "origin", "ds", "horizon", "model", "yhat", "lo", "hi"]
+    assert out.columns == ["sid", "origin", "ds", "horizon", "model", "yhat", "status", "lo", "hi"]
     rows = out.collect()
-    assert len(rows) == 150 and all(r.lo <= r.hi for r in rows)
-
-
-def test_tasks_follow_the_rows():
-    assert [M.fit_tasks(n) for n in (0, 1000, 50_000, 5_000_000, 10**11)] == [1, 1, 2, 64, 100_000]
+    assert len(rows) == 150 and all(0 <= r.lo <= r.hi for r in rows)
+
+
+def test_limits_cover_small_and_large_series_alike(planted):
+    sized = planted.withColumn("y", F.col("y") * F.when(F.col("sid") % 2 == 0, 1.0).otherwise(1000.0))
+    past = sized.filter(F.col("ds") <= F.lit(dt.date(2019, 12, 1)))
+    out = forecast_revenue(past, K, "month", 6, 4, SPEC, SMALL)
+    both = out.join(sized.select("sid", "ds", "y"), ["sid", "ds"])
+    share = {r.small: r.inside for r in both.groupBy((F.col("sid") % 2 == 0).alias("small")).agg(
+        F.avg(F.col("y").between(F.col("lo"), F.col("hi")).cast("double")).alias("inside")).collect()}
+    assert all(0.5 < s < 1 for s in share.values())
+
+
+def test_every_series_is_forecast(planted):
+    """Series of 0, 1, 6 and 72 months; the short ones get the mean of what they have."""
+    origin = dt.date(2020, 12, 1)
+    months = {0: 0, 1: 1, 2: 6}
+    kept = F.coalesce(F.create_map(*[F.lit(x) for p in months.items() for x in p])[F.col("sid")], F.lit(72))
+    panel = materialize(planted.select("sid", "ds", "y").filter(
+        (F.col("ds") > F.add_months(F.lit(origin), -kept)) | (F.col("sid") == 0) & (F.col("ds") == F.lit(origin))))
+    cut = F.lit(dt.date(2020, 11, 1))
+    table = materialize(H.horizon_table(panel, K, 3, "month", SPEC))
+    direct, _ = H.forecast_direct(table, K, SPEC, cut, SMALL)
+    model = H.fit_step(planted.filter(F.col("ds") <= cut), K, SPEC, SMALL)
+    recursive = H.forecast_recursive(model, panel, K, 3, "month", SPEC, cut)
+    means = {r.sid: r.m for r in panel.filter(F.col("ds") <= cut).groupBy("sid").agg(F.avg("y").alias("m")).collect()}
+    for out in (direct, recursive):
+        rows = {(r.sid, r.horizon): r for r in out.collect()}
+        assert rows.keys() == {(s, h) for s in range(50) for h in (1, 2, 3)}
+        assert {rows[0, h].status for h in (1, 2, 3)} == {"no past"} and rows[0, 1].yhat is None
+        assert rows[2, 2].status == "mean of past" and rows[2, 2].yhat == pytest.approx(means[2])
+        assert all(rows[s, 3].status == "model" for s in range(3, 50))
+
+
+def test_recursion_does_not_depend_on_where_it_is_stored(spark, planted):
+    model = H.fit_step(planted, K, SPEC, SMALL)
+    runs = [{(r.sid, r.horizon): r.yhat for r in H.forecast_recursive(
+        model, planted, K, 7, "month", SPEC, store_every=k).collect()} for k in (2, 3, 100)]
+    assert len(runs[0]) == 350 and runs[0] == pytest.approx(runs[1]) and runs[0] == pytest.approx(runs[2])
+    plans = [len(H.forecast_recursive(model, planted, K, n, "month", SPEC, store_every=4)._jdf.queryExecution()
+                 .optimizedPlan().toString()) for n in (8, 16)]
+    assert plans[1] < 1.2 * plans[0]
+
+
+def test_stored_tables_are_deleted_only_in_the_shared_folder(spark, tmp_path):
+    df, path = materialize_at(spark.range(3))
+    assert df.count() == 3
+    delete_stored(spark, path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+    with pytest.raises(ValueError):
+        delete_stored(spark, str(tmp_path))

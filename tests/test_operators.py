@@ -84,6 +84,12 @@ def test_densify_fills_gaps_ends_and_null_keys(spark):
         ("a", 1): 5.0, ("a", 4): 7.0, ("b", 2): 3.0, (None, 3): 1.0}
 
 
+def test_densify_leaves_out_rows_beyond_the_bounds(spark):
+    df = series(spark, [("a", "2019-12-01", 5.0), ("a", "2020-02-01", 1.0), ("a", "2020-05-01", 7.0)])
+    got = [(r.ds.month, r.y) for r in P.densify(df, K, "month", (F.lit(day("2020-01-01")), F.lit(day("2020-03-01")))).orderBy("ds").collect()]
+    assert got == [(1, 0.0), (2, 1.0), (3, 0.0)]
+
+
 def test_densify_over_leap_day(spark):
     df = series(spark, [("a", "2024-02-28", 1.0), ("a", "2024-03-01", 2.0)])
     assert [(r.ds.isoformat(), r.y) for r in P.densify(df, K, "day").orderBy("ds").collect()] == [
@@ -300,10 +306,9 @@ def test_history_features_equal_panel_features(spark):
     assert tuple(a) == pytest.approx(tuple(b), rel=1e-12)
 
 
-def test_wide_categories_are_refused(spark):
+def test_any_number_of_named_categories_is_indexed(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="target_encode_past"):
-        X.index_keys(df, ["c"])
+    assert X.index_keys(df, ["c"]).agg(F.count_distinct("c_index")).first()[0] == 5000
 
 
 def test_index_gives_unseen_and_null_keys_the_spare_value(spark):
@@ -414,6 +419,32 @@ def test_top_down_keeps_the_parent_total(spark):
     assert got == {10: 75.0, 11: 25.0, 20: 25.0, 21: 25.0, 30: 8.0}
 
 
+def test_top_down_keeps_parents_without_training_rows(spark):
+    parents = spark.createDataFrame([(1, 100.0), (7, 40.0)], "region_key int, yhat double")
+    train = spark.createDataFrame([(1, 10, 3.0), (1, 11, 1.0)], "region_key int, nation_key int, y double")
+    rows = R.top_down(parents, train).collect()
+    assert sum(r.yhat for r in rows) == 140.0
+    assert [(r.nation_key, r.share, r.yhat) for r in rows if r.region_key == 7] == [(None, 1.0, 40.0)]
+
+
+def test_residual_acf_does_not_depend_on_row_order(spark):
+    values = [(m, f, day(f"2020-{d:02d}-01"), float((d * 7 + f * 3 + len(m)) % 11), 1.0)
+              for m in ("a", "bb") for f in (1, 2) for d in range(1, 13)]
+    df = spark.createDataFrame([("k", *v) for v in values], "k string, model string, fold int, ds date, y double, yhat double")
+    apart = {(r.model, r.fold): r.acf_1 for r in E.residual_acf(df, K, [1], ["model", "fold"]).collect()}
+    again = {(r.model, r.fold): r.acf_1 for r in E.residual_acf(df.orderBy("y").repartition(5), K, [1], ["model", "fold"]).collect()}
+    assert len(apart) == 4 and again == pytest.approx(apart)
+    mixed = [E.residual_acf(d, K, [1]).first().acf_1 for d in (df, df.orderBy(F.desc("y")).repartition(3))]
+    assert mixed[0] == pytest.approx(mixed[1])
+
+
+def test_limits_follow_the_level_and_stay_above_the_least(spark):
+    fc = spark.createDataFrame([("a", 10.0, 10.0), ("b", 1000.0, 1000.0), ("c", 1.0, None)], "k string, yhat double, level double")
+    q = spark.createDataFrame([(1, -2.0, 0.5)], "g int, q_lo double, q_hi double")
+    rows = I.with_interval(fc.withColumn("g", F.lit(1)), q, ["g"], F.col("level"), F.lit(0.0)).orderBy("k").collect()
+    assert [(r.lo, r.hi) for r in rows] == [(0.0, 15.0), (0.0, 1500.0), (None, None)]
+
+
 def test_actual_vs_forecast_keeps_both_sides(spark):
     actual = series(spark, [("a", "2020-01-01", 1.0), ("a", "2020-02-01", 9.0)])
     fc = spark.createDataFrame([("a", day("2020-02-01"), 5.0, 4.0, 6.0), ("a", day("2020-03-01"), 5.0, None, None)],
