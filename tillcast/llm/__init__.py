@@ -3,6 +3,9 @@
 from . import (  # noqa: F401  (each registers its query)
     bpe, decontaminate, html_text, jaccard, pii, quality, records, secret_scan, token_counts, toxicity,
 )
+from .checks import SQL
 from .common import CHECKS, QUERIES
 
+CHECKS.update(SQL)
+
 __all__ = ["CHECKS", "QUERIES"]

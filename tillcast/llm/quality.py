@@ -128,7 +128,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS_DISTANCE)
          & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD_DISTANCE)).alias("kept"),
-        "class_distance", "word_distance")
+        F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 @query("op9_quality_rules")
