@@ -8,9 +8,10 @@ from ..functions.periods import shift
 from ..operators import evaluate as E
 from ..operators import intervals as I
 from ..operators import reconcile as R
-from ..operators.baselines import seasonal_naive
+from ..operators.baselines import BASELINES, seasonal_naive
 from ..operators.joins import attach
 from ..operators.splits import fold_origin
+from ..session import materialize
 from .base import (
     BACKTEST, ERROR_PLACES, ERRORS, FOLDS, HORIZON, PANEL, SEASON, last_month, nation_backtest, nation_panel,
     nation_regions, panel_sql, query, rounded,
@@ -29,10 +30,9 @@ def metrics_by_series(spark, path):
     return rounded(E.metrics(nation_backtest(spark, path), ["nation_key", "model"]), ERROR_PLACES)
 
 
-@query("metrics_total", f"{BACKTEST} SELECT {ERRORS} FROM backtest WHERE model = 'moving_average'")
+@query("metrics_total", f"{BACKTEST} SELECT {ERRORS} FROM backtest")
 def metrics_total(spark, path):
-    rows = nation_backtest(spark, path).filter(F.col("model") == "moving_average")
-    return rounded(E.metrics(rows), ERROR_PLACES)
+    return rounded(E.metrics(nation_backtest(spark, path)), ERROR_PLACES)
 
 
 @query("mase", f"""{BACKTEST},
@@ -72,11 +72,11 @@ def leaderboard(spark, path):
 
 
 @query("worst_series", f"""{BACKTEST}
-SELECT nation_key, {ERRORS} FROM backtest WHERE model = 'moving_average' GROUP BY nation_key
-ORDER BY avg(abs(yhat - y)) DESC, nation_key LIMIT 5""")
+SELECT nation_key, model, {ERRORS} FROM backtest GROUP BY nation_key, model
+ORDER BY avg(abs(yhat - y)) DESC, nation_key, model LIMIT 5""")
 def worst_series(spark, path):
-    rows = nation_backtest(spark, path).filter(F.col("model") == "moving_average")
-    return rounded(E.worst_series(E.metrics(rows, K), K, 5), ERROR_PLACES)
+    keys = [*K, "model"]
+    return rounded(E.worst_series(E.metrics(nation_backtest(spark, path), keys), keys, 5), ERROR_PLACES)
 
 
 @query("residual_acf", f"""{PANEL},
@@ -119,44 +119,47 @@ def pooled_interval(spark, path):
 # Limits from the earlier folds, applied to the forecasts of the last one.
 _LIMITED = f"""{BACKTEST},
 limits AS (
-  SELECT nation_key, quantile_cont(y - yhat, 0.1) AS q_lo, quantile_cont(y - yhat, 0.9) AS q_hi
-  FROM backtest WHERE fold < {FOLDS} AND model = 'moving_average' GROUP BY nation_key),
+  SELECT nation_key, model, quantile_cont(y - yhat, 0.1) AS q_lo, quantile_cont(y - yhat, 0.9) AS q_hi
+  FROM backtest WHERE fold < {FOLDS} GROUP BY nation_key, model),
 limited AS (
-  SELECT nation_key, ds, horizon, y, yhat, yhat + q_lo AS lo, yhat + q_hi AS hi
-  FROM backtest LEFT JOIN limits USING (nation_key) WHERE fold = {FOLDS} AND model = 'moving_average')"""
+  SELECT nation_key, model, ds, horizon, y, yhat, yhat + q_lo AS lo, yhat + q_hi AS hi
+  FROM backtest LEFT JOIN limits USING (nation_key, model) WHERE fold = {FOLDS})"""
 
 
 def _limited(spark, path):
-    rows = nation_backtest(spark, path).filter(F.col("model") == "moving_average")
-    limits = I.residual_interval(rows.filter(F.col("fold") < FOLDS), K)
-    return I.with_interval(rows.filter(F.col("fold") == FOLDS), limits, K)
+    """Every model's forecasts of the last fold, with its limits; the backtest is stored and read twice."""
+    rows, by = materialize(nation_backtest(spark, path)), [*K, "model"]
+    limits = I.residual_interval(rows.filter(F.col("fold") < FOLDS), by)
+    return I.with_interval(rows.filter(F.col("fold") == FOLDS), limits, by)
 
 
 @query("coverage", f"""{_LIMITED}
-SELECT horizon, count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 9) AS coverage
-FROM limited GROUP BY horizon""")
+SELECT model, horizon, count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 9) AS coverage
+FROM limited GROUP BY model, horizon""")
 def coverage(spark, path):
-    return rounded(I.coverage(_limited(spark, path), ["horizon"]), {"coverage": 9})
+    return rounded(I.coverage(_limited(spark, path), ["model", "horizon"]), {"coverage": 9})
 
 
 _PLACED = f"""{BACKTEST},
 placed AS (
-  SELECT model, origin, horizon, ds, n_regionkey AS region_key, nation_key, yhat
-  FROM backtest LEFT JOIN nation ON nation_key = n_nationkey WHERE fold = {FOLDS} AND model = 'moving_average')"""
+  SELECT model, fold, origin, horizon, ds, n_regionkey AS region_key, nation_key, yhat
+  FROM backtest LEFT JOIN nation ON nation_key = n_nationkey)"""
+
+RUN = ["model", "fold", "origin", "horizon", "ds"]
 
 
 def _placed(spark, path):
-    rows = nation_backtest(spark, path).filter((F.col("model") == "moving_average") & (F.col("fold") == FOLDS))
+    rows = nation_backtest(spark, path)
     return attach(rows, nation_regions(spark, path), K, "left")
 
 
 @query("bottom_up", f"""{_PLACED}
 SELECT CASE WHEN grouping(nation_key) = 0 THEN 'nation_key' WHEN grouping(region_key) = 0 THEN 'region_key'
-            ELSE 'total' END AS level, region_key, nation_key, model, origin, horizon, ds, round(sum(yhat), 2) AS yhat
-FROM placed GROUP BY GROUPING SETS ((model, origin, horizon, ds), (model, origin, horizon, ds, region_key),
-  (model, origin, horizon, ds, region_key, nation_key))""")
+            ELSE 'total' END AS level, region_key, nation_key, model, fold, origin, horizon, ds, round(sum(yhat), 1) + 0.0 AS yhat
+FROM placed GROUP BY GROUPING SETS ((model, fold, origin, horizon, ds), (model, fold, origin, horizon, ds, region_key),
+  (model, fold, origin, horizon, ds, region_key, nation_key))""")
 def bottom_up(spark, path):
-    return rounded(R.bottom_up(_placed(spark, path)), {"yhat": 2})
+    return rounded(R.bottom_up(_placed(spark, path), run=RUN), {"yhat": 1})
 
 
 @query("top_down", f"""{_PLACED},
@@ -166,12 +169,12 @@ children AS (
 shares AS (
   SELECT region_key, nation_key, CAST(y AS DOUBLE) / CAST(sum(y) OVER (PARTITION BY region_key) AS DOUBLE) AS share
   FROM children)
-SELECT region_key, ds, horizon, nation_key, share, round(yhat * share, 2) AS yhat
-FROM (SELECT region_key, ds, horizon, sum(yhat) AS yhat FROM placed GROUP BY ALL) JOIN shares USING (region_key)""")
+SELECT model, fold, region_key, ds, horizon, nation_key, share, round(yhat * share, 2) AS yhat
+FROM (SELECT model, fold, region_key, ds, horizon, sum(yhat) AS yhat FROM placed GROUP BY ALL) JOIN shares USING (region_key)""")
 def top_down(spark, path):
-    whole = R.bottom_up(_placed(spark, path)).filter(F.col("level") == "region_key")
+    whole = R.bottom_up(_placed(spark, path), run=RUN).filter(F.col("level") == "region_key")
     train = attach(nation_panel(spark, path), nation_regions(spark, path), K, "left")
-    split = R.top_down(whole.select("region_key", "ds", "horizon", "yhat"), train)
+    split = R.top_down(whole.select("model", "fold", "region_key", "ds", "horizon", "yhat"), train)
     return rounded(split, {"yhat": 2})
 
 
@@ -182,13 +185,13 @@ children AS (
 shares AS (
   SELECT region_key, nation_key, CAST(y AS DOUBLE) / CAST(sum(y) OVER (PARTITION BY region_key) AS DOUBLE) AS share
   FROM children)
-SELECT region_key, ds, horizon, nation_key, coalesce(share, 1) AS share, round(yhat * coalesce(share, 1), 2) AS yhat
-FROM (SELECT region_key, ds, horizon, sum(yhat) AS yhat FROM placed GROUP BY ALL) LEFT JOIN shares USING (region_key)""")
+SELECT model, fold, region_key, ds, horizon, nation_key, coalesce(share, 1) AS share, round(yhat * coalesce(share, 1), 2) AS yhat
+FROM (SELECT model, fold, region_key, ds, horizon, sum(yhat) AS yhat FROM placed GROUP BY ALL) LEFT JOIN shares USING (region_key)""")
 def top_down_childless(spark, path):
     """Region 0 has no training rows: its forecast stays whole."""
-    whole = R.bottom_up(_placed(spark, path)).filter(F.col("level") == "region_key")
+    whole = R.bottom_up(_placed(spark, path), run=RUN).filter(F.col("level") == "region_key")
     train = attach(nation_panel(spark, path), nation_regions(spark, path), K, "left").filter(F.col("region_key") > 0)
-    return rounded(R.top_down(whole.select("region_key", "ds", "horizon", "yhat"), train), {"yhat": 2})
+    return rounded(R.top_down(whole.select("model", "fold", "region_key", "ds", "horizon", "yhat"), train), {"yhat": 2})
 
 
 @query("future_frame", f"""{panel_sql('nation_key, segment')}
@@ -201,17 +204,18 @@ def future_frame(spark, path):
 
 @query("actual_vs_forecast", f"""{_LIMITED},
 actuals AS (
-  SELECT nation_key, panel.ds, y FROM panel, bounds
+  SELECT nation_key, model, panel.ds, y FROM panel, bounds, (SELECT DISTINCT model FROM backtest)
   WHERE panel.ds > last_ds - INTERVAL 15 MONTH AND panel.ds <= last_ds - INTERVAL 3 MONTH)
-SELECT coalesce(a.nation_key, l.nation_key) AS nation_key, coalesce(a.ds, l.ds) AS ds, a.y, round(yhat, 2) AS yhat,
+SELECT coalesce(a.nation_key, l.nation_key) AS nation_key, coalesce(a.model, l.model) AS model, coalesce(a.ds, l.ds) AS ds, a.y, round(yhat, 2) AS yhat,
   round(lo, 2) AS lo, round(hi, 2) AS hi, round(a.y - yhat, 2) AS variance,
   round((a.y - yhat) / nullif(yhat, 0), 8) AS variance_rate,
   CASE WHEN l.ds IS NULL THEN 'actual only' WHEN a.ds IS NULL THEN 'forecast only' ELSE 'both' END AS status,
   NOT (a.y BETWEEN lo AND hi) AS outside
-FROM actuals a FULL JOIN limited l ON a.nation_key = l.nation_key AND a.ds = l.ds""")
+FROM actuals a FULL JOIN limited l ON a.nation_key = l.nation_key AND a.model = l.model AND a.ds = l.ds""")
 def actual_vs_forecast(spark, path):
     last = last_month(spark, path)
     actual = nation_panel(spark, path).filter(
         (F.col("ds") > shift(last, -15, "month")) & (F.col("ds") <= shift(last, -3, "month")))
-    report = R.actual_vs_forecast(actual, _limited(spark, path), K)
+    each = actual.withColumn("model", F.explode(F.array(*[F.lit(m) for m in BASELINES])))
+    report = R.actual_vs_forecast(each, _limited(spark, path), [*K, "model"])
     return rounded(report, {"yhat": 2, "lo": 2, "hi": 2, "variance": 2, "variance_rate": 8})

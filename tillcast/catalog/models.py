@@ -75,7 +75,8 @@ def split_gain(spark, path):
     return rounded(M.split_gain(rows, "y_lag_1"), {"gain_share": 8})
 
 
-@query("boosted_stumps", f"""{PANEL},
+# Two boosting rounds of one split on the month.
+_BOOSTED = f"""{PANEL},
 known AS (SELECT nation_key, ds, CAST(month(ds) AS INTEGER) AS month, y FROM panel),
 {_splits_sql('first', 'known', 'month', 'y')},
 once AS (
@@ -83,13 +84,19 @@ once AS (
 residuals AS (SELECT *, 2 * (y - f1) AS r FROM once),
 {_splits_sql('second', 'residuals', 'month', 'r')}
 SELECT nation_key, ds, y, round(f1 + 0.1 * CASE WHEN month <= threshold THEN left_mean ELSE right_mean END, 2) AS yhat
-FROM once, second""")
+FROM once, second"""
+
+
+@query("boosted_stumps", _BOOSTED)
 def boosted_stumps(spark, path):
-    """Two boosting rounds of one split each."""
+    rows, model = _boosted(spark, path)
+    return rounded(M.predict(model, rows).drop("month"), {"yhat": 2})
+
+
+def _boosted(spark, path):
     rows = materialize(nation_panel(spark, path).select("nation_key", "ds", F.month("ds").alias("month"), "y"))
     params = M.GbtParams(trees=2, depth=1, step=0.1)
-    model = M.fit_gbt(rows, M.Inputs(("month",), (), "y", (*K, "ds")), params)
-    return rounded(M.predict(model, rows).drop("month"), {"yhat": 2})
+    return rows, M.fit_gbt(rows, M.Inputs(("month",), (), "y", (*K, "ds")), params)
 
 
 @query("direct_stump", f"""{PANEL},
@@ -369,18 +376,15 @@ def tuned_setting(spark, path):
     return M.best_setting(tune_gbt(spark, path))
 
 
-@query("saved_model", f"""{PANEL},
-lagged AS (SELECT nation_key, ds, y, lag(y, 12) OVER (PARTITION BY nation_key ORDER BY ds) AS y_lag_12 FROM panel)
-SELECT nation_key, ds, y, CAST(0 AS DOUBLE) AS moved FROM lagged WHERE y_lag_12 IS NOT NULL""")
+@query("saved_model", f"SELECT *, CAST(0 AS DOUBLE) AS moved FROM ({_BOOSTED})")
 def saved_model(spark, path):
-    """How far scores move when the model is stored and loaded again: not at all."""
-    rows = materialize(_features(spark, path))
-    model = M.fit_gbt(rows, INPUTS, M.GbtParams(trees=3, depth=3))
+    """Scores of a model that was stored and loaded again, and how far they moved: not at all."""
+    rows, model = _boosted(spark, path)
     stored = new_path(spark, "model")
     M.save_model(model, stored)
     before = M.predict(model, rows).withColumnRenamed("yhat", "before")
-    return M.predict(M.load_model(stored), before).select(
-        "nation_key", "ds", "y", F.abs(F.col("yhat") - F.col("before")).alias("moved"))
+    again = M.predict(M.load_model(stored), before)
+    return rounded(again.select("nation_key", "ds", "y", "yhat", F.abs(F.col("yhat") - F.col("before")).alias("moved")), {"yhat": 2})
 
 
 @query("forecast_direct")
