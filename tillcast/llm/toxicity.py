@@ -31,14 +31,14 @@ class Training:
     """Bounds and settings of the fit. The sample holds at most ``most_toxic`` and ``most_clean`` texts of at
     most ``most_chars`` characters; which ones, a hash of the id decides."""
 
-    most_toxic: int = 4_000
-    most_clean: int = 10_000
-    most_chars: int = 20_000
+    most_toxic: int = 2_500
+    most_clean: int = 8_000
+    most_chars: int = 10_000
     buckets: int = 2**17
     width: int = 8
     scale: float = 100.0  # of the average, so that a few words in a thousand can count
     padding: int = 200  # neutral n-grams averaged in, so that a few words alone decide little
-    epochs: int = 5
+    epochs: int = 6
     batch: int = 64
     step: float = 0.1
     seed: int = 7
@@ -128,6 +128,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / (count + self.padding) + self.bias, -60, 60)))
 
 
+def _features(texts: list[str], how: Training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of each text and their shares, end to end in arrays that double as they fill."""
+    def wider(values: np.ndarray, filled: int) -> np.ndarray:
+        out = np.empty(2 * len(values), values.dtype)
+        out[:filled] = values[:filled]
+        return out
+
+    first, ids, shares = np.zeros(len(texts) + 1, np.int64), np.empty(1 << 20, np.int32), np.empty(1 << 20, np.float32)
+    for i, text in enumerate(texts):
+        own, counts = np.unique(ngram_buckets([text], how.buckets)[0].astype(np.int32), return_counts=True)
+        first[i + 1] = first[i] + len(own)
+        while first[i + 1] > len(ids):
+            ids = wider(ids, first[i])
+            shares = wider(shares, first[i])
+        ids[first[i]:first[i + 1]] = own
+        shares[first[i]:first[i + 1]] = counts / (counts.sum() + how.padding)
+    return first, ids, shares
+
+
 def fit(texts: list[str], labels: np.ndarray, how: Training) -> Model:
     """Train vectors and softmax together by Adagrad on shuffled batches; without both labels, the more common one is sure."""
     if len(set(labels.tolist())) < 2:
@@ -136,20 +155,16 @@ def fit(texts: list[str], labels: np.ndarray, how: Training) -> Model:
     vectors = np.zeros((how.buckets, how.width), np.float32)  # an n-gram that was never seen says nothing
     softmax, bias = rng.normal(0, 0.5, (how.width, 2)).astype(np.float32), np.zeros(2, np.float32)
     square_v, square_s, square_b = np.full((how.buckets, how.width), 1e-6, np.float32), np.full((how.width, 2), 1e-6), np.full(2, 1e-6)
-    rows = []
-    for text in texts:
-        buckets, _ = ngram_buckets([text], how.buckets)
-        ids, counts = np.unique(buckets, return_counts=True)
-        rows.append((ids, (counts / (counts.sum() + how.padding)).astype(np.float32)))
+    first, all_ids, all_shares = _features(texts, how)
     for _ in range(how.epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(texts))
         for low in range(0, len(order), how.batch):
             part = order[low:low + how.batch]
-            sizes = np.array([len(rows[i][0]) for i in part])
-            ids = np.concatenate([rows[i][0] for i in part])
-            if not len(ids):
+            sizes = first[part + 1] - first[part]
+            if not sizes.sum():
                 continue
-            share = np.concatenate([rows[i][1] for i in part]) * how.scale
+            ids = np.concatenate([all_ids[first[i]:first[i + 1]] for i in part])
+            share = np.concatenate([all_shares[first[i]:first[i + 1]] for i in part]) * how.scale
             text = np.repeat(np.arange(len(part)), sizes)
             used, place = np.unique(ids, return_inverse=True)
             taken = vectors[used]
@@ -194,7 +209,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training(
     sample = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
               .where(F.length("text") <= how.most_chars).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     rows = sample.toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64), how)
+    texts, toxic = rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return fit(texts, toxic, how)
 
 
 def _score(batches, model):
