@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import query, ship_package, table
 
-PIECES_KEPT = 500_000  # encoded chunks that a worker remembers
+PIECES_KEPT = 400_000  # encoded chunks that a worker remembers
 PIECE_CHARS = 1_000  # chunks longer than this are encoded anew each time
 
 # White space, and the pattern that cuts a text into the pieces that merges stay within.
@@ -149,7 +149,7 @@ def _tokens(path: str, with_ids: bool):
                 rows.append((doc_id, len(ids), hashlib.sha256(tokenizer.written(ids).encode()).hexdigest(),
                              hashlib.sha256(tokenizer.decode(ids).encode()).hexdigest(), ids if with_ids else None))
                 size += len(ids)
-                if with_ids and size > 1_000_000:
+                if with_ids and size > 250_000:
                     yield _batch(rows)
                     rows, size = [], 0
             yield _batch(rows)

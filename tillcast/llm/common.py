@@ -7,7 +7,8 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BROADCAST_KEYS = 1_000_000  # of at most 16 bytes each
+
+
+def without(rows: DataFrame, on: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``on`` is not among ``keys``, a stored table of one column without repeats.
+
+    Up to a number of keys that is counted first they are broadcast, so that the texts stay where they are;
+    beyond it both sides are shuffled. The result is the same.
+    """
+    name = keys.columns[0]
+    gone = keys.select(F.col(name).alias("_gone"))
+    gone = F.broadcast(gone) if keys.count() <= BROADCAST_KEYS else gone
+    return rows.join(gone, on == F.col("_gone"), "left_anti")
+
+
 def buckets(spark: SparkSession, each: int = 1) -> int:
     """Pieces for work dealt out by a hash, in proportion to the shuffle partitions."""
     return each * int(spark.conf.get("spark.sql.shuffle.partitions"))

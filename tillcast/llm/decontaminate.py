@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import query, ship_package, table
+from .common import query, ship_package, table, without
 from .textnum import ALPHANUMERIC, U, combine, slices, text_bytes, words
 
 WINDOW = 10  # words
@@ -162,8 +162,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    found = benchmark_hits(docs, benchmark).where("n_hit > 0").select(F.col("row").alias("_row")).distinct()
-    return docs.join(found, row_key() == F.col("_row"), "left_anti")
+    found = materialize(benchmark_hits(docs, benchmark).where("n_hit > 0").select("row").distinct())
+    return without(docs, row_key(), found)
 
 
 @query("op6_decontaminate")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import buckets, query, ship_package, table
+from .common import buckets, query, ship_package, table, without
 from .components import components
 from .textnum import SPACED, U, combine, slices, text_bytes, words
 
@@ -338,13 +338,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat a ``doc_id`` are one document: one of them stays. Rows with a null ``doc_id`` stay.
     """
     found = materialize(jaccard_components(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    once = docs.join(gone.union(repeated).distinct(), "doc_id", "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    repeated = materialize(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    once = without(docs, F.col("doc_id"), materialize(gone.union(repeated).distinct()))
     if repeated.isEmpty():
-        return once.select(docs.columns)
+        return once
     again = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(docs.columns)
+    return once.unionByName(again.select(docs.columns))
 
 
 @query("op2_jaccard")

@@ -162,7 +162,7 @@ def _encoded(batches, encoder: ChunkEncoder):
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         docs = batch.column(0).to_pylist()
-        for low, high in slices(offsets):
+        for low, high in slices(offsets, 2_000_000):
             whole = data[offsets[low]:offsets[high]].tobytes()
             at = (offsets[low:high + 1] - offsets[low]).tolist()
             yield from zip(docs[low:high], encoder.encode_all([whole[a:b] for a, b in zip(at, at[1:])]))

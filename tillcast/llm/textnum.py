@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SPAN = 2_000_000  # bytes hashed at a time; a longer word is hashed in one go
+SPAN = 1_000_000  # bytes hashed at a time; a longer word is hashed in one go
 _BASE = 0x9E3779B97F4A7C15
 _BYTE_CODES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -148,7 +148,7 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: boo
     return Words(data, starts, ends, hash_runs(data, starts, ends), np.searchsorted(starts, offsets))
 
 
-def slices(offsets: np.ndarray, most_bytes: int = 2_000_000, most_texts: int = 30_000) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most_bytes: int = 1_000_000, most_texts: int = 30_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of a bounded size; a longer text stands alone."""
     low = 0
     while low < len(offsets) - 1:

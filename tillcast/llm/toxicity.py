@@ -22,7 +22,7 @@ from .common import query, ship_package, table
 from .textnum import U, mix
 
 THRESHOLD = 0.7
-PIECE = 400_000  # characters looked at together
+PIECE = 100_000  # characters looked at together
 SIZES = (3, 4, 5, 6)
 
 
@@ -215,9 +215,17 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training(
     return fit(texts, toxic, how)
 
 
+ROWS = 500  # texts of a batch that are held as strings at a time
+
+
+def _scores(texts, model: Model) -> np.ndarray:
+    parts = [model.scores([t or "" for t in texts.slice(low, ROWS).to_pylist()]) for low in range(0, len(texts), ROWS)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def _score(batches, model):
     for batch in batches:
-        scores = model.value.scores([t or "" for t in batch.column(1).to_pylist()])
+        scores = _scores(batch.column(1), model.value)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=_SCORES_ARROW)
 
 
@@ -235,7 +243,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def _clean(batches, model, column):
     for batch in batches:
-        scores = model.value.scores([t or "" for t in batch.column(column).to_pylist()])
+        scores = _scores(batch.column(column), model.value)
         yield batch.filter(pa.array(scores < THRESHOLD))
 
 
