@@ -364,6 +364,25 @@ def test_pages_keep_the_article_only(spark):
     assert [g[3] for g in got] == [len(main_text(page))] * 2 + [0] and extract_text(df.limit(0)).count() == 0
 
 
+def test_names_and_forms_do_not_cut_articles():
+    prose = "<p>Some words, of the article, that say something.</p>" * 4
+    text = "\n".join(["Some words, of the article, that say something."] * 4)
+    for outer in ('div class="layout has-sidebar"', 'div class="post no-sidebar"', 'div class="layout--with-sidebar"', "div class=widget",
+                  'div class="elementor-widget"', 'form action="/"', "div id=sidebar"):
+        tag = outer.split()[0]
+        assert main_text(f"<body><{outer}><article>{prose}</article></{tag}></body>") == text, outer
+        assert main_text(f"<body><{outer}>{prose}</{tag}></body>") == text, outer
+        assert main_text(f"<body><{outer}><article>{prose}</article><div class=sidebar>no, no</div></{tag}><div id=comments>no</div></body>") == text
+    assert main_text(f"<div class=comments><p>no, no</p></div><article class=widget>{prose}</article>") == text
+    slugs = '<h2 id="header-2">A</h2><section id="related-work"><h2 class="header">B</h2><p>b.</p></section><section id="header-3">c.</section>'
+    slugs += '<section id="social-policy"><h2>D</h2><p>d.</p></section><div class="related-posts"><p>no</p></div>'
+    assert main_text(f"<body><article>{prose}{slugs}</article></body>") == text + "\nA\nB\nb.\nc.\nD\nd."
+    parts = "".join(f"<div class=widget><p>Part {i}, of three.</p></div>" for i in range(3))  # none holds most of the text
+    assert main_text(f"<body>{parts}</body>").startswith("Part 0, of three.")
+    comments = "<div class=comment><p>no, no, no, said a reader, no, not at all, no, and went on</p></div>" * 20
+    assert main_text(f"<body><div>{prose}</div><div id=comments>{comments}</div></body>") == text
+
+
 def test_pseudonyms_permute_within_formats(spark, mixed, empty):
     key = b"k" * 32
     for size in (1, 2, 7, 97, 1000):

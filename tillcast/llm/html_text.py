@@ -1,7 +1,8 @@
 """Main text of web pages by scoring the tree of their elements.
 
 Text blocks pass points for length and commas to the elements above them; an
-element's points are discounted by the share of its text that stands in links.
+element's points are discounted by the share of its text that stands in links,
+and by class and id names of menus, comments and the like.
 The best container is taken, with those of its siblings that look like it.
 """
 
@@ -20,6 +21,8 @@ from .common import query, ship_package, table
 POINTS_UP = (1.0, 0.5, 1 / 3)  # shares of a block's points for its parent, grandparent and the next
 SIBLING_SHARE = 0.2  # of the best container's points, for a sibling to be kept
 MOST_LINKED = 0.5  # share of a sibling's text in links
+MOST_TEXT = 0.5  # share of the page's unlinked text above which no name cuts an element
+LOWERED = 0.5  # of its points are left to what stands in a form or under an unlikely name
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,7 +30,7 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search
     section select summary table tbody td tfoot th thead tr ul""".split())
 JUNK = frozenset("""script style noscript template iframe object svg math canvas audio video head title nav header footer aside
-    form button select option textarea input fieldset dialog menu search""".split())
+    button select option textarea input fieldset dialog menu search""".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 TEXTUAL = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -37,24 +40,30 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
+# Words of class and id names; those of the second set say nothing by themselves, those of the third that the element is another.
 UNLIKELY = re.compile(
-    r"""(?ix)(?:^|[-_\s]) (?: ads? | advert\w* | banner | breadcrumbs? | comments? | cookies? | consent | disqus | dialog | footer
+    r"""(?ix) (?: ads? | advert\w* | banner | breadcrumbs? | comments? | cookies? | consent | disqus | dialog | footer
     | gdpr | header | masthead | menu | modal | nav\w* | newsletter | notices? | outbrain | pagination | pager | popup | promo\w*
     | recommend\w* | related | repl(?:y|ies) | share | sharing | sidebar | signup | social | sponsor\w* | subscribe | taboola
-    | toolbar | widget ) (?=$|[-_\s\d])""")
+    | toolbar | widget ) \d* """)
+LAYOUT = frozenset("""area articles bar block body bottom box button buttons col column container content form global group icons inner
+    item items left link links list main message outer page posts primary right row secondary section site stories text title top
+    wrap wrapper""".split())
+ABOUT_OTHERS = frozenset("has no not with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _END_OF_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _COMMAS = re.compile("[,،、，]")
+_PARTS = re.compile(r"[-_]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "junk", "points", "own", "linked")
+    __slots__ = ("tag", "parent", "children", "junk", "unlikely", "points", "own", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool):
-        self.tag, self.parent, self.junk = tag, parent, junk
+    def __init__(self, tag: str, parent: Node | None, junk: bool, unlikely: int = 0):
+        self.tag, self.parent, self.junk, self.unlikely = tag, parent, junk, unlikely
         self.children: list[Node | str] = []
         self.points = 0.0
         self.own = self.linked = 0  # characters of text below, and of those in links
@@ -67,8 +76,6 @@ def _is_junk(tag: str, attributes: str) -> bool:
         return False
     for match in _ATTRIBUTE.finditer(attributes):
         name, value = match[1].lower(), match[2] or match[3] or match[4] or ""
-        if name in ("class", "id") and UNLIKELY.search(value):
-            return True
         if name == "role" and value.lower() in ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -78,6 +85,30 @@ def _is_junk(tag: str, attributes: str) -> bool:
     return False
 
 
+def _unlikely(tag: str, attributes: str) -> int:
+    """2 for a form and where a class or id is made of unlikely words, 1 where it has one among others, else 0.
+
+    An id that ends in a number is taken for one that was numbered, such as that of a heading.
+    """
+    if tag in HEADINGS or tag in ("html", "body", "main"):
+        return 0
+    level = 2 if tag == "form" else 0
+    if not attributes or attributes.isspace():
+        return level
+    for match in _ATTRIBUTE.finditer(attributes):
+        name = match[1].lower()
+        if name not in ("class", "id"):
+            continue
+        for token in (match[2] or match[3] or match[4] or "").split():
+            parts = [p for p in _PARTS.split(token) if p]
+            unlikely = [UNLIKELY.fullmatch(p) is not None for p in parts]
+            if not any(unlikely) or any(p.lower() in ABOUT_OTHERS for p in parts):
+                continue
+            whole = all(u or p.isdigit() or p.lower() in LAYOUT for p, u in zip(parts, unlikely))
+            level = max(level, 2 if whole and not (name == "id" and token[-1].isdigit()) else 1)
+    return level
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers would roughly do."""
     root = node = Node("#page", None, False)
@@ -120,12 +151,13 @@ def parse(page: str) -> Node:
                 node = up_to(found)
         elif tag in BLOCK and (found := nearest({"p"}, BLOCK - {"p"})) is not None:
             node = up_to(found)
-        new = Node(tag, node, _is_junk(tag, match[3]))
+        new = Node(tag, node, _is_junk(tag, match[3]), _unlikely(tag, match[3]))
         node.children.append(new)
         if tag == "main":  # what is called a sidebar, say, but holds the main part is a wrapper
             look = node
             while look is not None:
                 look.junk = look.tag in JUNK
+                look.unlikely = 0
                 look = look.parent
         if tag in VOID or match[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
@@ -174,8 +206,8 @@ def _text_length(text: str) -> int:
     return len(" ".join(text.split()))
 
 
-def _score(root: Node) -> list[Node]:
-    """Give points to containers; returns all elements outside junk, in page order."""
+def _measure(root: Node) -> list[Node]:
+    """Count the text, and that in links, of all elements outside junk; returns them in page order."""
     nodes: list[Node] = []
     stack = [root]
     while stack:
@@ -183,6 +215,8 @@ def _score(root: Node) -> list[Node]:
         nodes.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.junk)
     for node in reversed(nodes):  # children before parents
+        node.own = node.linked = 0
+        node.points = 0.0
         for child in node.children:
             if isinstance(child, str):
                 node.own += _text_length(child)
@@ -191,6 +225,43 @@ def _score(root: Node) -> list[Node]:
                 node.linked += child.linked
         if node.tag == "a":
             node.linked = node.own
+    return nodes
+
+
+def _is_dense(node: Node) -> bool:
+    return node.linked > MOST_LINKED * node.own
+
+
+def _cut(root: Node) -> list[Node]:
+    """Make junk of unlikely elements; returns them.
+
+    Never an article, nor what holds one, nor what holds most of the page's unlinked text; and where the name
+    has other words too, only blocks whose text is mostly links.
+    """
+    nodes = _measure(root)
+    if not any(n.unlikely for n in nodes):
+        return []
+    whole = root.own - root.linked
+    holders = set()
+    for node in nodes:
+        if node.tag == "article" and not node.unlikely and not _is_dense(node):
+            look = node.parent
+            while look is not None and look not in holders:
+                holders.add(look)
+                look = look.parent
+    cut = []
+    for node in nodes:
+        if not node.unlikely or node.tag == "article" or node in holders or node.own - node.linked > MOST_TEXT * whole:
+            continue
+        if node.unlikely == 2 or node.tag in BLOCK and _is_dense(node):
+            node.junk = True
+            cut.append(node)
+    return cut
+
+
+def _score(root: Node) -> list[Node]:
+    """Give points to containers; returns all elements outside junk, in page order."""
+    nodes = _measure(root)
     for node in nodes:
         # a block passes points for what it holds outside deeper blocks
         if node.tag not in BLOCK and node is not root:
@@ -218,9 +289,12 @@ def _score(root: Node) -> list[Node]:
                 break
             above.points += points * share
             above = above.parent
-    for node in nodes:
+    lowered = {root: 1.0}
+    for node in nodes:  # parents before children
+        if node is not root:
+            lowered[node] = lowered[node.parent] * (LOWERED if node.unlikely else 1)
         if node.own:
-            node.points *= 1 - node.linked / node.own
+            node.points *= (1 - node.linked / node.own) * lowered[node]
     return nodes
 
 
@@ -229,6 +303,16 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    cut = _cut(root)
+    text = _best_text(root)
+    if not text and cut:  # then the names meant something else
+        for node in cut:
+            node.junk = False
+        text = _best_text(root)
+    return text
+
+
+def _best_text(root: Node) -> str:
     nodes = _score(root)
     best = max(nodes, key=lambda n: (n.points, n.own))
     if best.points <= 0:
@@ -270,7 +354,8 @@ def _extract(batches):
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages (page_id, url, html)``.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out;
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out,
+    but no article and nothing that holds one or most of the page's text for its class, id or form alone;
     character references are decoded, white space in a block becomes one space, and blocks are joined by
     line feeds. Null, empty and textless pages give an empty text; null ids and urls stay null; repeated
     rows each give a row; other columns are not read.
