@@ -383,6 +383,22 @@ def test_names_and_forms_do_not_cut_articles():
     assert main_text(f"<body><div>{prose}</div><div id=comments>{comments}</div></body>") == text
 
 
+def test_pages_without_article_keep_all_sections():
+    prose = "<p>Some words, of the article, that say something, at some length, and more.</p>" * 5
+    text = "\n".join(["Some words, of the article, that say something, at some length, and more."] * 5)
+    menu = "<div><a href=1>no</a> <a href=2>no, not</a></div>"
+    last = "<h2>Last</h2><p>short, last section.</p>"
+    want = text + "\nLast\nshort, last section."
+    assert main_text(f"<div id=c><div>{prose}</div><div>{last}</div></div>") == want
+    assert main_text(f"<body>{menu}<div id=c><div><div>{prose}</div></div><div><div>{last}</div></div></div>{menu}</body>") == want
+    assert main_text(f"<body>{menu}<div><div>{prose}</div></div><div><div>{last}</div></div></body>") == want
+    assert main_text(f"<body>Lead <b>text</b>, bare.<div>{prose}</div>{menu}and bare <a href=x>end</a> as well</body>") == \
+        f"Lead text, bare.\n{text}\nand bare end as well"
+    assert main_text(f"<body><a href=1>no</a> <a href=2>no</a> | <div><h1><a href=3>Title</a></h1><div>{prose}</div></div></body>") == "|\nTitle\n" + text
+    linked = "<div><ul>" + "<li><a href=1>no, no, no, no and no again</a>" * 60 + f"</ul><div>{prose}</div><div>{last}</div></div>"
+    assert main_text(f"<body>{linked}</body>") == want
+
+
 def test_pseudonyms_permute_within_formats(spark, mixed, empty):
     key = b"k" * 32
     for size in (1, 2, 7, 97, 1000):

@@ -3,7 +3,7 @@
 Text blocks pass points for length and commas to the elements above them; an
 element's points are discounted by the share of its text that stands in links,
 and by class and id names of menus, comments and the like.
-The best container is taken, with those of its siblings that look like it.
+The best container is taken, and around it what is not mostly links.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from pyspark.sql import types as T
 from .common import query, ship_package, table
 
 POINTS_UP = (1.0, 0.5, 1 / 3)  # shares of a block's points for its parent, grandparent and the next
-SIBLING_SHARE = 0.2  # of the best container's points, for a sibling to be kept
-MOST_LINKED = 0.5  # share of a sibling's text in links
+MOST_LINKED = 0.5  # share in links of the text of what stands beside the best container
 MOST_TEXT = 0.5  # share of the page's unlinked text above which no name cuts an element
 LOWERED = 0.5  # of its points are left to what stands in a form or under an unlikely name
 
@@ -169,8 +168,8 @@ def parse(page: str) -> Node:
         node = new
 
 
-def _blocks(node: Node, out: list[str]) -> None:
-    """Texts of the blocks below ``node`` in page order; inline elements do not break a block."""
+def _blocks(node: Node, out: list[str], left_out: frozenset | set = frozenset()) -> None:
+    """Texts of the blocks below ``node`` in page order, without junk and what is left out; inline elements do not break a block."""
     held: list[str] = []
 
     def flush():
@@ -189,7 +188,7 @@ def _blocks(node: Node, out: list[str]) -> None:
                 flush()
         elif isinstance(child, str):
             held.append(child)
-        elif child.junk:
+        elif child.junk or child in left_out:
             if child.tag in BLOCK:
                 flush()
         elif child.tag == "br":
@@ -323,19 +322,41 @@ def _best_text(root: Node) -> str:
         look = look.parent
     best = look or best
     out: list[str] = []
-    if best.parent is None or best.tag in ("body", "html", "article", "main"):
-        _blocks(best, out)
-        return "\n".join(out)
-    for child in best.parent.children:
-        if isinstance(child, str) or child.junk:
-            continue
-        dense = child.own and child.linked / child.own > MOST_LINKED
-        if child is best or not dense and (
-                child.tag in TEXTUAL and (child.tag not in HEADINGS or child.own) or child.points >= SIBLING_SHARE * best.points):
-            _blocks(child, out)
+    left_out: set[Node] = set()
+    if best.tag not in ("article", "main"):
+        # the rest of the text stands beside the best container, at any depth
+        while best.parent is not None:
+            left_out.update(_dense_beside(best))
+            best = best.parent
+    _blocks(best, out, left_out)
     return "\n".join(out)
 
 
+def _dense_beside(node: Node) -> list[Node]:
+    """The blocks beside ``node``, and the links in lines between blocks, whose text is mostly links; no headings."""
+    dense: list[Node] = []
+    line: list[Node | str] = []
+
+    def end_of_line():
+        nodes = [c for c in line if isinstance(c, Node)]
+        text = sum(c.own for c in nodes) + sum(_text_length(c) for c in line if isinstance(c, str))
+        if sum(c.linked for c in nodes) > MOST_LINKED * text:
+            dense.extend(nodes)
+        line.clear()
+
+    for child in node.parent.children:
+        if isinstance(child, str):
+            line.append(child)
+        elif child is node or child.tag in BLOCK:
+            end_of_line()
+            if child is not node and not child.junk and _is_dense(child) and child.tag not in HEADINGS:
+                dense.append(child)
+        elif not child.junk:
+            line.append(child)
+    end_of_line()
+    return dense
+
+
 _PAGES = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
     T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
