@@ -419,6 +419,24 @@ def test_pseudonyms_permute_within_formats(spark, mixed, empty):
     assert pii.pseudonymise_documents(empty, key).count() == 0
 
 
+def test_pseudonyms_are_found_before_other_numbers_and_words():
+    key = b"k" * 32
+    for kind, value, after in [
+            ("card", "4111 1111 1111 1111", ["", " 12/27", " 123", " 12/27 123", "-123", " 1234 5678", " EUR"]), ("card", "4111111111111111", [" 123", " 12/27", ", 1"]),
+            ("card", "378282246310005", [" 1234", " 12/27"]), ("card", "3782 822463 10005", [" 1234", " 12/27"]),
+            ("iban", "AT61 1904 3002 3457 3201", ["", " EUR", " EUR 500", " PAID", " PAID IN FULL", " 500", " Paid"]),
+            ("iban", "AT611904300234573201", [" PAID", " EUR", " 12"]), ("iban", "GB82 WEST 1234 5698 7654 32", [" EUR", " PAID"]),
+            ("phone", "555-123-4567", ["", " 12", ", x", "."])]:
+        alone = pii.pseudonymise(value, key)[0]
+        assert alone != value
+        for rest in after:
+            new, counts = pii.pseudonymise(f"pay {value}{rest}", key)
+            assert new == f"pay {alone}{rest}" and counts == dict.fromkeys(pii.KINDS, 0) | {kind: 1}, (value, rest, new)
+            assert pii.pseudonymise(new, key, back=True)[0] == f"pay {value}{rest}"
+    new, counts = pii.pseudonymise("99 4111 1111 1111 1111, 2020-13-01 1987-02-28, 555-123-4567@example.com", key)
+    assert counts["card"] == counts["date"] == counts["email"] == 1 and counts["phone"] == 0 and new.startswith("99 ")
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, small):
     docs_ = spark.read.parquet(f"{small}/documents.parquet")
     names = docs_.columns

@@ -28,14 +28,25 @@ KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
 # The shapes looked for. What has a check digit, a calendar or reserved numbers is tested as well.
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", re.A)
-_NUMBERS = re.compile(r"""(?x)(?<![\w.])(?:
-    (?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?!\w)
-  | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)
-  | (?P<date>\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\w]|[-/.]\d)
-  | (?P<ssn>\d{3}-\d{2}-\d{4})(?![\w]|-\d)
-  | (?P<phone>\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}-\d{4})(?!\w)
-  | (?P<card>\d(?:[\x20-]?\d){12,18})(?![\w]|-\d)
-)""", re.A)
+_SHAPES = {
+    "iban": r"[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "ip": r"\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
+    "date": r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\w]|[-/.]\d)",
+    "ssn": r"\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
+    "phone": r"""(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}-\d{4}
+        |\d{3}-\d{3}-\d{4}(?!-\d))(?!\w)""",
+    "card": r"\d(?:[\x20-]?\d){12,18}",
+}
+_SHAPE = {kind: re.compile(f"(?x){shape}", re.A) for kind, shape in _SHAPES.items()}
+_NUMBERS = re.compile(rf"(?x)(?<![\w.])(?:{'|'.join(_SHAPES.values())})", re.A)
+_WORD = re.compile(r"\w", re.A)
+# Lengths of account numbers by country, and those of cards by their first digit, the usual one first.
+IBAN_LENGTHS = {country: int(size) for size, countries in {
+    "15": "NO", "16": "BE", "18": "DK FI FK FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH CR HR LI LV",
+    "22": "BG BH DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU"}.items() for country in countries.split()}
+CARD_LENGTHS = {"2": (16,), "3": (15, 16, 14), "4": (16, 19, 13), "5": (16,), "6": (16, 19)}
 _DATE = re.compile(r"(\d+)([-/.])(\d+)([-/.])(\d+)")
 
 
@@ -218,29 +229,81 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
     return _RULES[kind](text, key, back)
 
 
-def _found(text: str):
-    """Candidates from left to right that do not overlap, with their kind."""
-    emails = [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)] if "@" in text else []
-    at = 0
-    spots = sorted(emails + [(m.start(), m.end(), m.lastgroup) for m in _NUMBERS.finditer(text)])
-    for low, high, kind in spots:
-        if low >= at:
-            yield low, high, kind
-            at = high
+def _ends(text: str, low: int, high: int) -> list[int]:
+    """Ends of ``text[low:high]`` and of what it begins with where a group of characters ends, the longest first."""
+    return [at for at in range(high, low, -1) if _WORD.match(text[at - 1]) and not _WORD.match(text[at:at + 1])]
 
 
-def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
-    """The text with its values replaced, and how many there were of each kind."""
-    out, at, counts = [], 0, dict.fromkeys(KINDS, 0)
-    for low, high, kind in _found(text):
-        kinds = (kind, "card") if kind == "phone" else (kind,)
-        for k in kinds:
-            new = pseudonym(k, text[low:high], key, back) if k != "card" or 13 <= len(_plain(text[low:high])) <= 19 else None
+def _usual_first(text: str, low: int, ends: list[int], lengths: tuple[int, ...], least: int, most: int) -> list[int]:
+    """Ends that give so many characters: those of usual lengths in their order, then from the longest to the shortest."""
+    sizes = {end: len(_plain(text[low:end])) for end in ends}
+    order = {size: i for i, size in enumerate(lengths)}
+    return sorted((e for e in ends if least <= sizes[e] <= most), key=lambda e: (order.get(sizes[e], len(order)), -e))
+
+
+def _cards(text: str, low: int, inside: bool):
+    if m := _SHAPE["card"].match(text, low):
+        for high in _usual_first(text, low, _ends(text, low, m.end()), CARD_LENGTHS.get(text[low], ()), 13, 19):
+            if not inside or len({c for c in text[low:high] if not c.isdigit()}) < 2:
+                yield low, high, "card"
+
+
+def _candidates(text: str, low: int, inside: bool):
+    """What may be a value at a place, with its kind. The order is kept by the values' pseudonyms, as far as it can be.
+
+    A card inside of something that failed, such as a row of dates, has one kind of separator.
+    """
+    if m := _SHAPE["iban"].match(text, low):
+        usual = IBAN_LENGTHS.get(text[low:low + 2])
+        for high in _usual_first(text, low, _ends(text, low, m.end()), (usual,) if usual else (), 15, 34):
+            yield low, high, "iban"
+    for kind in ("ip", "date", "ssn"):
+        if m := _SHAPE[kind].match(text, low):
+            yield low, m.end(), kind
+            return
+    if m := _SHAPE["phone"].match(text, low):
+        yield low, m.end(), "phone"
+        if text[low] == "+":
+            yield from _cards(text, low + 1, inside)
+        for high in _ends(text, low, m.end())[1:]:
+            if _SHAPE["phone"].fullmatch(text, low, high):
+                yield low, high, "phone"
+    yield from _cards(text, low, inside)
+
+
+def _found(text: str, key: bytes, back: bool):
+    """Values from left to right that do not overlap, with their kind and pseudonym; what fails uses up its first character alone."""
+    emails = list(_EMAIL.finditer(text))[::-1] if "@" in text else []
+    at = failed = 0
+    while True:
+        while emails and emails[-1].start() < at:
+            emails.pop()
+        spot = _NUMBERS.search(text, at)
+        if emails and (spot is None or emails[-1].start() <= spot.start()):
+            m = emails.pop()
+            yield m.start(), m.end(), "email", pseudonym("email", m[0], key, back)
+            at = m.end()
+            continue
+        if spot is None:
+            return
+        at = spot.start() + 1
+        for low, high, kind in _candidates(text, spot.start(), spot.start() < failed):
+            new = pseudonym(kind, text[low:high], key, back)
             if new is not None:
-                out += [text[at:low], new]
+                yield low, high, kind, new
                 at = high
-                counts[k] += 1
                 break
+        else:
+            failed = max(failed, spot.end())
+
+
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
+    """The text with its values replaced, and how many there were of each kind."""
+    out, at, counts = [], 0, dict.fromkeys(KINDS, 0)
+    for low, high, kind, new in _found(text, key, back):
+        out += [text[at:low], new]
+        at = high
+        counts[kind] += 1
     return "".join(out) + text[at:], counts
 
 
@@ -265,8 +328,8 @@ def pseudonymise_documents(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id``, ``text`` with pseudonyms, and a count per kind, a row per row of ``docs (doc_id, text)``.
 
     Card numbers and account numbers need right check digits, dates must be in the calendar between 1900
-    and 2099, social security numbers must not be reserved, addresses must be in range; what fails stays as
-    it is. A null text stays null with counts of 0, a null ``doc_id`` stays null, repeated rows each give a
+    and 2099, social security numbers must not be reserved, addresses must be in range; what fails is tried
+    again in the shorter forms that end at a group of its characters, and stays as it is if none is valid. A null text stays null with counts of 0, a null ``doc_id`` stays null, repeated rows each give a
     row. Values do not meet: the permutation alone links them, so nothing is shuffled.
     """
     ship_package(docs.sparkSession)
