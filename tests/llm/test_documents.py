@@ -221,6 +221,33 @@ def test_secrets_equal_plain_patterns_and_confirm_structure(spark, mixed, empty)
     assert secret_scan.scan_secrets(empty).count() == secret_scan.mask_secrets(empty).count() == 0
 
 
+def test_secrets_are_found_in_escaped_wrapped_and_nested_forms():
+    import base64
+    import json
+    octets = lambda tag, body: bytes([tag, 0x82]) + len(body).to_bytes(2, "big") + body
+    key = octets(0x30, b"\x02\x01\x00" + octets(0x30, b"\x06\x03abc") + octets(0x04, bytes(range(256)) * 4))
+    string = lambda body: len(body).to_bytes(4, "big") + body
+    ssh = b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(b"p" * 51) + string(b"k" * 145)
+    wrap = lambda data, n=64: "\n".join(re.findall(f".{{1,{n}}}", base64.b64encode(data).decode()))
+    block = lambda body, label="PRIVATE KEY": f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+    pem = block(wrap(key))
+    encrypted = block("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + wrap(bytes(range(256)) * 2), "RSA PRIVATE KEY")
+    for secret, kind in [
+            (pem, "pem"), (json.dumps(pem)[1:-1], "pem"), (json.dumps(pem + "\n")[1:-3].replace("/", "\\/").replace("=", "\\u003d"), "pem"),
+            (pem.replace("\n", "\\\\n"), "pem"), (pem.replace("\n", "\\r\\n"), "pem"), (encrypted, "pem"), (encrypted.replace("\n", "\\n"), "pem"),
+            (block(wrap(ssh), "OPENSSH PRIVATE KEY").replace("\n", "\\n"), "pem"), (wrap(key), "der"), (wrap(key, 76).replace("\n", "\r\n"), "der"),
+            (wrap(key).replace("\n", "\\n"), "der"), (wrap(key).replace("\n", "\n    "), "der"), (wrap(ssh, 70), "der"),
+            (base64.b64encode(pem.encode()).decode(), "pem"), (wrap(pem.encode() + b"\n", 76), "pem"), (wrap(encrypted.encode()), "pem")]:
+        for before, after in (("", ""), ("é see ", " end"), ("words\n", "\nnext words"), ('{"k": "', '"}')):
+            text = before + secret + after
+            found = [s for s in secret_scan.confirmed_spans(text)]
+            assert found == [(len(before), len(before) + len(secret), kind)], (secret[:60], before, found)
+            assert secret_scan.masked_text(text, secret_scan.secret_spans(text)) == before + secret_scan.MASK + after
+    for wrong in (block(wrap(key[:-1])), wrap(key[:-1]), block(wrap(key)[:-9]).replace("\n", "\\n"), wrap(block(wrap(key[:-1])).encode()),
+                  "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + wrap(bytes(257)) + "\n-----END RSA PRIVATE KEY-----", wrap(b"0" * 900)):
+        assert secret_scan.confirmed_spans(wrong) == [], wrong[:80]
+
+
 def test_records_come_back_as_the_library_encodes(spark, mixed, empty):
     library = Tokenizer.from_file(WORD)
     want, start = [], 0
