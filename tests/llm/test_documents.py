@@ -368,6 +368,22 @@ def test_toxicity_learns_stems_from_labels_it_may_see(spark, empty):
     assert toxicity.train_toxicity(df, marks.where("toxic = 0")).scores(["grobl"])[0] < 0.01
 
 
+def test_toxicity_fills_its_sample_from_usable_texts(spark, monkeypatch):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    marks = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "x" * 200 if i % 5 == 1 else f"word{i}") for i in ids if i % 5 < 4], "doc_id long, text string")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, how: taken.append((sorted(texts), int(labels.sum()))))
+    usable = [i for i in ids if i % 5 in (2, 3)]
+    toxicity.train_toxicity(df, marks, toxicity.Training(most_toxic=30, most_clean=35, most_chars=100))
+    toxicity.train_toxicity(df, marks, toxicity.Training(most_chars=100))
+    assert len(taken[0][0]) == 65 and taken[0][1] == 30 and taken[1][0] == sorted(f"word{i}" for i in usable)
+    with pytest.raises(ValueError, match="label 0"):
+        toxicity.train_toxicity(df.withColumn("text", F.expr("if(doc_id % 2 = 0, text, null)")), marks)
+    with pytest.warns(UserWarning, match="label 0"):
+        toxicity.train_toxicity(df.where("doc_id % 2 = 0"), marks)
+
+
 def test_toxicity_scores_long_texts_in_pieces(monkeypatch):
     model = toxicity.Model(np.random.default_rng(1).normal(size=2**12), 0.1, 5)
     texts = ["ab cde  fg " * 50, "", "x", "nospace" * 40]

@@ -10,6 +10,7 @@ every text whole.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .common import query, ship_package, table
 from .textnum import U, mix
 
@@ -31,9 +33,9 @@ class Training:
     """Bounds and settings of the fit. The sample holds at most ``most_toxic`` and ``most_clean`` texts of at
     most ``most_chars`` characters; which ones, a hash of the id decides."""
 
-    most_toxic: int = 2_500
-    most_clean: int = 8_000
-    most_chars: int = 10_000
+    most_toxic: int = 4_000
+    most_clean: int = 10_000
+    most_chars: int = 20_000
     buckets: int = 2**17
     width: int = 8
     scale: float = 100.0  # of the average, so that a few words in a thousand can count
@@ -129,19 +131,14 @@ class Model:
 
 
 def _features(texts: list[str], how: Training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each text and their shares, end to end in arrays that double as they fill."""
-    def wider(values: np.ndarray, filled: int) -> np.ndarray:
-        out = np.empty(2 * len(values), values.dtype)
-        out[:filled] = values[:filled]
-        return out
-
+    """Buckets of each text and their shares, end to end in arrays that grow by an eighth, where they lie if they can."""
     first, ids, shares = np.zeros(len(texts) + 1, np.int64), np.empty(1 << 20, np.int32), np.empty(1 << 20, np.float32)
     for i, text in enumerate(texts):
         own, counts = np.unique(ngram_buckets([text], how.buckets)[0].astype(np.int32), return_counts=True)
         first[i + 1] = first[i] + len(own)
         while first[i + 1] > len(ids):
-            ids = wider(ids, first[i])
-            shares = wider(shares, first[i])
+            for values in (ids, shares):
+                values.resize(len(values) + len(values) // 8, refcheck=False)
         ids[first[i]:first[i + 1]] = own
         shares[first[i]:first[i + 1]] = counts / (counts.sum() + how.padding)
     return first, ids, shares
@@ -197,19 +194,29 @@ def held_out(doc_id=None):
 def train_toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
     """Fit on a bounded sample of ``docs (doc_id, text)`` with ``labels (doc_id, toxic)``, never on held-out ids.
 
-    Rows without an id, text or label do not count; an id with several labels is toxic if one of them is,
-    and of several texts the smallest is taken.
+    Rows without an id, text or label do not count, nor texts above the bound; an id with several labels is
+    toxic if one of them is, and of several texts the smallest is taken. The sample is filled from what counts.
+    If that has one label only although the documents' labels have both, there is nothing to learn from: an
+    error; a warning, if both are only among the labels of other documents.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    texts_of = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
+                .where(F.col("doc_id").isNotNull() & (F.length("text") <= how.most_chars)))
+    usable = materialize(known.join(texts_of.select("doc_id").distinct(), "doc_id", "left_semi"))  # two numbers a row
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    chosen = (known.where("toxic = 1").orderBy(*order).limit(how.most_toxic)
-              .union(known.where("toxic = 0").orderBy(*order).limit(how.most_clean)))
+    chosen = (usable.where("toxic = 1").orderBy(*order).limit(how.most_toxic)
+              .union(usable.where("toxic = 0").orderBy(*order).limit(how.most_clean)))
     # at most most_toxic + most_clean rows of two numbers
-    sample = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-              .where(F.length("text") <= how.most_chars).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    sample = (texts_of.join(F.broadcast(chosen), "doc_id")
+              .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     rows = sample.toPandas().sort_values("doc_id")
     texts, toxic = rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)
+    if len(set(toxic.tolist())) == 1 and known.select("toxic").distinct().count() == 2:
+        said = f"all usable texts have label {toxic[0]}, though the labels have both"
+        if known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("toxic").distinct().count() == 2:
+            raise ValueError(said)
+        warnings.warn(f"{said}: no document has the other one", stacklevel=2)
     del rows
     pa.default_memory_pool().release_unused()
     return fit(texts, toxic, how)
