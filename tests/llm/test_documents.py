@@ -186,6 +186,14 @@ def test_decontamination_equals_a_search(spark, mixed, empty, tables):
     assert decontaminate.without_benchmark(mixed, benchmark.limit(0)).count() == mixed.count()
 
 
+def test_decontamination_counts_items_without_id(spark):
+    df = docs(spark, ["a one two three b", "one two", "four five"])
+    benchmark = spark.createDataFrame([(None, "one two three"), (7, "four five")], "item_id long, text string")
+    got = decontaminate.benchmark_hits(df, benchmark).select("n_hit", "items").collect()
+    assert sorted(map(tuple, got)) == [(0, []), (2, ["7"]), (3, [])]
+    assert [r.text for r in decontaminate.without_benchmark(df, benchmark).collect()] == ["one two"]
+
+
 def test_token_counts_encode_each_text_once(spark, mixed, empty):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     cache = new_path(spark, "counts")

@@ -61,7 +61,6 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """
     ship_package(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    items = items.where("item_id is not null")
     found = materialize(items.mapInArrow(_windows, _WINDOWS).distinct())
     spots = found.select("window", "shingles").distinct().select("window", F.posexplode("shingles").alias("place", "shingle"))
     counts = spots.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
@@ -132,7 +131,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words of an item of ``benchmark (item_id, text)``, or a whole shorter item; a document word in any
     occurrence of a window is hit, and ``items`` is the sorted array of the ids, as strings, of items with
     occurring windows. Null or wordless texts have no words and no hits, null or wordless items no windows,
-    items without an id are not looked for, and an id given to several items counts once. Repeated rows
+    items without an id are looked for but not listed in ``items``, and an id given to several items counts once. Repeated rows
     each give a row. Words are compared by 64-bit hashes, a window by those of all its words.
     """
     spark = docs.sparkSession
