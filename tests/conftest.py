@@ -18,9 +18,11 @@ def small():
     return SMALL
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture
 def con():
-    return duck(SMALL)
+    """A connection of its own for each test: an error in one leaves the others alone."""
+    with duck(SMALL) as own:
+        yield own
 
 
 @pytest.fixture

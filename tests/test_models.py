@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillcast.models import gbt as M
 from tillcast.models import horizons as H
+from tillcast.models.trees import TreeTable
 from tillcast.operators.evaluate import metrics
 from tillcast.operators.features import FeatureSpec, drop_warmup
 from tillcast.operators.splits import holdout
@@ -204,14 +205,86 @@ def test_every_series_is_forecast(planted):
         assert all(rows[s, 3].status == "model" for s in range(3, 50))
 
 
-def test_recursion_does_not_depend_on_where_it_is_stored(spark, planted):
+def step_by_step(model, panel, origin, steps):
+    """Recursive forecasts as a plain loop: score the next month from the panel, add it, go on."""
+    known, out = panel.filter(F.col("ds") <= F.lit(origin)).select("sid", "ds", "y"), {}
+    for h in range(1, steps + 1):
+        ds = F.add_months(F.lit(origin), h)
+        empty = known.select("sid").distinct().select("sid", ds.alias("ds"), F.lit(None).cast("double").alias("y"))
+        row = SPEC.from_panel(known.unionByName(empty), K).filter(F.col("ds") == ds)
+        new = materialize(M.predict(model, row).select("sid", "ds", F.col("yhat").alias("y")))
+        out |= {(r.sid, h): r.y for r in new.collect()}
+        known = known.unionByName(new)
+    return out
+
+
+@pytest.mark.parametrize("categories", [(), ("sid",)])
+def test_recursion_in_one_expression_equals_a_loop(planted, categories):
+    origin = dt.date(2020, 6, 1)
+    model = H.fit_step(planted, K, SPEC, M.GbtParams(trees=6, depth=4), categories=categories)
+    got = {(r.sid, r.horizon): r.yhat for r in H.forecast_recursive(model, planted, K, 5, "month", SPEC, F.lit(origin)).collect()}
+    assert len(got) == 250 and got == pytest.approx(step_by_step(model, planted, origin, 5), rel=1e-9)
+
+
+def test_recursion_is_one_shuffle_for_any_horizon(planted):
     model = H.fit_step(planted, K, SPEC, SMALL)
-    runs = [{(r.sid, r.horizon): r.yhat for r in H.forecast_recursive(
-        model, planted, K, 7, "month", SPEC, store_every=k).collect()} for k in (2, 3, 100)]
-    assert len(runs[0]) == 350 and runs[0] == pytest.approx(runs[1]) and runs[0] == pytest.approx(runs[2])
-    plans = [len(H.forecast_recursive(model, planted, K, n, "month", SPEC, store_every=4)._jdf.queryExecution()
-                 .optimizedPlan().toString()) for n in (8, 16)]
-    assert plans[1] < 1.2 * plans[0]
+    plans = [H.forecast_recursive(model, planted, K, n, "month", SPEC, F.lit(dt.date(2020, 12, 1)))._jdf.queryExecution() for n in (8, 120)]
+    sizes = [len(p.optimizedPlan().toString()) for p in plans]
+    assert abs(sizes[0] - sizes[1]) < 100 and plans[1].executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert "from_json" not in plans[1].optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("params", [M.GbtParams(trees=1, depth=1), M.GbtParams(trees=4, depth=5, loss="absolute"), M.GbtParams(trees=3, depth=2)])
+def test_walked_trees_score_as_the_model_does(rows, params):
+    model = M.fit_gbt(rows, inputs(), params)
+    scored = model.transform(rows)
+    x = F.array(*[F.col(c).cast("double") for c in model.stages[-2].getInputCols()])
+    pairs = scored.select("yhat", TreeTable.of(model).predict(x).alias("walked")).collect()
+    assert [r.walked for r in pairs] == pytest.approx([r.yhat for r in pairs], rel=1e-12)
+
+
+def test_a_constant_model_is_a_leaf(rows):
+    flat = materialize(rows.withColumn("y", F.lit(3.5)))
+    table = TreeTable.of(M.fit_gbt(flat, inputs(), M.GbtParams(trees=2, depth=3)))
+    assert table.depth == 0 and rows.limit(1).select(table.predict(F.array(F.lit(0.0))).alias("v")).first().v == pytest.approx(3.5)
+
+
+SHORT = FeatureSpec(lags=(1, 12), means=(3,), calendar=("month",))
+
+
+@pytest.mark.parametrize("months", [0, 1, 2, 12, 13, 14, 24, 36])
+def test_any_history_gives_whole_forecasts(planted, months):
+    """The forecasting job on the first months of the panel; nothing of it may fail or be left out."""
+    last = dt.date(2015 + (months - 1) // 12, (months - 1) % 12 + 1, 1)
+    panel = materialize(planted.select("sid", "ds", "y").filter(F.col("ds") <= F.lit(last) if months else F.lit(False)))
+    y = {(r.sid, r.ds): r.y for r in panel.collect()}
+    means = {s: sum(v for (k, _), v in y.items() if k == s) / months for s in range(50)} if months else {}
+    out = forecast_revenue(panel, K, "month", 14, 2, SHORT, M.GbtParams(trees=2, depth=2))
+    model = H.fit_step(panel, K, SHORT, M.GbtParams(trees=2, depth=2))
+    again = H.forecast_recursive(model, panel, K, 14, "month", SHORT)
+    assert (model is None) == (months < 13)
+    for df in (out, again):
+        found = {(r.sid, r.horizon): r for r in df.collect()}
+        assert found.keys() == ({(s, h) for s in range(50) for h in range(1, 15)} if months else set())
+        for (sid, h), r in found.items():
+            ahead = months + h - 1
+            assert r.ds == dt.date(2015 + ahead // 12, ahead % 12 + 1, 1) and r.origin == last
+            before = ahead - 12 * -(-h // 12)
+            if months >= 13:
+                assert r.status == "model" and r.yhat > 0
+            elif before >= 0:
+                assert r.status == "seasonal value" and r.yhat == y[sid, dt.date(2015 + before // 12, before % 12 + 1, 1)]
+            else:
+                assert r.status == "mean of past" and r.yhat == pytest.approx(means[sid])
+
+
+def test_backtest_goes_on_where_a_fold_has_nothing_to_train_on(planted):
+    past = planted.filter(F.col("ds") < F.lit(dt.date(2016, 4, 1)))
+    out = backtest(past, K, "month", n=3, horizon=3, step=3, params=SMALL, spec=SHORT).filter("model = 'gbt_direct'")
+    seen = {(r.fold, r.status): r.n for r in out.groupBy("fold", "status").agg(F.count("*").alias("n")).collect()}
+    assert seen == {(1, "mean of past"): 150, (2, "mean of past"): 150, (3, "seasonal value"): 150}
+    with pytest.raises(ValueError, match="no training rows"):
+        M.fit_gbt(past.limit(0).withColumn("x", F.lit(1.0)), M.Inputs(("x",), ("sid",), "y", ("sid", "ds")), SMALL)
 
 
 def test_stored_tables_are_deleted_only_in_the_shared_folder(spark, tmp_path):

@@ -301,8 +301,8 @@ def test_history_features_equal_panel_features(spark):
     values = [rng.uniform(0, 1e6) for _ in range(13)]
     df = series(spark, monthly(spark, values))
     a = spec.from_panel(df, K).orderBy(F.desc("ds")).select(*spec.names).first()
-    b = spec.from_history(spark.createDataFrame(
-        [(day("2021-01-01"), values[:12])], "ds date, history array<double>")).select(*spec.names).first()
+    past = spark.createDataFrame([(day("2021-01-01"), values[:12])], "ds date, history array<double>")
+    b = past.select(*[c.alias(n) for n, c in spec.from_history(F.col("history"), F.col("ds")).items()]).select(*spec.names).first()
     assert tuple(a) == pytest.approx(tuple(b), rel=1e-12)
 
 

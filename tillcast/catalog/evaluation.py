@@ -155,11 +155,12 @@ def _placed(spark, path):
 
 @query("bottom_up", f"""{_PLACED}
 SELECT CASE WHEN grouping(nation_key) = 0 THEN 'nation_key' WHEN grouping(region_key) = 0 THEN 'region_key'
-            ELSE 'total' END AS level, region_key, nation_key, model, fold, origin, horizon, ds, round(sum(yhat), 1) + 0.0 AS yhat
+            ELSE 'total' END AS level, region_key, nation_key, model, fold, origin, horizon, ds,
+  round(CAST(sum(CAST(yhat AS DECIMAL(38,4))) AS DOUBLE), 2) + 0.0 AS yhat
 FROM placed GROUP BY GROUPING SETS ((model, fold, origin, horizon, ds), (model, fold, origin, horizon, ds, region_key),
   (model, fold, origin, horizon, ds, region_key, nation_key))""")
 def bottom_up(spark, path):
-    return rounded(R.bottom_up(_placed(spark, path), run=RUN), {"yhat": 1})
+    return rounded(R.bottom_up(_placed(spark, path), run=RUN), {"yhat": 2})
 
 
 @query("top_down", f"""{_PLACED},
@@ -170,7 +171,9 @@ shares AS (
   SELECT region_key, nation_key, CAST(y AS DOUBLE) / CAST(sum(y) OVER (PARTITION BY region_key) AS DOUBLE) AS share
   FROM children)
 SELECT model, fold, region_key, ds, horizon, nation_key, share, round(yhat * share, 2) AS yhat
-FROM (SELECT model, fold, region_key, ds, horizon, sum(yhat) AS yhat FROM placed GROUP BY ALL) JOIN shares USING (region_key)""")
+FROM (
+  SELECT model, fold, region_key, ds, horizon, CAST(sum(CAST(yhat AS DECIMAL(38,4))) AS DOUBLE) AS yhat FROM placed GROUP BY ALL)
+JOIN shares USING (region_key)""")
 def top_down(spark, path):
     whole = R.bottom_up(_placed(spark, path), run=RUN).filter(F.col("level") == "region_key")
     train = attach(nation_panel(spark, path), nation_regions(spark, path), K, "left")
@@ -181,16 +184,19 @@ def top_down(spark, path):
 @query("top_down_childless", f"""{_PLACED},
 children AS (
   SELECT n_regionkey AS region_key, nation_key, sum(CAST(y AS DECIMAL(38,4))) AS y
-  FROM panel JOIN nation ON nation_key = n_nationkey WHERE n_regionkey > 0 GROUP BY ALL),
+  FROM panel JOIN nation ON nation_key = n_nationkey GROUP BY ALL),
 shares AS (
   SELECT region_key, nation_key, CAST(y AS DOUBLE) / CAST(sum(y) OVER (PARTITION BY region_key) AS DOUBLE) AS share
   FROM children)
 SELECT model, fold, region_key, ds, horizon, nation_key, coalesce(share, 1) AS share, round(yhat * coalesce(share, 1), 2) AS yhat
-FROM (SELECT model, fold, region_key, ds, horizon, sum(yhat) AS yhat FROM placed GROUP BY ALL) LEFT JOIN shares USING (region_key)""")
+FROM (
+  SELECT model, fold, region_key, ds, horizon, CAST(sum(CAST(yhat AS DECIMAL(38,4))) AS DOUBLE) AS yhat FROM placed
+  GROUP BY GROUPING SETS ((model, fold, region_key, ds, horizon), (model, fold, ds, horizon)))
+LEFT JOIN shares USING (region_key)""")
 def top_down_childless(spark, path):
-    """Region 0 has no training rows: its forecast stays whole."""
-    whole = R.bottom_up(_placed(spark, path), run=RUN).filter(F.col("level") == "region_key")
-    train = attach(nation_panel(spark, path), nation_regions(spark, path), K, "left").filter(F.col("region_key") > 0)
+    """Regions are split; the total has no children of its own, so its forecast stays whole."""
+    whole = R.bottom_up(_placed(spark, path), run=RUN).filter(F.col("level") != "nation_key")
+    train = attach(nation_panel(spark, path), nation_regions(spark, path), K, "left")
     return rounded(R.top_down(whole.select("model", "fold", "region_key", "ds", "horizon", "yhat"), train), {"yhat": 2})
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.periods import shift
 from ..models import gbt as M
 from ..models import horizons as H
 from ..operators.features import FeatureSpec, drop_warmup
@@ -16,6 +17,7 @@ from ..operators.splits import fold_origin, fold_rows, holdout
 from ..plans.backtest import backtest as run_backtest
 from ..plans.backtest import backtest_gbt, next_value_comparison
 from ..plans.forecast import forecast_revenue as run_forecast
+from ..plans.panels import period_bounds
 from ..session import materialize, new_path
 from ..sources.sales import read_tables
 from .base import ERROR_PLACES, ERRORS, PANEL, last_month, nation_panel, panel_sql, query, rounded
@@ -277,11 +279,12 @@ def backtest_stump(spark, path):
 
 
 @query("forecast_stump", f"""{_direct_folds_sql(3, '(0, 0), (1, 6), (2, 3)')},
-limits AS (
-  SELECT horizon, quantile_cont((y - yhat) / level, 0.1) AS q_lo, quantile_cont((y - yhat) / level, 0.9) AS q_hi
-  FROM direct WHERE fold > 0 GROUP BY horizon)
+limited AS (
+  SELECT *, quantile_cont(CASE WHEN fold > 0 THEN (y - yhat) / level END, 0.1) OVER h AS q_lo,
+    quantile_cont(CASE WHEN fold > 0 THEN (y - yhat) / level END, 0.9) OVER h AS q_hi
+  FROM direct WINDOW h AS (PARTITION BY horizon))
 SELECT nation_key, origin, ds, horizon, model, status, round(yhat, 2) AS yhat, round(greatest(yhat + q_lo * level, 0), 2) AS lo,
-  round(greatest(yhat + q_hi * level, 0), 2) AS hi FROM direct LEFT JOIN limits USING (horizon) WHERE fold = 0""")
+  round(greatest(yhat + q_hi * level, 0), 2) AS hi FROM limited WHERE fold = 0""")
 def forecast_stump(spark, path):
     """The whole forecasting job with models of a single split."""
     out = run_forecast(nation_panel(spark, path), K, "month", 3, 2, LAG_ONLY, STUMP, last=last_month(spark, path),
@@ -289,29 +292,40 @@ def forecast_stump(spark, path):
     return rounded(out, {"yhat": 2, "lo": 2, "hi": 2})
 
 
-# Nation k keeps its last k + 1 months: nation 0 has one month and no lag.
+# Folds whose origins lie 1 to 36 months after the start of the panel, and its end: the first have nothing to train on.
+_HISTORIES = (1, 6, 12, 13, 24, 36)
+
+
 @query("forecast_short_series", f"""{PANEL},
-short AS (SELECT panel.* FROM panel, bounds WHERE panel.ds >= CAST(last_ds - to_months(CAST(nation_key AS INTEGER)) AS DATE)),
 steps AS (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS horizon),
 cells AS (
-  SELECT o.*, lag(y, 1) OVER s AS y_lag_2, avg(y) OVER s AS level FROM short o WINDOW s AS (PARTITION BY nation_key ORDER BY ds)),
-pairs AS (
-  SELECT o.y_lag_2, horizon, t.y AS label FROM cells o CROSS JOIN steps
-  JOIN short t ON t.nation_key = o.nation_key AND t.ds = CAST(o.ds + to_months(horizon) AS DATE) WHERE o.y_lag_2 IS NOT NULL),
-{_splits_sql('best', 'pairs', 'y_lag_2, horizon', 'label')}
-SELECT nation_key, ds AS origin, CAST(ds + to_months(s.horizon) AS DATE) AS ds, s.horizon, 'gbt_direct' AS model,
-  CASE WHEN y_lag_2 IS NULL THEN 'mean of past' ELSE 'model' END AS status,
-  round(CASE WHEN y_lag_2 IS NULL THEN level
-    WHEN (CASE WHEN feature = 'y_lag_2' THEN y_lag_2 ELSE s.horizon END) <= threshold THEN left_mean ELSE right_mean END, 2) AS yhat
-FROM cells CROSS JOIN steps s, bounds, best WHERE cells.ds = last_ds""")
+  SELECT o.nation_key, o.ds AS origin, horizon, CAST(o.ds + to_months(horizon) AS DATE) AS ds, y_lag_1, y_lag_12, t.y AS label, level,
+    s.y AS seasonal
+  FROM (
+    SELECT nation_key, ds, y AS y_lag_1, lag(y, 11) OVER p AS y_lag_12, avg(y) OVER p AS level FROM panel
+    WINDOW p AS (PARTITION BY nation_key ORDER BY ds)) o CROSS JOIN steps
+  LEFT JOIN panel t ON t.nation_key = o.nation_key AND t.ds = CAST(o.ds + to_months(horizon) AS DATE)
+  LEFT JOIN panel s ON s.nation_key = o.nation_key AND s.ds = CAST(o.ds + to_months(horizon - 12) AS DATE)),
+folds AS (
+  SELECT fold, CAST(first_ds + to_months(CAST(fold - 1 AS INTEGER)) AS DATE) AS fold_origin
+  FROM bounds, (VALUES {', '.join(f'({n})' for n in _HISTORIES)}) AS f(fold) UNION ALL SELECT 0, last_ds FROM bounds),
+train AS (SELECT cells.*, fold FROM cells JOIN folds ON ds <= fold_origin WHERE label IS NOT NULL AND y_lag_12 IS NOT NULL),
+{_splits_sql('best', 'train', 'y_lag_1, y_lag_12, horizon', 'label', 'fold')},
+rated AS (
+  SELECT cells.*, folds.fold, CASE WHEN y_lag_12 IS NOT NULL AND threshold IS NOT NULL THEN
+    CASE WHEN (CASE feature WHEN 'y_lag_1' THEN y_lag_1 WHEN 'y_lag_12' THEN y_lag_12 ELSE horizon END) <= threshold
+      THEN left_mean ELSE right_mean END END AS model_value
+  FROM cells JOIN folds ON origin = fold_origin LEFT JOIN best ON best.fold = folds.fold)
+SELECT nation_key, CAST(fold AS INTEGER) AS fold, origin, ds, horizon, 'gbt_direct' AS model, label AS y,
+  CASE WHEN model_value IS NOT NULL THEN 'model' WHEN seasonal IS NOT NULL THEN 'seasonal value' ELSE 'mean of past' END AS status,
+  round(coalesce(model_value, seasonal, level), 2) AS yhat FROM rated""")
 def forecast_short_series(spark, path):
-    """Series of all lengths are forecast; the shortest has no feature row and gets its mean."""
-    spec = FeatureSpec(lags=(2,), means=(), calendar=())
-    last = last_month(spark, path)
-    panel = nation_panel(spark, path).filter(F.col("ds") >= F.add_months(last, -F.col("nation_key")))
+    """Forecasts of all series from their first month on: by their mean, last year's value, and the model."""
+    spec, panel = FeatureSpec(lags=(1, 12), means=(), calendar=()), nation_panel(spark, path)
+    first, last = period_bounds(read_tables(spark, path), "month")
     table = materialize(H.horizon_table(panel, K, 3, "month", spec, last))
-    rows, _ = H.forecast_direct(table, K, spec, last, STUMP)
-    return rounded(rows.drop("lo", "hi"), {"yhat": 2})
+    folds = {0: last, **{n: shift(first, n - 1, "month") for n in _HISTORIES}}
+    return rounded(H.backtest_direct(table, K, spec, folds, STUMP).drop("past_mean"), {"yhat": 2})
 
 
 @query("forecast_customers", f"""{panel_sql('customer_key')},

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -71,7 +72,8 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
 
     The result is a pipeline that indexes, assembles and predicts ``yhat``. The
     rows are read several times, so they should be a stored table. With ``valid`` training stops when another tree no longer helps on those rows.
-    Categories unseen in training are scored with the index's spare value.
+    Categories unseen in training are scored with the index's spare value. Without training rows there is
+    nothing to fit: a ValueError.
     """
     rows = train.withColumn("_valid", F.lit(False))
     if valid is not None:
@@ -102,6 +104,10 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
         trainer = trainer.setValidationIndicatorCol("_valid")
     try:
         model = trainer.fit(laid_out)
+    except IllegalArgumentException as error:
+        if "input RDD" not in str(error):
+            raise
+        raise ValueError("there are no training rows") from error
     finally:
         laid_out.unpersist()
     return PipelineModel(stages=[*stages, model])
@@ -117,23 +123,32 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, "yhat")
 
 
-def predict_or_mean(model: PipelineModel, df: DataFrame, past) -> DataFrame:
+def predict_or_past(model: PipelineModel | None, df: DataFrame, past) -> DataFrame:
     """``df`` with ``yhat`` and ``status``, for all of its rows.
 
-    Rows that miss one of the ``past`` features get the mean of what their series has, in ``past_mean``.
-    ``status`` is model, mean of past, or no past (then ``yhat`` is null).
+    The model is used where there is one and the row has all ``past`` features. Other rows get the value of
+    their series one season before, in ``seasonal``, or else the mean of what it has, in ``past_mean``.
+    ``status`` is model, seasonal value, mean of past, or no past (then ``yhat`` is null).
     """
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in past], F.lit(True))
-    flagged = df.withColumn("_complete", complete).fillna(0.0, subset=list(past))
-    return predict(model, flagged).select(
-        *df.columns, F.when(F.col("_complete"), F.col("yhat")).otherwise(F.col("past_mean")).alias("yhat"),
-        F.when(F.col("_complete"), "model").when(F.col("past_mean").isNotNull(), "mean of past").otherwise("no past").alias("status"),
-    )
+    if model is None:
+        rated = df.withColumn("_model", F.lit(None).cast("double"))
+    else:
+        complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in past], F.lit(True))
+        flagged = df.withColumn("_complete", complete).fillna(0.0, subset=list(past))
+        rated = predict(model, flagged).withColumn("_model", F.when(F.col("_complete"), F.col("yhat")))
+    return rated.select(*df.columns, *past_or_model(F.col("_model"), F.col("seasonal"), F.col("past_mean")))
+
+
+def past_or_model(model: Column, seasonal: Column, mean: Column) -> tuple[Column, Column]:
+    """``yhat``, the first of the three that is known, and its ``status``."""
+    status = (F.when(model.isNotNull(), "model").when(seasonal.isNotNull(), "seasonal value")
+              .when(mean.isNotNull(), "mean of past").otherwise("no past"))
+    return F.coalesce(model, seasonal, mean).alias("yhat"), status.alias("status")
 
 
-def score_batch(model: PipelineModel, frame: DataFrame, keys, past, name: str = "gbt") -> DataFrame:
+def score_batch(model: PipelineModel | None, frame: DataFrame, keys, past, name: str = "gbt") -> DataFrame:
     """Forecast rows, without limits, for feature rows with ``origin`` and ``horizon``."""
-    return predict_or_mean(model, frame, past).select(
+    return predict_or_past(model, frame, past).select(
         *keys, "origin", "ds", "horizon", F.lit(name).alias("model"), "yhat",
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "status",
     )

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.periods import shift
+from ..functions.periods import SEASONS, shift
 from ..operators.features import FeatureSpec, drop_warmup, horizon_labels, series_window
 from ..operators.reconcile import future_frame
 from ..operators.splits import last_period
-from ..session import delete_stored, materialize, materialize_at, side_by_side
-from .gbt import GbtParams, Inputs, fit_gbt, predict, predict_or_mean, score_batch
+from ..session import materialize, side_by_side
+from .gbt import GbtParams, Inputs, fit_gbt, past_or_model, predict_or_past, score_batch
+from .trees import TreeTable
 
 
 def direct_inputs(spec: FeatureSpec, keys, categories=None) -> Inputs:
@@ -28,21 +29,41 @@ def step_inputs(spec: FeatureSpec, keys, categories=None) -> Inputs:
 
 
 def horizon_table(panel: DataFrame, keys, horizons: int, grain: str, spec: FeatureSpec,
-                  last: Column | None = None) -> DataFrame:
+                  last: Column | None = None, season: int | None = None) -> DataFrame:
     """Training and scoring rows of all origins and horizons.
 
     One empty period is put after the panel, so that the last origin has its
     feature row too. Rows to score are those without a label. No row is left out:
-    a series with too short a past has nulls in its features, and ``past_mean``
-    holds the mean of what it has up to the origin.
+    a series with too short a past has nulls in its features, ``seasonal`` holds its
+    latest value whole seasons before the row's date, and ``past_mean`` the mean of
+    what it has up to the origin.
     """
     last = last_period(panel) if last is None else last
+    season = SEASONS[grain] if season is None else season
     ahead = future_frame(panel, keys, 1, grain, last)
     longer = panel.select(*keys, "ds", spec.column).unionByName(
         ahead.withColumn(spec.column, F.lit(None).cast("double")))
-    before = series_window(keys).rowsBetween(W.unboundedPreceding, -1)
-    dated = spec.from_panel(longer, keys).withColumn("past_mean", F.avg(spec.column).over(before))
-    return horizon_labels(dated, keys, horizons, grain, spec.column)
+    order = series_window(keys)
+    back = [F.lag(spec.column, season - h).over(order).cast("double") for h in range(min(horizons, season))]
+    dated = (spec.from_panel(longer, keys)
+             .withColumn("past_mean", F.avg(spec.column).over(order.rowsBetween(W.unboundedPreceding, -1)))
+             .withColumn("_seasons", F.array(*back)))
+    rows = horizon_labels(dated, keys, horizons, grain, spec.column)
+    return rows.withColumn("seasonal", F.get("_seasons", (F.col("horizon") - 1) % season)).drop("_seasons")
+
+
+def _trainable(spec: FeatureSpec, origin: Column) -> Column:
+    """Rows of a ``horizon_table`` that a model for ``origin`` may learn from."""
+    known = (F.col("ds") <= origin) & F.col("label").isNotNull()
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in spec.past], known)
+
+
+def training_counts(table: DataFrame, spec: FeatureSpec, origins: dict[int, Column]) -> dict[int, int]:
+    """Number of rows a model could be fitted on for each fold's origin, in one job for all folds."""
+    if not origins:
+        return {}
+    found = table.agg(*[F.count(F.when(_trainable(spec, o), 1)).alias(f"fold_{f}") for f, o in origins.items()]).first()
+    return {fold: found[f"fold_{fold}"] for fold in origins}
 
 
 def fit_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column, params: GbtParams = GbtParams(),
@@ -51,14 +72,17 @@ def fit_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column, params
 
     ``table`` is a (stored) ``horizon_table``; the horizon is a feature.
     """
-    known = table.filter((F.col("ds") <= origin) & F.col("label").isNotNull())
-    return fit_gbt(drop_warmup(known, spec.past), direct_inputs(spec, keys, categories), params)
+    return fit_gbt(table.filter(_trainable(spec, origin)), direct_inputs(spec, keys, categories), params)
+
 
+def forecast_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column, params: GbtParams = GbtParams(),
+                    categories=None) -> tuple[DataFrame, PipelineModel | None]:
+    """Forecast all horizons from ``origin`` with one model fitted up to it.
 
-def forecast_direct(table: DataFrame, keys, spec: FeatureSpec, origin: Column,
-                    params: GbtParams = GbtParams(), categories=None) -> tuple[DataFrame, PipelineModel]:
-    """Forecast all horizons from ``origin`` with one model fitted up to it."""
-    model = fit_direct(table, keys, spec, origin, params, categories)
+    Where no row could be learnt from there is no model, and every series is forecast by its own past.
+    """
+    some = training_counts(table, spec, {0: origin})[0]
+    model = fit_direct(table, keys, spec, origin, params, categories) if some else None
     return score_batch(model, table.filter(F.col("origin") == origin), keys, spec.past, "gbt_direct"), model
 
 
@@ -66,12 +90,15 @@ def backtest_direct(table: DataFrame, keys, spec: FeatureSpec, folds: dict[int,
                     params: GbtParams = GbtParams(), categories=None, parallelism: int = 3) -> DataFrame:
     """Direct forecasts from each fold's origin, with the actual values as ``y``.
 
-    A fold is a date filter on ``table``. Folds are fitted side by side. ``past_mean`` is the level of the
-    series at the origin.
+    A fold is a date filter on ``table``. Training rows are counted first, for all folds in one job: a fold
+    without any has no model, and its series are forecast by their own past. The others are fitted side by
+    side. ``past_mean`` is the level of the series at the origin.
     """
+    counts = training_counts(table, spec, folds)
+
     def scored(fold: int) -> DataFrame:
-        model = fit_direct(table, keys, spec, folds[fold], params, categories)
-        rows = predict_or_mean(model, table.filter(F.col("origin") == folds[fold]), spec.past)
+        model = fit_direct(table, keys, spec, folds[fold], params, categories) if counts[fold] else None
+        rows = predict_or_past(model, table.filter(F.col("origin") == folds[fold]), spec.past)
         return rows.select(
             *keys, F.lit(fold).alias("fold"), "origin", "ds", "horizon", F.lit("gbt_direct").alias("model"),
             F.col("label").alias("y"), "yhat", "status", "past_mean",
@@ -81,55 +108,53 @@ def backtest_direct(table: DataFrame, keys, spec: FeatureSpec, folds: dict[int,
 
 
 def fit_step(panel: DataFrame, keys, spec: FeatureSpec, params: GbtParams = GbtParams(),
-             categories=None) -> PipelineModel:
-    """One-step model for recursive forecasts."""
-    rows = materialize(drop_warmup(spec.from_panel(panel, keys), spec.names))
-    return fit_gbt(rows, step_inputs(spec, keys, categories), params)
+             categories=None) -> PipelineModel | None:
+    """One-step model for recursive forecasts; None if no row has the past that its features read."""
+    rows = materialize(drop_warmup(spec.from_panel(panel, keys), [*spec.names, spec.column]))
+    return None if rows.isEmpty() else fit_gbt(rows, step_inputs(spec, keys, categories), params)
 
 
-def forecast_recursive(model: PipelineModel, panel: DataFrame, keys, horizons: int, grain: str, spec: FeatureSpec,
-                       origin: Column | None = None, store_every: int = 12) -> DataFrame:
+def forecast_recursive(model: PipelineModel | None, panel: DataFrame, keys, horizons: int, grain: str, spec: FeatureSpec,
+                       origin: Column | None = None, season: int | None = None) -> DataFrame:
     """Forecast step by step, reading earlier forecasts as if they had happened.
 
-    Each series is carried as one row with its last values, as many as the
-    features read; a step appends its forecast to them, so no step shuffles. After
-    every ``store_every`` steps the rows are stored and read back and the store
-    before is deleted: the plan of a step does not grow with the horizon, and the
-    forecasts do not depend on the number. Every series of ``panel`` gets all its
-    horizons: one with too short a past the mean of what it has up to ``origin``,
-    one without any a null; ``status`` tells.
+    Each series is one row with its last values, as many as the features read. All steps are one expression
+    on it, in which the trees of the model are walked and every forecast is put after the values: any horizon
+    is one job with one shuffle, and its plan does not grow with the horizon. Every series of ``panel`` gets
+    all its horizons: one with too short a past, or without a model, its value one season before, else the mean
+    of what it has up to ``origin``, else a null; ``status`` tells.
     """
     keys = list(keys)
     origin = last_period(panel) if origin is None else origin
-    recent = (F.col("ds") <= origin) & (F.col("ds") > shift(origin, -spec.depth, grain))
-    values = F.transform("_past", lambda p: p[spec.column])
-    level = F.coalesce("past_mean", F.lit(0.0))
-    state = (
-        panel.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.when(recent & F.col(spec.column).isNotNull(), F.struct("ds", spec.column)))).alias("_past"),
-             F.avg(F.when(F.col("ds") <= origin, F.col(spec.column))).alias("past_mean"))
-        .select(
-            *keys, "past_mean", (F.size("_past") == spec.depth).alias("complete"),
-            F.concat(F.array_repeat(level, F.lit(spec.depth) - F.size("_past")), values).alias("history"))
-        .withColumn("origin", origin)
-        .withColumn("done", F.array().cast("array<struct<ds:date,yhat:double>>"))
-    )
-    stored = None
-    for step in range(1, horizons + 1):
-        dated = spec.from_history(state.withColumn("ds", shift(F.col("origin"), step, grain)))
-        yhat = F.when(F.col("complete"), F.col("yhat")).otherwise(F.col("past_mean"))
-        state = predict(model, dated).select(
-            *keys, "past_mean", "complete", "origin",
-            F.concat(F.slice("history", 2, spec.depth - 1), F.array(F.coalesce(yhat, F.lit(0.0)))).alias("history"),
-            F.concat("done", F.array(F.struct("ds", yhat.alias("yhat")))).alias("done"),
-        )
-        if step % store_every == 0:
-            before = stored
-            state, stored = materialize_at(state)
-            if before:
-                delete_stored(panel.sparkSession, before)
-    status = F.when(F.col("complete"), "model").when(F.col("past_mean").isNotNull(), "mean of past").otherwise("no past")
-    return state.select(*keys, "origin", status.alias("status"), F.posexplode("done").alias("_i", "_f")).select(
-        *keys, "origin", "_f.ds", (F.col("_i") + 1).alias("horizon"), F.lit("gbt_recursive").alias("model"),
-        "_f.yhat", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "status",
+    season = SEASONS[grain] if season is None else season
+    ds, value = F.col("ds"), F.col(spec.column)
+    recent = (ds <= origin) & (ds > shift(origin, -max(spec.depth, season), grain)) & value.isNotNull()
+    state = panel.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(recent, F.struct("ds", value.cast("double").alias("y"))))).alias("_past"),
+        F.avg(F.when(ds <= origin, value)).alias("past_mean"),
+    ).withColumn("origin", origin)
+    first = shift(F.col("origin"), -spec.depth, grain)
+    history = F.transform(F.filter("_past", lambda p: p["ds"] > first), lambda p: p["y"])
+    state = state.withColumn("_history", history)
+    steps = F.sequence(F.lit(1), F.lit(horizons))
+    forecast = F.transform(steps, lambda _: F.lit(None).cast("double"))
+    if model is not None:
+        trees, names = TreeTable.of(model), model.stages[-2].getInputCols()
+        if len(model.stages) > 2:  # the index of the categories
+            state = model.stages[0].transform(state)
+
+        def step(values: Column, h: Column) -> Column:
+            fields = spec.from_history(values, shift(F.col("origin"), h, grain))
+            inputs = F.array(*[(fields[n] if n in fields else F.col(n)).cast("double") for n in names])
+            return F.concat(values, F.array(trees.predict(inputs)))
+        walked = F.slice(F.aggregate(steps, F.col("_history"), step), spec.depth + 1, horizons)
+        forecast = F.when(F.size("_history") == spec.depth, walked).otherwise(forecast)
+    ahead = state.select(*keys, "origin", "past_mean", "_past", F.posexplode(forecast).alias("_i", "_model"))
+    ahead = ahead.withColumn("horizon", F.col("_i") + 1).withColumn("ds", shift(F.col("origin"), F.col("horizon"), grain))
+    before = shift(F.col("ds"), -season * F.ceil(F.col("horizon") / season), grain)
+    seasonal = F.get(F.filter("_past", lambda p: p["ds"] == before), 0)["y"]
+    yhat, status = past_or_model(F.col("_model"), seasonal, F.col("past_mean"))
+    return ahead.select(
+        *keys, "origin", "ds", "horizon", F.lit("gbt_recursive").alias("model"), yhat,
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), status,
     )

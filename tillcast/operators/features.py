@@ -202,7 +202,7 @@ class FeatureSpec:
     @property
     def depth(self) -> int:
         """How many past periods the features read."""
-        return max((*self.lags, *self.means))
+        return max((*self.lags, *self.means), default=0)
 
     def from_panel(self, panel: DataFrame, keys) -> DataFrame:
         order = series_window(keys)
@@ -213,17 +213,16 @@ class FeatureSpec:
             **{c: fields[c] for c in self.calendar},
         })
 
-    def from_history(self, df: DataFrame, history: str = "history") -> DataFrame:
-        """The same features of the date ``ds`` from an array of earlier values, oldest first."""
-        values = F.col(history)
-        fields = calendar_columns(F.col("ds"))
+    def from_history(self, values: Column, date: Column) -> dict[str, Column]:
+        """The same features of ``date`` from an array of the values before it, oldest first."""
+        fields = calendar_columns(date)
 
         def mean(width: int) -> Column:
             recent = F.slice(values, -width, width)
             return F.aggregate(recent, F.lit(0.0), lambda total, x: total + x) / F.lit(float(width))
 
-        return _add(df, {
-            **{f"{self.column}_lag_{k}": F.element_at(values, -k) for k in self.lags},
+        return {
+            **{f"{self.column}_lag_{k}": F.get(values, F.size(values) - k) for k in self.lags},
             **{f"{self.column}_mean_{w}": mean(w) for w in self.means},
             **{c: fields[c] for c in self.calendar},
-        })
+        }

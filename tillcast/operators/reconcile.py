@@ -12,11 +12,15 @@ from .joins import attach
 
 def bottom_up(forecasts: DataFrame, parent: str = "region_key", child: str = "nation_key",
               run=("model", "origin", "horizon", "ds")) -> DataFrame:
-    """Child forecasts and their sums per parent and in total."""
+    """Child forecasts and their sums per parent and in total.
+
+    Forecasts are fixed to four decimals before they are added, so that sums are exact and agree with the
+    children whatever the order of the rows.
+    """
     run = list(run)
     return (
         forecasts.groupingSets([run, [*run, parent], [*run, parent, child]], *run, parent, child)
-        .agg(F.grouping_id().alias("_level"), F.sum("yhat").alias("yhat"))
+        .agg(F.grouping_id().alias("_level"), exact_sum("yhat").cast("double").alias("yhat"))
         .select(
             F.when(F.col("_level") == 0, child).when(F.col("_level") == 1, parent).otherwise("total").alias("level"),
             parent, child, *run, "yhat",

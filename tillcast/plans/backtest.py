@@ -35,7 +35,7 @@ def backtest_baselines(panel: DataFrame, keys, grain: str, n: int, horizon: int,
 
 def fold_origins(table: DataFrame, n: int, horizon: int, step: int, grain: str) -> dict[int, Column]:
     """Origins of the folds of a stored ``horizon_table``, as literal dates."""
-    last = F.lit(table.agg(F.max("origin").alias("last")).first()["last"])
+    last = F.lit(table.agg(F.max("origin").alias("last")).first()["last"]).cast("date")
     return {fold: fold_origin(last, fold, n, horizon, step, 0, grain) for fold in range(1, n + 1)}
 
 

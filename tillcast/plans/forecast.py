@@ -22,13 +22,15 @@ def forecast_revenue(panel: DataFrame, keys, grain: str, horizon: int = 12, fold
     single series has too few folds for quantiles of its own. They are pooled
     relative to the mean of the series' past and multiplied with it again, so that
     small and large series get limits of their own size; ``lo`` does not fall below
-    zero, and a series without a positive past mean has no limits. The final model
+    zero, and a series without a positive past mean has no limits. Any history will do: where no row
+    could be learnt from, as in a panel shorter than the features read and one horizon, series
+    are forecast by their own past, which ``status`` tells; an empty panel gives no rows. The final model
     and those of the folds read the same stored table and are fitted side by side;
     fold 0 is the final one, which has no actual values yet.
     """
     table = materialize(horizon_table(panel, keys, horizon, grain, spec, last))
     origins = fold_origins(table, folds, horizon, horizon, grain)
-    final = F.lit(table.agg(F.max("origin").alias("last")).first()["last"])
+    final = F.lit(table.agg(F.max("origin").alias("last")).first()["last"]).cast("date")
     rows = materialize(backtest_direct(table, keys, spec, {0: final, **origins}, params, categories))
     level = F.when(F.col("past_mean") > 0, F.col("past_mean"))
     known = rows.filter((F.col("fold") > 0) & level.isNotNull())
