@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -49,26 +50,28 @@ _RATED_ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n
 def groups(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tokens of either side up to the end of each group; both arrays rise to the same last offset."""
     stretches: list[tuple[int, int, int]] = []  # the group that closes first on either side, and how many more are one to one
+    ends_a, ends_b, n = [*ends_a, -1], [*ends_b, -2], len(ends_a)  # no stretch goes on over the marks at the ends
     i = j = 0
-    n, m = len(ends_a), len(ends_b)
-    while i < n and j < m:
-        # the stretch of equal ends on this diagonal: steps double while they agree and halve after that
-        run, step = 0, 1
-        while (most := ends_a[i + run:i + run + step]) == ends_b[j + run:j + run + step] and len(most) == step:
-            run += step
-            step *= 2
-        while step > 1:
-            step //= 2
-            if (most := ends_a[i + run:i + run + step]) == ends_b[j + run:j + run + step] and len(most) == step:
-                run += step
-        if run:
-            stretches.append((i + 1, j + 1, run))
-            i += run
-            j += run
+    while i < n:
+        x, y = ends_a[i], ends_b[j]
+        if x == y:
+            # the stretch of equal ends on this diagonal: steps double while they agree and halve after that
+            p, q, step = i + 1, j + 1, 1
+            while ends_a[p:p + step] == ends_b[q:q + step]:
+                p += step
+                q += step
+                step *= 2
+            while step > 1:
+                step //= 2
+                if ends_a[p:p + step] == ends_b[q:q + step]:
+                    p += step
+                    q += step
+            stretches.append((i + 1, j + 1, p - i))
+            i, j = p, q
             if i == n:
                 break
+            x, y = ends_a[i], ends_b[j]
         # an irregular group: the side that is behind takes its next token until both end together
-        x, y = ends_a[i], ends_b[j]
         while x != y:
             if x < y:
                 i += 1
@@ -93,13 +96,15 @@ class Side:
         self.encode = encode
         self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
         self.lengths = np.array([len(s) for s in self.strings], np.int64)
-        self.digits = np.array([str(i) for i in range(len(self.lengths))], object)
+        # each id as written, with a comma behind it, in the bytes of one number: first character lowest, zeros after the last
+        self.written = np.array([int.from_bytes(f"{i},".encode(), "little") for i in range(len(self.lengths))], np.uint64)
+        self.mark_at = np.array([8 * len(str(i)) for i in range(len(self.lengths))], np.uint64)
 
     def tokens(self, ids: list[int], whole: bytes) -> np.ndarray | None:
         """The ids, if the bytes of their tokens are ``whole``."""
         if b"".join(map(self.strings.__getitem__, ids)) != whole:
             return None
-        return np.array(ids, np.int64)
+        return np.frombuffer(array("q", ids), np.int64)
 
 
 def byte_level_side(path: str) -> Side:
@@ -156,19 +161,17 @@ def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
     return _sides[path_a, path_b]
 
 
-def _written(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
+def _written(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: ids by comma, sides by bar, groups by semicolon."""
-    sizes_a, sizes_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
-    group = np.arange(len(cuts_a))
-    place_a = np.arange(len(ids_a)) + np.repeat(cuts_b - sizes_b, sizes_a)
-    place_b = np.arange(len(ids_b)) + np.repeat(cuts_a, sizes_b)
-    out = np.empty(2 * (len(ids_a) + len(ids_b)), object)
-    out[2 * place_a], out[2 * place_b] = a.digits[ids_a], b.digits[ids_b]
-    out[2 * place_a + 1] = ","
-    out[2 * place_b + 1] = ","
-    out[2 * place_a[cuts_a - 1] + 1] = "|"
-    out[2 * place_b[cuts_b - 1] + 1] = np.where(group == len(group) - 1, "", ";")
-    return "".join(out.tolist())
+    # where each token stands: behind those of its own side and of the other side's groups before it
+    place_a = np.arange(len(ids_a)) + np.repeat(cuts_b - np.diff(cuts_b, prepend=0), np.diff(cuts_a, prepend=0))
+    place_b = np.arange(len(ids_b)) + np.repeat(cuts_a, np.diff(cuts_b, prepend=0))
+    size = len(ids_a) + len(ids_b)
+    out = np.empty(len(ids_a) + len(ids_b), "<u8")
+    out[place_a], out[place_b] = a.written[ids_a], b.written[ids_b]
+    for side, ids, place, cuts, mark in ((a, ids_a, place_a, cuts_a, "|"), (b, ids_b, place_b, cuts_b, ";")):
+        out[place[cuts - 1]] ^= np.uint64(ord(",") ^ ord(mark)) << side.mark_at[ids[cuts - 1]]
+    return out.tobytes().translate(None, b"\0")[:-1]
 
 
 def align(text: str, a: Side, b: Side, ids_a: list[int], ids_b: list[int]):
@@ -180,7 +183,7 @@ def align(text: str, a: Side, b: Side, ids_a: list[int], ids_b: list[int]):
     cuts_a, cuts_b = groups(np.cumsum(a.lengths[own_a]).tolist(), np.cumsum(b.lengths[own_b]).tolist())
     # no token is empty, so the last ones of a group are the only ones that end where it does
     pairs, times = np.unique((own_a[cuts_a - 1] << _SHIFT) | own_b[cuts_b - 1], return_counts=True)
-    digest = hashlib.sha256(_written(a, b, own_a, own_b, cuts_a, cuts_b).encode()).hexdigest()
+    digest = hashlib.sha256(_written(a, b, own_a, own_b, cuts_a, cuts_b)).hexdigest()
     return len(own_a), len(own_b), len(cuts_a), len(cuts_a), digest, pairs, times.astype(np.int32)
 
 
