@@ -111,6 +111,40 @@ def test_grid_scores_every_setting_and_fold(rows):
     assert len(best) == 1 and best[0].depth == 4
 
 
+def test_settings_share_the_layout_of_a_fold(rows, monkeypatch):
+    folds = [holdout(rows.filter(F.col("ds") < cut), 6, "month") for cut in ("2019-07-01", "2020-01-01")]
+    laid, fitted, lay, fit = [], [], M.fixed_layout, M.fit_rows
+    monkeypatch.setattr(M, "fixed_layout", lambda *a: laid.append(a) or lay(*a))
+    monkeypatch.setattr(M, "fit_rows", lambda rows, params: fitted.append(params) or fit(rows, params))
+    grid = M.param_grid(M.GbtParams(trees=4), depth=[1, 4], step=[0.001, 0.3])
+    whole = {(r.setting, r.fold): r.wape for r in M.tune_gbt(folds, inputs(), grid).collect()}
+    assert len(laid) == 2 and len(fitted) == 8 and len(whole) == 8
+    laid.clear(), fitted.clear()
+    kept = {(r.setting, r.fold): r.wape for r in M.tune_gbt(folds, inputs(), grid, first_trees=2).collect()}
+    assert len(laid) == 2 and sorted(p.trees for p in fitted) == [2] * 8 + [4] * 4
+    assert len(kept) == 4 and all(whole[k] == pytest.approx(v) for k, v in kept.items())
+    best = M.best_setting(M.tune_gbt(folds, inputs(), grid)).first().setting
+    assert best in {s for s, _ in kept}
+
+
+def test_gaps_are_filled_with_training_means_and_marked(spark, rows, tmp_path):
+    gap = (F.col("sid") % 3 == 0) & (F.month("ds") < 7)
+    gappy = materialize(rows.withColumn("x", F.when(~gap, F.col("y"))).withColumn("z", F.when(gap, F.lit(float("nan"))).otherwise(F.col("y"))))
+    known = M.Inputs(("x", "z", "month"), (), "y", ("sid", "ds"), imputed=("x", "z"))
+    assert known.assembled == ["x_filled", "x_missing", "z_filled", "z_missing", "month"]
+    train, test = holdout(gappy, 12, "month")
+    model = M.fit_gbt(train, known, M.GbtParams(trees=8, depth=4))
+    scored = M.predict(model, test.withColumn("x", F.lit(None).cast("double")))
+    assert scored.count() == test.count() and scored.filter("yhat is null").isEmpty() and scored.columns == [*test.columns, "yhat"]
+    mean = train.agg(F.avg("x")).first()[0]
+    made = model.transform(test.limit(300)).collect()
+    assert all((r.x_filled, r.x_missing, r.z_missing) == ((mean, 1.0, 1.0) if r.x is None else (r.x, 0.0, 0.0)) for r in made)
+    M.save_model(model, str(tmp_path / "m"))
+    assert [r.yhat for r in M.predict(M.load_model(str(tmp_path / "m")), test).collect()] == [r.yhat for r in M.predict(model, test).collect()]
+    nothing = M.fit_gbt(train.withColumn("x", F.lit(None).cast("double")), known, M.GbtParams(trees=1, depth=2))
+    assert M.predict(nothing, test).filter("yhat is null").isEmpty()
+
+
 def test_direct_forecasts_are_whole_and_contiguous(planted):
     table = materialize(H.horizon_table(planted, K, 6, "month", SPEC))
     out, _ = H.forecast_direct(table, K, SPEC, F.lit(dt.date(2020, 12, 1)), SMALL)

@@ -22,8 +22,9 @@ from tillcast.operators.joins import attach
 from tillcast.operators.running import pooled_quantiles, running_totals
 from tillcast.plans.panels import dense_panel, period_bounds
 from tillcast.session import materialize
-from tillcast.sources.forecasts import read_forecasts, write_forecasts
-from tillcast.sources.sales import load_sales, read_tables
+from tillcast.sources import forecasts as store
+from tillcast.sources.forecasts import drop_replaced, read_forecasts, write_forecasts
+from tillcast.sources.sales import LINKS, load_sales, read_tables, sales_quality
 
 K = ["k"]
 
@@ -176,6 +177,23 @@ def test_top_series_breaks_ties_by_key(spark):
     assert [(r.k, r.position) for r in P.top_series(df, K, 2).orderBy("position").collect()] == [("a", 1), ("b", 2)]
 
 
+def test_top_series_of_one_hot_parent(spark, pieces):
+    """Nearly all series in one parent, null parents too: the best of pieces, then the best of these."""
+    rng = random.Random(12)
+    rows = [("hot" if i % 10 else rng.choice(["cold", None]), f"s{i}", float(rng.randint(0, 40))) for i in range(700)]
+    df = spark.createDataFrame(rows, "p string, k string, y double")
+    for n in (1, 7, 1500):
+        out = P.top_series(df, ["p", "k"], n, "p")
+        want = set()
+        for parent in ("hot", "cold", None):
+            ranked = sorted(((-y, k) for q, k, y in rows if q == parent))[:n]
+            want |= {(parent, k, -y, i + 1) for i, (y, k) in enumerate(ranked)}
+        assert {tuple(r) for r in out.collect()} == want
+    # no step orders a parent before pieces of it have been cut to n rows
+    text = plan(P.top_series(df, ["p", "k"], 1500, "p"))
+    assert text.count("Window [row_number()") == 2 and "hashpartitioning(p" in text and "_piece" in text
+
+
 def test_demand_classes(spark):
     rows = monthly(spark, [5, 5, 5, 5], "steady") + monthly(spark, [0, 0, 0, 0], "none") + monthly(
         spark, [9, 0, 0, 9], "sparse") + monthly(spark, [1, 100, 1, 1], "wild") + monthly(spark, [1, 0, 0, 100], "both")
@@ -471,8 +489,67 @@ def test_rewriting_a_run_leaves_other_runs(spark, tmp_path):
     assert read_forecasts(spark, path, "007").count() == 1
 
 
+def test_an_ended_write_changes_nothing_for_readers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "fc")
+    df = spark.createDataFrame([(1, 2.0)], "k int, yhat double")
+    write_forecasts(df, path, "a")
+    broken = df.withColumn("yhat", F.raise_error(F.lit("ended")).cast("double"))
+    with pytest.raises(Exception, match="ended"):
+        write_forecasts(broken, path, "a")
+
+    def ended(*_):
+        raise RuntimeError("ended")
+    with monkeypatch.context() as patch:  # all rows are there, but the pointer is not
+        patch.setattr(store, "_pointers", ended)
+        with pytest.raises(RuntimeError):
+            write_forecasts(df.withColumn("yhat", F.lit(9.0)), path, "a")
+    assert [tuple(r) for r in read_forecasts(spark, path).collect()] == [(1, 2.0, "a")]
+    write_forecasts(df.withColumn("yhat", F.lit(3.0)), path, "a")
+    write_forecasts(df, path, "b")
+    assert drop_replaced(spark, path) >= 2 and drop_replaced(spark, path) == 0
+    assert {(r.run_id, r.yhat) for r in read_forecasts(spark, path).collect()} == {("a", 3.0), ("b", 2.0)}
+    with pytest.raises(ValueError, match="no such run"):
+        read_forecasts(spark, path, "c")
+
+
+def test_parent_sums_do_not_depend_on_the_order_of_rows(spark, pieces):
+    rng = random.Random(3)
+    rows = [(i % 4, i, 1, round(rng.choice([1e11, 1.0, 1e-3]) * rng.random(), 6)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "region_key int, nation_key int, horizon int, yhat double")
+    sums = [sorted(map(tuple, R.bottom_up(d, run=["horizon"]).filter("level <> 'nation_key'").select("level", "region_key", "yhat").collect()), key=str)
+            for d in (df, df.repartition(5), df.orderBy("yhat"))]
+    assert sums[0] == sums[1] == sums[2] and len(sums[0]) == 5
+
+
+def test_defects_are_counted_as_in_plain_sets(spark, small):
+    tables = read_tables(spark, small)
+    def with_nulls(df, key, every):
+        return df.withColumn(key, F.when(F.pmod(F.hash(*df.columns), F.lit(every)) != 0, F.col(key)))
+    tables = type(tables)(**{
+        "lineitem": with_nulls(with_nulls(tables.lineitem, "l_orderkey", 50), "l_partkey", 70), "orders": with_nulls(tables.orders, "o_custkey", 30),
+        "customer": with_nulls(tables.customer.filter("c_custkey % 3 > 0"), "c_nationkey", 9), "part": tables.part.filter("p_partkey % 4 > 0"),
+        "nation": tables.nation.filter("n_nationkey > 4"), "region": tables.region.union(tables.region.selectExpr("r_regionkey + 90", "r_name"))})
+    got = {r.check: r.n for r in sales_quality(tables).collect()}
+    for many, many_key, one, one_key, orphan, childless in LINKS:
+        children = [r[0] for r in getattr(tables, many).select(many_key).collect()]
+        parents = [r[0] for r in getattr(tables, one).select(one_key).collect()]
+        assert got[orphan] == sum(c is None or c not in set(parents) for c in children), orphan
+        assert got[childless] == sum(p is None or p not in set(children) for p in parents), childless
+    assert got["null_lineitem_l_orderkey"] > 0 and got["null_orders_o_custkey"] > 0 and len(got) == 9 + 3 + 1 + 10
+    empty = type(tables)(**{n: getattr(tables, n).limit(0) for n in type(tables).__dataclass_fields__})
+    assert {r.n for r in sales_quality(empty).collect()} == {0}
+
+
 # ---- plans
 
+def test_defects_read_lines_and_orders_twice(spark, small):
+    text = plan(sales_quality(read_tables(spark, small)))
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line]
+    count = lambda name: sum(f"{name}.parquet" in line for line in scans)
+    assert {n: count(n) for n in ("lineitem", "orders", "customer", "part", "nation", "region")} == {
+        "lineitem": 2, "orders": 2, "customer": 1, "part": 1, "nation": 1, "region": 1}
+
+
 def test_filters_and_columns_reach_the_scan(spark, small):
     df = load_sales(spark, small, exclude_returns=True, columns=["order_key", "gross"],
                     since=F.lit(day("1996-01-01")), until=F.lit(day("1997-01-01")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import shift
 from ..models import gbt as M
 from ..models import horizons as H
-from ..operators.features import FeatureSpec, drop_warmup
+from ..operators.features import FeatureSpec, driver_lags, drop_warmup
 from ..operators.splits import fold_origin, fold_rows, holdout
 from ..plans.backtest import backtest as run_backtest
 from ..plans.backtest import backtest_gbt, next_value_comparison
@@ -95,6 +95,62 @@ def boosted_stumps(spark, path):
     return rounded(M.predict(model, rows).drop("month"), {"yhat": 2})
 
 
+def _tree_sql(name: str, rows: str, numbers: list[str], categories: list[str], label: str, depth: int) -> str:
+    """CTEs that grow one tree of ``depth`` levels on ``rows``; ``<name>`` is ``rows`` with the mean of each row's leaf
+    in the column of that name.
+
+    Level by level the rows are given to the node that the splits above lead them to, and each node has its
+    own split table. Categories are ordered by their mean label inside the node, and split along that order.
+    """
+    parts, source = [f"{name}_at_0 AS (SELECT *, 1 AS node FROM {rows})"], f"{name}_at_0"
+    for level in range(depth):
+        at, ranks = f"{name}_{level}", f"{name}_{level}_ranks"
+        ranked = "\nUNION ALL ".join(
+            f"""SELECT node, '{c}' AS feature, {c} AS category, CAST(row_number() OVER (PARTITION BY node ORDER BY avg({label}), {c}) AS DOUBLE) AS v
+  FROM {source} GROUP BY node, {c}""" for c in categories) or "SELECT 1 AS node, '' AS feature, 0 AS category, 0.0 AS v WHERE false"
+        placed = ", ".join([f"s.*", *[f"r_{c}.v AS {c}_rank" for c in categories]])
+        joins = " ".join(f"JOIN {ranks} r_{c} ON r_{c}.node = s.node AND r_{c}.feature = '{c}' AND r_{c}.category = s.{c}" for c in categories)
+        features = [*numbers, *[f"{c}_rank" for c in categories]]
+        value = "CASE feature " + " ".join(f"WHEN '{f}' THEN {f}" for f in features) + " END"
+        dropped = f" EXCLUDE ({', '.join(f'{c}_rank' for c in categories)})" if categories else ""
+        parts += [
+            f"{ranks} AS ({ranked})",
+            f"{at}_rows AS (SELECT {placed} FROM {source} s {joins})",
+            _splits_sql(f"{at}_best", f"{at}_rows", ", ".join(features), label, "node"),
+            f"""{name}_at_{level + 1} AS (
+  SELECT r.*{dropped} REPLACE (CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= threshold THEN 2 * r.node ELSE 2 * r.node + 1 END AS node)
+  FROM {at}_rows r LEFT JOIN {at}_best b ON b.node = r.node)""",
+        ]
+        source = f"{name}_at_{level + 1}"
+    parts.append(f"{name} AS (SELECT * EXCLUDE (node), avg({label}) OVER (PARTITION BY node) AS {name} FROM {source})")
+    return ",\n".join(parts)
+
+
+def _forest_sql(rows: str, numbers: list[str], categories: list[str], label: str, depth: int, trees: int, step: float) -> str:
+    """CTEs of boosting rounds: each tree is grown on twice what the trees before leave over. ``forest`` has ``yhat``."""
+    parts, source, total = [], rows, ""
+    for n in range(1, trees + 1):
+        if n > 1:
+            parts.append(f"left_{n} AS (SELECT *, 2 * ({label} - ({total})) AS rest_{n} FROM {source})")
+            source = f"left_{n}"
+        parts.append(_tree_sql(f"tree_{n}", source, numbers, categories, label if n == 1 else f"rest_{n}", depth))
+        source = f"tree_{n}"
+        total = f"{total} + {step} * tree_{n}" if total else f"tree_{n}"
+    return ",\n".join([*parts, f"forest AS (SELECT *, {total} AS yhat FROM {source})"])
+
+
+@query("boosted_trees", f"""{PANEL},
+known AS (SELECT nation_key, ds, CAST(month(ds) AS INTEGER) AS month, CAST(quarter(ds) AS INTEGER) AS quarter, y FROM panel),
+{_forest_sql('known', ['month', 'quarter'], ['nation_key'], 'y', 2, 3, 0.1)}
+SELECT nation_key, ds, y, round(yhat, 2) AS yhat FROM forest""")
+def boosted_trees(spark, path):
+    """Three rounds of trees with two levels, on numbers and a category."""
+    panel = nation_panel(spark, path)
+    rows = materialize(panel.select("nation_key", "ds", F.month("ds").alias("month"), F.quarter("ds").alias("quarter"), "y"))
+    model = M.fit_gbt(rows, M.Inputs(("month", "quarter"), tuple(K), "y", (*K, "ds")), M.GbtParams(trees=3, depth=2, step=0.1))
+    return rounded(M.predict(model, rows).select("nation_key", "ds", "y", "yhat"), {"yhat": 2})
+
+
 def _boosted(spark, path):
     rows = materialize(nation_panel(spark, path).select("nation_key", "ds", F.month("ds").alias("month"), "y"))
     params = M.GbtParams(trees=2, depth=1, step=0.1)
@@ -328,6 +384,23 @@ def forecast_short_series(spark, path):
     return rounded(H.backtest_direct(table, K, spec, folds, STUMP).drop("past_mean"), {"yhat": 2})
 
 
+@query("gaps_stump", f"""{PANEL},
+known AS (
+  SELECT nation_key, ds, y, units_lag_12, CASE WHEN units_lag_12 IS NULL THEN 1.0 ELSE 0.0 END AS units_lag_12_missing
+  FROM (SELECT *, lag(units, 12) OVER (PARTITION BY nation_key ORDER BY ds) AS units_lag_12 FROM panel)),
+filled AS (
+  SELECT *, coalesce(units_lag_12, (SELECT avg(units_lag_12) FROM known)) AS units_lag_12_filled FROM known),
+{_splits_sql('best', 'filled', 'units_lag_12_filled, units_lag_12_missing', 'y')}
+SELECT nation_key, ds, y, units_lag_12_missing > 0 AS gap, round(CASE WHEN (CASE feature WHEN 'units_lag_12_filled' THEN units_lag_12_filled
+  ELSE units_lag_12_missing END) <= threshold THEN left_mean ELSE right_mean END, 2) AS yhat FROM filled, best""")
+def gaps_stump(spark, path):
+    """A model of a driver's value a year before, which every series lacks in its first year: no row is left out."""
+    rows = materialize(driver_lags(nation_panel(spark, path), K, ["units"], [12]))
+    model = M.fit_gbt(rows, M.Inputs(("units_lag_12",), (), "y", (*K, "ds"), imputed=("units_lag_12",)), STUMP)
+    scored = M.predict(model, rows).withColumn("gap", F.col("units_lag_12").isNull())
+    return rounded(scored.select("nation_key", "ds", "y", "gap", "yhat"), {"yhat": 2})
+
+
 @query("forecast_customers", f"""{panel_sql('customer_key')},
 steps AS (SELECT CAST(unnest(range(1, 3)) AS INTEGER) AS horizon),
 halves AS (SELECT avg(y) AS left_mean, avg(CASE WHEN ds > first_ds THEN y END) AS right_mean FROM panel, bounds)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +43,22 @@ class Inputs:
     """What a model reads: numbers, categories, the label, and the columns that
     tell the training rows apart (they fix the order of the rows). Trees hold the
     labels of a category, so name only columns with few values; a series comes in
-    through its own past, which looks the same for any number of series."""
+    through its own past, which looks the same for any number of series.
+
+    Rows that miss a number cannot be learnt from, except for numbers named in
+    ``imputed``: a gap in one is filled with its mean over the training rows, and
+    an input of its own, 1 or 0, says that it was a gap."""
 
     numeric: tuple[str, ...]
     categorical: tuple[str, ...] = ()
     label: str = "y"
     identity: tuple[str, ...] = ("ds",)
+    imputed: tuple[str, ...] = ()
 
     @property
     def assembled(self) -> list[str]:
-        return [f"{c}_index" for c in self.categorical] + list(self.numeric)
+        numbers = [name for c in self.numeric for name in ((f"{c}_filled", f"{c}_missing") if c in self.imputed else (c,))]
+        return [f"{c}_index" for c in self.categorical] + numbers
 
 
 def fixed_layout(df: DataFrame, identity, tasks: int) -> DataFrame:
@@ -66,15 +72,36 @@ def fixed_layout(df: DataFrame, identity, tasks: int) -> DataFrame:
     return df.repartition(tasks, *identity).sortWithinPartitions(*identity)
 
 
-def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), valid: DataFrame | None = None,
-            tasks: int | None = None) -> PipelineModel:
-    """Fit one boosted-tree model over all series.
+@dataclass
+class TrainingRows:
+    """Rows that are laid out for fits, held by the executors until ``release``, and the stages that made them."""
 
-    The result is a pipeline that indexes, assembles and predicts ``yhat``. The
-    rows are read several times, so they should be a stored table. With ``valid`` training stops when another tree no longer helps on those rows.
-    Categories unseen in training are scored with the index's spare value. Without training rows there is
-    nothing to fit: a ValueError.
+    rows: DataFrame
+    stages: list
+    categories: int
+    with_validation: bool
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def gap_stages(train: DataFrame, columns) -> list:
+    """Stages that mark the gaps of number columns and fill them with the means of ``train``.
+
+    They add ``<column>_missing`` and ``<column>_filled``, and are stored with a model. A column that has
+    gaps only is filled with zeros.
     """
+    columns = list(columns)
+    value = {c: F.col(c).cast("double") for c in columns}
+    known = train.agg(*[F.avg(F.when(~F.isnan(v), v)).alias(c) for c, v in value.items()]).first()
+    marks = ", ".join(f"IF(`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)), 1.0D, 0.0D) AS `{c}_missing`" for c in columns)
+    fills = ", ".join(f"IF(`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)), {known[c] or 0.0!r}D, CAST(`{c}` AS DOUBLE)) AS `{c}_filled`"
+                      for c in columns)
+    return [SQLTransformer(statement=f"SELECT *, {marks}, {fills} FROM __THIS__")]
+
+
+def lay_out(train: DataFrame, inputs: Inputs, valid: DataFrame | None = None, tasks: int = 8) -> TrainingRows:
+    """Index, assemble and place training rows once, for any number of fits."""
     rows = train.withColumn("_valid", F.lit(False))
     if valid is not None:
         rows = rows.unionByName(valid.withColumn("_valid", F.lit(True)))
@@ -82,35 +109,54 @@ def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), v
         *inputs.identity, *[c for c in (*inputs.categorical, *inputs.numeric) if c not in inputs.identity],
         F.col(inputs.label).cast("double").alias("_label"), "_valid",
     )
-    stages = []
-    bins = params.bins
+    stages, categories = [], 0
     if inputs.categorical:
         index = fit_key_index(train, inputs.categorical)
-        bins = max(bins, *[len(labels) + 1 for labels in index.labelsArray])
+        categories = max(len(labels) for labels in index.labelsArray)
         stages.append(index)
+    if inputs.imputed:
+        stages += gap_stages(train, inputs.imputed)
     stages.append(VectorAssembler(inputCols=inputs.assembled, outputCol="features"))
     assembled = rows
     for stage in stages:
         assembled = stage.transform(assembled)
-    laid_out = fixed_layout(
-        assembled.select(*inputs.identity, "features", "_label", "_valid"), inputs.identity, tasks or params.pieces)
+    laid_out = fixed_layout(assembled.select(*inputs.identity, "features", "_label", "_valid"), inputs.identity, tasks)
     laid_out = laid_out.select("features", "_label", "_valid").persist(StorageLevel.MEMORY_AND_DISK)
+    return TrainingRows(laid_out, stages, categories, valid is not None)
+
+
+def fit_rows(laid_out: TrainingRows, params: GbtParams) -> PipelineModel:
+    """Fit one model on rows that are laid out. Without training rows there is nothing to fit: a ValueError."""
     trainer = GBTRegressor(
         featuresCol="features", labelCol="_label", predictionCol="yhat", maxIter=params.trees, maxDepth=params.depth,
-        stepSize=params.step, maxBins=bins, lossType=params.loss, seed=params.seed,
+        stepSize=params.step, maxBins=max(params.bins, laid_out.categories + 1), lossType=params.loss, seed=params.seed,
         subsamplingRate=params.subsample, minInstancesPerNode=params.min_rows,
     )
-    if valid is not None:
+    if laid_out.with_validation:
         trainer = trainer.setValidationIndicatorCol("_valid")
     try:
-        model = trainer.fit(laid_out)
+        model = trainer.fit(laid_out.rows)
     except IllegalArgumentException as error:
         if "input RDD" not in str(error):
             raise
         raise ValueError("there are no training rows") from error
+    return PipelineModel(stages=[*laid_out.stages, model])
+
+
+def fit_gbt(train: DataFrame, inputs: Inputs, params: GbtParams = GbtParams(), valid: DataFrame | None = None,
+            tasks: int | None = None) -> PipelineModel:
+    """Fit one boosted-tree model over all series.
+
+    The result is a pipeline that indexes, assembles and predicts ``yhat``. The
+    rows are read several times, so they should be a stored table. With ``valid`` training stops when another tree no longer helps on those rows.
+    Categories unseen in training are scored with the index's spare value. Without training rows there is
+    nothing to fit: a ValueError.
+    """
+    laid_out = lay_out(train, inputs, valid, tasks or params.pieces)
+    try:
+        return fit_rows(laid_out, params)
     finally:
-        laid_out.unpersist()
-    return PipelineModel(stages=[*stages, model])
+        laid_out.release()
 
 
 def early_stop(train: DataFrame, valid: DataFrame, inputs: Inputs, params: GbtParams = GbtParams()) -> PipelineModel:
@@ -214,32 +260,50 @@ def param_grid(base: GbtParams = GbtParams(), **choices) -> list[GbtParams]:
     return [replace(base, **dict(zip(names, values))) for values in itertools.product(*choices.values())]
 
 
-def tune_gbt(folds, inputs: Inputs, grid: list[GbtParams], parallelism: int = 2) -> DataFrame:
-    """Score every setting on every time fold.
-
-    ``folds`` are pairs of train and test rows (random folds would leak the
-    future). Fits run ``parallelism`` at a time; scoring is one job over all of
-    them.
-    """
-    folds = list(folds)
-    spark = folds[0][0].sparkSession
-
+def _fold_scores(folds, inputs: Inputs, grid: dict[int, GbtParams], laid_out: dict, parallelism: int) -> DataFrame:
+    """Errors of settings (by their number) on all folds: fits run side by side, one job scores them."""
     def fit(task):
         setting, fold = task
-        return setting, fold, fit_gbt(folds[fold][0], inputs, grid[setting])
+        return setting, fold, fit_rows(laid_out[fold, grid[setting].pieces], grid[setting])
 
-    tasks = [(s, f) for s in range(len(grid)) for f in range(len(folds))]
-    fitted = side_by_side(spark, fit, tasks, parallelism)
-    scored = None
-    for setting, fold, model in fitted:
+    scored = []
+    tasks = [(s, f) for s in grid for f in range(len(folds))]
+    for setting, fold, model in side_by_side(folds[0][0].sparkSession, fit, tasks, parallelism):
         params = grid[setting]
-        rows = predict(model, folds[fold][1]).select(
+        scored.append(predict(model, folds[fold][1]).select(
             F.lit(setting).alias("setting"), F.lit(fold + 1).alias("fold"),
             F.lit(params.trees).alias("trees"), F.lit(params.depth).alias("depth"),
             F.lit(params.step).alias("step"), F.col(inputs.label).alias("y"), "yhat",
-        )
-        scored = rows if scored is None else scored.unionByName(rows)
-    return scored.groupBy("setting", "fold", "trees", "depth", "step").agg(*error_columns())
+        ))
+    return reduce(DataFrame.unionByName, scored).groupBy("setting", "fold", "trees", "depth", "step").agg(*error_columns())
+
+
+def tune_gbt(folds, inputs: Inputs, grid: list[GbtParams], parallelism: int = 2, first_trees: int | None = None,
+             metric: str = "wape") -> DataFrame:
+    """Score every setting on every time fold.
+
+    ``folds`` are pairs of train and test rows (random folds would leak the
+    future). The training rows of a fold are laid out once and serve all settings. Fits run ``parallelism``
+    at a time; scoring is one job over all of them.
+
+    With ``first_trees`` all settings are tried with so few trees first, and only the better half by the
+    mean of ``metric`` (at least one, and settings with so few trees anyway) is fitted and scored in full.
+    """
+    folds, numbered = list(folds), dict(enumerate(grid))
+    laid_out = {(f, pieces): lay_out(folds[f][0], inputs, tasks=pieces)
+                for f in range(len(folds)) for pieces in dict.fromkeys(p.pieces for p in grid)}
+    try:
+        large = {s: p for s, p in numbered.items() if first_trees and p.trees > first_trees}
+        if len(large) > 1:
+            tried = {s: replace(p, trees=first_trees) for s, p in large.items()}
+            means = _fold_scores(folds, inputs, tried, laid_out, parallelism).groupBy("setting").agg(F.avg(metric).alias("m"))
+            order = [r.setting for r in means.filter("m is not null").orderBy("m", "setting").collect()]  # a row per setting
+            for setting in set(large) - set(order[:(len(large) + 1) // 2]):
+                del numbered[setting]
+        return _fold_scores(folds, inputs, numbered, laid_out, parallelism)
+    finally:
+        for rows in laid_out.values():
+            rows.release()
 
 
 def best_setting(scores: DataFrame, metric: str = "wape") -> DataFrame:

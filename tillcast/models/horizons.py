@@ -140,8 +140,8 @@ def forecast_recursive(model: PipelineModel | None, panel: DataFrame, keys, hori
     forecast = F.transform(steps, lambda _: F.lit(None).cast("double"))
     if model is not None:
         trees, names = TreeTable.of(model), model.stages[-2].getInputCols()
-        if len(model.stages) > 2:  # the index of the categories
-            state = model.stages[0].transform(state)
+        for stage in model.stages[:-2]:  # the index of the categories
+            state = stage.transform(state)
 
         def step(values: Column, h: Column) -> Column:
             fields = spec.from_history(values, shift(F.col("origin"), h, grain))

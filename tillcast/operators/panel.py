@@ -148,7 +148,11 @@ def pareto(panel: DataFrame, keys, a_share: float = 0.8, b_share: float = 0.95)
 
 
 def top_series(panel: DataFrame, keys, n: int, parent: str | None = None) -> DataFrame:
-    """The ``n`` largest series by revenue, overall or inside each parent."""
+    """The ``n`` largest series by revenue, overall or inside each parent.
+
+    Inside parents the best of pieces come first, which a hash of the series deals out, and then the best of
+    these: a parent that holds most of the series is spread over as many tasks as a shuffle has.
+    """
     keys = list(keys)
     totals = panel.groupBy(*keys).agg(exact_sum("y").alias("revenue"))
     order = [F.col("revenue").desc(), *[F.col(k) for k in keys]]
@@ -156,8 +160,11 @@ def top_series(panel: DataFrame, keys, n: int, parent: str | None = None) -> Dat
         top = totals.orderBy(*order).limit(n)
         ranked = top.withColumn("position", F.row_number().over(W.orderBy(*order)))
     else:
-        ranked = totals.withColumn("position", F.row_number().over(W.partitionBy(parent).orderBy(*order)))
-        ranked = ranked.filter(F.col("position") <= n)
+        pieces = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranked = totals.withColumn("_piece", F.pmod(F.xxhash64(*keys), F.lit(pieces)))
+        for inside in ([parent, "_piece"], [parent]):
+            place = F.row_number().over(W.partitionBy(*inside).orderBy(*order))
+            ranked = ranked.withColumn("position", place).filter(F.col("position") <= n)
     return ranked.select(*keys, F.col("revenue").cast("double").alias("revenue"), "position")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,50 +160,64 @@ def _as_rows(df: DataFrame) -> DataFrame:
     ])).alias("r")).select("r.check", "r.n")
 
 
-def _links(many: DataFrame, many_key: str, one: DataFrame, one_key: str, orphan: str, childless: str) -> DataFrame:
-    """Rows without a parent and parents without rows, from one join.
+# Links between tables: child table and key, parent table and key, and the names of the two defects.
+LINKS = (
+    ("lineitem", "l_orderkey", "orders", "o_orderkey", "lines_without_order", "orders_without_lines"),
+    ("orders", "o_custkey", "customer", "c_custkey", "orders_without_customer", "customers_without_orders"),
+    ("lineitem", "l_partkey", "part", "p_partkey", "lines_without_part", "parts_without_lines"),
+    ("customer", "c_nationkey", "nation", "n_nationkey", "customers_without_nation", "nations_without_customers"),
+    ("nation", "n_regionkey", "region", "r_regionkey", "nations_without_region", "regions_without_nations"),
+)
 
-    Both sides are counted per key first, so a key that holds a large share of
-    the rows reaches the join as one row per task.
+
+def _broken_links(tables: SalesTables) -> DataFrame:
+    """Rows without a parent and parents without rows, for all links in one pass over each table.
+
+    Every row gives a tagged key for each link that its table takes part in, and keys are counted by tag and
+    side. Counts are combined before the shuffle, so a key that holds a large share of the rows is one row per
+    task. A null key meets no other.
     """
-    children = many.groupBy(F.col(many_key).alias("k")).agg(F.count("*").alias("children"))
-    parents = one.groupBy(F.col(one_key).alias("k")).agg(F.count("*").alias("parents"))
-    joined = children.join(parents, "k", "full")
-    return _as_rows(joined.agg(
-        F.coalesce(F.sum(F.when(F.col("parents").isNull(), F.col("children"))), F.lit(0)).alias(orphan),
-        F.coalesce(F.sum(F.when(F.col("children").isNull(), F.col("parents"))), F.lit(0)).alias(childless),
-    ))
+    entries = []
+    for name in SalesTables.__dataclass_fields__:
+        tags = [(i, many_key, 1, 0) for i, (many, many_key, *_) in enumerate(LINKS) if many == name]
+        tags += [(i, one_key, 0, 1) for i, (_, _, one, one_key, *_) in enumerate(LINKS) if one == name]
+        keys = F.array(*[F.struct(
+            F.lit(i).alias("link"), F.col(key).cast("bigint").alias("k"), F.lit(child).cast("bigint").alias("children"),
+            F.lit(parent).cast("bigint").alias("parents")) for i, key, child, parent in tags])
+        entries.append(getattr(tables, name).select(F.explode(keys).alias("e")).select("e.*"))
+    counted = reduce(DataFrame.unionByName, entries).groupBy("link", "k").agg(
+        F.sum("children").alias("children"), F.sum("parents").alias("parents"))
+
+    def left_over(link: int, own: str, other: str) -> Column:
+        alone = (F.col("link") == link) & (F.col("k").isNull() | (F.col(other) == 0))
+        return F.coalesce(F.sum(F.when(alone, F.col(own))), F.lit(0))
+
+    return _as_rows(counted.agg(*[
+        total for i, (*_, orphan, childless) in enumerate(LINKS)
+        for total in (left_over(i, "children", "parents").alias(orphan), left_over(i, "parents", "children").alias(childless))]))
+
+
+def _order_defects(orders: DataFrame) -> DataFrame:
+    """Nulls, and the orders of a last month that is not whole, through counts by month."""
+    day = F.col("o_orderdate").cast("date")
+    months = orders.groupBy(F.trunc(day, "MM").alias("m")).agg(
+        F.count("*").alias("n"), F.max(day).alias("last"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_orders_{c}") for c in ("o_orderkey", "o_custkey", "o_orderdate")])
+    last = F.max("last")
+    return _as_rows(months.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in months.columns if c.startswith("null_")],
+        F.when(last < F.last_day(last), F.max_by("n", "m")).otherwise(0).alias("orders_in_partial_last_month")))
 
 
 def sales_quality(tables: SalesTables) -> DataFrame:
-    """Counts of defects in the source tables as rows of ``check, n``."""
-    orders = tables.orders
-    month_end = F.last_day(F.max("o_orderdate").cast("date"))
-    tail = orders.agg(
-        F.when(F.max("o_orderdate").cast("date") < month_end, F.trunc(F.max("o_orderdate"), "MM")).alias("m")
-    ).scalar()
-    checks = [
-        _as_rows(tables.lineitem.agg(
-            *_nulls(tables.lineitem, "lineitem", ["l_orderkey", "l_partkey", "l_extendedprice", "l_discount"]),
-            F.count_if(F.col("l_extendedprice") <= 0).alias("nonpositive_price"),
-            F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 1)).alias("discount_out_of_range"),
-            *[F.count_if(finer(f"l_{c}")).alias(f"finer_{c}") for c in ("quantity", "extendedprice", "discount")],
-        )),
-        _as_rows(orders.agg(
-            *_nulls(orders, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]),
-        )),
-        _as_rows(orders.filter(F.col("o_orderdate") >= tail.cast("timestamp_ntz")).agg(
-            F.count("*").alias("orders_in_partial_last_month"))),
-        _links(tables.lineitem, "l_orderkey", orders, "o_orderkey", "lines_without_order", "orders_without_lines"),
-        _links(orders, "o_custkey", tables.customer, "c_custkey",
-               "orders_without_customer", "customers_without_orders"),
-        _links(tables.lineitem, "l_partkey", tables.part, "p_partkey", "lines_without_part", "parts_without_lines"),
-        _links(tables.customer, "c_nationkey", tables.nation, "n_nationkey",
-               "customers_without_nation", "nations_without_customers"),
-        _links(tables.nation, "n_regionkey", tables.region, "r_regionkey",
-               "nations_without_region", "regions_without_nations"),
-    ]
-    result = checks[0]
-    for check in checks[1:]:
-        result = result.unionByName(check)
-    return result
+    """Counts of defects in the source tables as rows of ``check, n``.
+
+    Lines and orders are read twice each, once for their own defects and once for the links, other tables once.
+    """
+    lines = _as_rows(tables.lineitem.agg(
+        *_nulls(tables.lineitem, "lineitem", ["l_orderkey", "l_partkey", "l_extendedprice", "l_discount"]),
+        F.count_if(F.col("l_extendedprice") <= 0).alias("nonpositive_price"),
+        F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 1)).alias("discount_out_of_range"),
+        *[F.count_if(finer(f"l_{c}")).alias(f"finer_{c}") for c in ("quantity", "extendedprice", "discount")],
+    ))
+    return lines.unionByName(_order_defects(tables.orders)).unionByName(_broken_links(tables))
