@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +21,7 @@ from .common import query, ship_package, table
 
 POINTS_UP = (1.0, 0.5, 1 / 3)  # shares of a block's points for its parent, grandparent and the next
 MOST_LINKED = 0.5  # share in links of the text of what stands beside the best container
-MOST_TEXT = 0.5  # share of the page's unlinked text above which no name cuts an element
-LOWERED = 0.5  # of its points are left to what stands in a form or under an unlikely name
+LOWERED, LEAST = 0.5, 1 / 64  # of its points are left to what stands in a form or under an unlikely name, and in many of them
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +45,8 @@ UNLIKELY = re.compile(
     | gdpr | header | masthead | menu | modal | nav\w* | newsletter | notices? | outbrain | pagination | pager | popup | promo\w*
     | recommend\w* | related | repl(?:y|ies) | share | sharing | sidebar | signup | social | sponsor\w* | subscribe | taboola
     | toolbar | widget ) \d* """)
+COMMENT = re.compile(r"(?i)(?:comments?|disqus|repl(?:y|ies))\d*")  # what readers say, also where it is marked up as an article
+WRAPPING = re.compile(r"(?i)(?:widget|header)\d*")  # names that page builders give to anything
 LAYOUT = frozenset("""area articles bar block body bottom box button buttons col column container content form global group icons inner
     item items left link links list main message outer page posts primary right row secondary section site stories text title top
     wrap wrapper""".split())
@@ -59,11 +61,13 @@ _PARTS = re.compile(r"[-_]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "junk", "unlikely", "points", "own", "linked")
+    __slots__ = ("tag", "parent", "children", "junk", "unlikely", "points", "own", "linked", "block", "inline")
 
     def __init__(self, tag: str, parent: Node | None, junk: bool, unlikely: int = 0):
         self.tag, self.parent, self.junk, self.unlikely = tag, parent, junk, unlikely
         self.children: list[Node | str] = []
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.inline: Counter[str] = Counter()  # of a block: its inline elements that are open
         self.points = 0.0
         self.own = self.linked = 0  # characters of text below, and of those in links
 
@@ -85,7 +89,8 @@ def _is_junk(tag: str, attributes: str) -> bool:
 
 
 def _unlikely(tag: str, attributes: str) -> int:
-    """2 for a form and where a class or id is made of unlikely words, 1 where it has one among others, else 0.
+    """3 where a class or id is made of words for readers' comments, 2 for a form and where one is made of unlikely
+    words, 1 where it has one among others, else 0.
 
     An id that ends in a number is taken for one that was numbered, such as that of a heading.
     """
@@ -104,7 +109,11 @@ def _unlikely(tag: str, attributes: str) -> int:
             if not any(unlikely) or any(p.lower() in ABOUT_OTHERS for p in parts):
                 continue
             whole = all(u or p.isdigit() or p.lower() in LAYOUT for p, u in zip(parts, unlikely))
-            level = max(level, 2 if whole and not (name == "id" and token[-1].isdigit()) else 1)
+            if not whole or name == "id" and token[-1].isdigit() or all(
+                    WRAPPING.fullmatch(p) for p, u in zip(parts, unlikely) if u):
+                level = max(level, 1)
+            else:
+                level = max(level, 3 if any(map(COMMENT.fullmatch, parts)) else 2)
     return level
 
 
@@ -112,9 +121,17 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers would roughly do."""
     root = node = Node("#page", None, False)
     at = 0
+    blocks: Counter[str] = Counter()  # block elements that are open
 
     def up_to(found: Node) -> Node:
-        return found.parent or root
+        """Close all elements up to ``found``."""
+        look = node
+        while True:
+            counts = blocks if look.tag in BLOCK else look.block.inline
+            counts[look.tag] -= 1
+            if look is found:
+                return found.parent or root
+            look = look.parent
 
     def nearest(tags, stops) -> Node | None:
         look = node
@@ -139,16 +156,17 @@ def parse(page: str) -> Node:
         tag = match[2].lower()
         if match[1]:
             if tag in BLOCK or tag not in VOID:
-                # an end tag of an inline element does not reach out of its block
-                found = nearest({tag}, set() if tag in BLOCK else BLOCK)
+                # an end tag of an inline element does not reach out of its block; nothing is looked for that is not open
+                is_open = blocks[tag] if tag in BLOCK else node.block.inline[tag]
+                found = nearest({tag}, set() if tag in BLOCK else BLOCK) if is_open else None
                 if found is not None:
                     node = up_to(found)
             continue
         if tag in CLOSES:
             tags, stops = CLOSES[tag]
-            while (found := nearest(tags, stops)) is not None:
+            while any(blocks[t] for t in tags) and (found := nearest(tags, stops)) is not None:
                 node = up_to(found)
-        elif tag in BLOCK and (found := nearest({"p"}, BLOCK - {"p"})) is not None:
+        elif tag in BLOCK and blocks["p"] and (found := nearest({"p"}, BLOCK - {"p"})) is not None:
             node = up_to(found)
         new = Node(tag, node, _is_junk(tag, match[3]), _unlikely(tag, match[3]))
         node.children.append(new)
@@ -166,6 +184,27 @@ def parse(page: str) -> Node:
             at = close + 1 if close >= 0 else len(page)  # its content is never text of the page
             continue
         node = new
+        (blocks if tag in BLOCK else node.block.inline)[tag] += 1
+
+
+def _titles(root: Node) -> None:
+    """Headers inside an article keep their headings, the article's title, and nothing else."""
+    stack = [(root, False)]
+    while stack:
+        node, in_article = stack.pop()
+        if node.tag == "header" and in_article:
+            node.junk, titles, inner = False, [], list(reversed(node.children))
+            while inner:
+                child = inner.pop()
+                if isinstance(child, Node) and child.tag in HEADINGS:
+                    titles.append(child)
+                elif isinstance(child, Node) and not child.junk:
+                    inner.extend(reversed(child.children))
+            node.children = titles
+            for title in titles:
+                title.parent = node
+        elif not node.junk:
+            stack.extend((c, in_article or node.tag == "article") for c in node.children if isinstance(c, Node))
 
 
 def _blocks(node: Node, out: list[str], left_out: frozenset | set = frozenset()) -> None:
@@ -232,28 +271,40 @@ def _is_dense(node: Node) -> bool:
 
 
 def _cut(root: Node) -> list[Node]:
-    """Make junk of unlikely elements; returns them.
+    """Make junk of unlikely elements, whatever their size; returns them.
 
-    Never an article, nor what holds one, nor what holds most of the page's unlinked text; and where the name
-    has other words too, only blocks whose text is mostly links.
+    What is called comments goes whole, articles in it and articles called so too. What else has an unlikely
+    name, or is a form, goes unless it holds an article that is no comment; a form stays also if it holds the
+    page's main heading, as one around a whole page does. Where the name has other words too, or is one that
+    page builders give to anything, only blocks go whose text is mostly links.
     """
     nodes = _measure(root)
     if not any(n.unlikely for n in nodes):
         return []
-    whole = root.own - root.linked
-    holders = set()
-    for node in nodes:
-        if node.tag == "article" and not node.unlikely and not _is_dense(node):
+    comments, holders, seen = set(), set(), set()
+    for node in nodes:  # parents before children
+        if node.unlikely == 3 or node.parent in comments:
+            comments.add(node)
+        elif node.tag == "article" and not _is_dense(node):
             look = node.parent
             while look is not None and look not in holders:
                 holders.add(look)
                 look = look.parent
+        elif node.tag == "h1":
+            look = node.parent
+            while look is not None and look not in seen:
+                seen.add(look)
+                look = look.parent
+    holders |= {node for node in seen if node.tag == "form"}
     cut = []
     for node in nodes:
-        if not node.unlikely or node.tag == "article" or node in holders or node.own - node.linked > MOST_TEXT * whole:
+        if node.unlikely == 3:
+            node.junk = True
+        elif not node.unlikely or node.tag == "article" or node in holders:
             continue
-        if node.unlikely == 2 or node.tag in BLOCK and _is_dense(node):
+        elif node.unlikely == 2 or node.tag in BLOCK and _is_dense(node):
             node.junk = True
+        if node.junk:
             cut.append(node)
     return cut
 
@@ -291,7 +342,7 @@ def _score(root: Node) -> list[Node]:
     lowered = {root: 1.0}
     for node in nodes:  # parents before children
         if node is not root:
-            lowered[node] = lowered[node.parent] * (LOWERED if node.unlikely else 1)
+            lowered[node] = max(lowered[node.parent] * (LOWERED if node.unlikely else 1), LEAST)
         if node.own:
             node.points *= (1 - node.linked / node.own) * lowered[node]
     return nodes
@@ -302,12 +353,14 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _titles(root)
     cut = _cut(root)
     text = _best_text(root)
-    if not text and cut:  # then the names meant something else
-        for node in cut:
-            node.junk = False
-        text = _best_text(root)
+    for level in (2, 3):  # where nothing is left the names meant something else, those of comments last
+        if not text and any(n.unlikely <= level for n in cut):
+            for node in cut:
+                node.junk = node.unlikely > level
+            text = _best_text(root)
     return text
 
 
@@ -375,9 +428,10 @@ def _extract(batches):
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages (page_id, url, html)``.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out,
-    but no article and nothing that holds one or most of the page's text for its class, id or form alone;
-    character references are decoded, white space in a block becomes one space, and blocks are joined by
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out, by
+    their elements and names and at any size; what holds an article is no sidebar, but an article among readers'
+    comments is a comment. A header inside an article leaves its headings. Of several articles the one with most
+    points is the page's, the others are teasers. Character references are decoded, white space in a block becomes one space, and blocks are joined by
     line feeds. Null, empty and textless pages give an empty text; null ids and urls stay null; repeated
     rows each give a row; other columns are not read.
     """
