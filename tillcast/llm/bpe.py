@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from array import array
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -15,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import query, ship_package, table
+from .common import Memory, lean, query, ship_package, table
 
-PIECES_KEPT = 400_000  # encoded chunks that a worker remembers
+HALF_KEPT = 400_000  # encoded chunks and pieces in each half of what a worker remembers, some 350 bytes each
+PLACE = 2**40 - 1  # bits of a place in a queued number, below the rank
 PIECE_CHARS = 1_000  # chunks longer than this are encoded anew each time
 
 # White space, and the pattern that cuts a text into the pieces that merges stay within.
@@ -36,10 +39,14 @@ def byte_characters() -> list[str]:
     return [named[b] for b in range(256)]
 
 
+# Of a chunk: how many ids it has, their bytes, how they are written (each with a comma), and what they decode to.
+Entry = tuple[int, bytes, str, str]
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file (byte-level, no normalizer, no added prefix space)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, half_kept: int = HALF_KEPT):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, shape = spec["model"], spec["pre_tokenizer"]
@@ -48,87 +55,118 @@ class Bpe:
         characters = byte_characters()
         self.vocab: dict[str, int] = model["vocab"]
         self.first = [self.vocab[c] for c in characters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # by left id, then right id: rank, above the bits of a place, and merged id
+        self.merges: list[dict[int, tuple[int, int]]] = [{} for _ in range(max(self.vocab.values()) + 1)]
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[self.vocab[left], self.vocab[right]] = rank, self.vocab[left + right]
+            self.merges[self.vocab[left]][self.vocab[right]] = rank * (PLACE + 1), self.vocab[left + right]
         values = {c: b for b, c in enumerate(characters)}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: bytes(values[c] for c in token) for token, i in self.vocab.items()}
         self.strings |= {i: content.encode() for content, i in added.items()}
         # strings of special tokens in a text are these tokens, the longest first
-        self.special = added
+        self.special = {content: (1, array("I", [i]).tobytes(), f"{i},", content) for content, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.digits = {i: str(i) for i in self.strings}
-        self.known: dict[str, bytes] = {}
+        self.digits = {i: f"{i}," for i in self.strings}
+        self.known = Memory(half_kept)
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
-        symbols = [self.first[b] for b in data]
+        merges = self.merges
+        symbols = list(map(self.first.__getitem__, data))
+        # a queued number holds rank and place; what a place waits for tells whether it is still meant
+        waits = [merges[left].get(right) for left, right in pairwise(symbols)]
+        queue = [found[0] + i for i, found in enumerate(waits) if found is not None]
+        if not queue:
+            return symbols
+        heapify(queue)
         end = len(symbols)
+        waits.append(None)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        queue = []
-        for i in range(end - 1):
-            if (found := self.merges.get((symbols[i], symbols[i + 1]))) is not None:
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
-        heapq.heapify(queue)
         while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] != left or j >= end or symbols[j] != right:
-                continue  # stale: one of the two has been merged since
-            symbols[i], symbols[j] = merged, -1
-            after[i] = after[j]
-            if after[i] < end:
-                before[after[i]] = i
-                if (found := self.merges.get((merged, symbols[after[i]]))) is not None:
-                    heapq.heappush(queue, (found[0], i, merged, symbols[after[i]], found[1]))
-            if (h := before[i]) >= 0 and (found := self.merges.get((symbols[h], merged))) is not None:
-                heapq.heappush(queue, (found[0], h, symbols[h], merged, found[1]))
-        out, i = [], 0
-        while i < end:
-            out.append(symbols[i])
-            i = after[i]
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = array("I")
-        for piece in PIECE.findall(chunk):
-            ids.extend(self.merge(piece.encode()))
-        entry = ids.tobytes()
+            entry = heappop(queue)
+            i = entry & PLACE
+            found = waits[i]
+            if found is None or found[0] + i != entry:
+                continue  # stale: one of the two symbols has been merged since
+            merged, j = found[1], after[i]
+            symbols[i], symbols[j], waits[j] = merged, -1, None
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                waits[i] = found = merges[merged].get(symbols[k])
+                if found is not None:
+                    heappush(queue, found[0] + i)
+            else:
+                waits[i] = None
+            if i:
+                h = before[i]
+                waits[h] = found = merges[symbols[h]].get(merged)
+                if found is not None:
+                    heappush(queue, found[0] + h)
+        return [s for s in symbols if s >= 0]
+
+    def _piece(self, piece: str) -> Entry:
+        ids = self.merge(piece.encode())
+        decoded = self.decode(ids)
+        return len(ids), array("I", ids).tobytes(), self.written(ids), piece if decoded == piece else decoded
+
+    def _chunk(self, chunk: str) -> Entry:
+        pieces = PIECE.findall(chunk)
+        if len(pieces) == 1:
+            entry = self._piece(chunk)
+        else:
+            parts = []
+            for piece in pieces:
+                if (part := self.known.get(piece)) is None:
+                    part = self._piece(piece)
+                    if len(piece) <= PIECE_CHARS:
+                        self.known.put(piece, part)
+                parts.append(part)
+            counts, ids, written, decoded = zip(*parts)
+            decoded = "".join(decoded)
+            entry = sum(counts), b"".join(ids), "".join(written), chunk if decoded == chunk else decoded
         if len(chunk) <= PIECE_CHARS:
-            if len(self.known) >= PIECES_KEPT:
-                self.known.clear()
-            self.known[chunk] = entry
+            self.known.put(chunk, entry)
         return entry
 
-    def encode(self, text: str) -> array:
-        """Token ids of a text."""
-        get, make, out = self.known.get, self._chunk, []
+    def entries(self, text: str) -> list[Entry]:
+        """What is remembered of each chunk of a text, in order."""
+        new, get, make, out = self.known.new.get, self.known.get, self._chunk, []
         for part in self.cut.split(text) if self.cut else (text,):
             if part in self.special:
-                out.append(array("I", [self.special[part]]).tobytes())
-            else:
-                out += [get(chunk) or make(chunk) for chunk in CHUNK.findall(part)]
-        return array("I", b"".join(out))
+                out.append(self.special[part])
+                continue
+            for chunk in CHUNK.findall(part):
+                entry = new(chunk)
+                if entry is None:
+                    entry = get(chunk) or make(chunk)
+                    new = self.known.new.get  # the half may be another one now
+                out.append(entry)
+        return out
+
+    def encode(self, text: str) -> array:
+        """Token ids of a text."""
+        return array("I", b"".join([e[1] for e in self.entries(text)]))
 
     def written(self, ids) -> str:
-        """The ids as decimal numbers joined by commas."""
-        return ",".join(map(self.digits.__getitem__, ids))
+        """The ids as decimal numbers, each with a comma behind it."""
+        return "".join(map(self.digits.__getitem__, ids))
 
     def decode(self, ids) -> str:
         """The strings of the tokens, one after the other; broken UTF-8 gives replacement characters."""
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[tuple[str, int], Bpe] = {}
 
 
-def bpe(path: str) -> Bpe:
+def bpe(path: str, half_kept: int = HALF_KEPT) -> Bpe:
     """The tokenizer in ``path``, loaded once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    if (path, half_kept) not in _loaded:
+        _loaded.clear()
+        _loaded[path, half_kept] = Bpe(path, half_kept)
+    return _loaded[path, half_kept]
 
 
 _TOKENS = T.StructType([
@@ -139,37 +177,51 @@ _TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("i
                            ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
 
 
-def _tokens(path: str, with_ids: bool):
+ROWS_BYTES = 1_000_000  # of token ids that are held before rows are given on
+
+
+def _tokens(path: str, with_ids: bool, half_kept: int):
     def run(batches):
-        tokenizer = bpe(path)
+        tokenizer = bpe(path, half_kept)
         for batch in batches:
-            rows, size = [], 0
+            rows, held, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = tokenizer.encode(text.as_py() or "")
-                rows.append((doc_id, len(ids), hashlib.sha256(tokenizer.written(ids).encode()).hexdigest(),
-                             hashlib.sha256(tokenizer.decode(ids).encode()).hexdigest(), ids if with_ids else None))
-                size += len(ids)
-                if with_ids and size > 250_000:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            yield _batch(rows)
+                entries = tokenizer.entries(text.as_py() or "")
+                written = "".join([e[2] for e in entries])[:-1]
+                decoded = "".join([e[3] for e in entries])
+                rows.append((doc_id, sum([e[0] for e in entries]), hashlib.sha256(written.encode()).hexdigest(),
+                             hashlib.sha256(decoded.encode()).hexdigest()))
+                if with_ids:
+                    held.append(b"".join([e[1] for e in entries]))
+                    size += len(held[-1])
+                    if size > ROWS_BYTES:
+                        yield _batch(rows, held)
+                        rows, held, size = [], [], 0
+            yield _batch(rows, held if with_ids else None)
     return run
 
 
-def _batch(rows):
-    columns = list(zip(*rows)) if rows else [[]] * len(_TOKENS_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TOKENS_ARROW.types)], schema=_TOKENS_ARROW)
+def _batch(rows, ids: list[bytes] | None):
+    columns = list(zip(*rows)) if rows else [[]] * (len(_TOKENS_ARROW) - 1)
+    arrays = [pa.array(c, t) for c, t in zip(columns, _TOKENS_ARROW.types)]
+    if ids is None:
+        lists = pa.nulls(len(rows), _TOKENS_ARROW.types[-1])
+    else:
+        first = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(first), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+    return pa.RecordBatch.from_arrays([*arrays, lists], schema=_TOKENS_ARROW)
 
 
-def bpe_tokens(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def bpe_tokens(docs: DataFrame, path: str, with_ids: bool = False, half_kept: int = HALF_KEPT) -> DataFrame:
     """Per row of ``docs (doc_id, text)``: ``n_tokens``, digests of the ids and of the decoded text, and ``ids`` if asked for.
 
     Whole texts are encoded, without tokens for begin and end; the string of a special token inside a text
     is that token. Null and empty texts have no tokens; a null ``doc_id`` stays null; repeated rows each
-    give a row. Other columns are not read.
+    give a row. Other columns are not read. ``half_kept`` bounds what a worker remembers, and changes no result.
     """
     ship_package(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokens(path, with_ids), _TOKENS)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(lean(_tokens(path, with_ids, half_kept)), _TOKENS)
 
 
 @query("op10_bpe")

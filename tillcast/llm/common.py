@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +39,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_KEYS = 1_000_000  # of at most 16 bytes each
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(rows: DataFrame, on: Column, keys: DataFrame) -> DataFrame:
     """``rows`` whose ``on`` is not among ``keys``, a stored table of one column without repeats.
 
     Up to a number of keys that is counted first they are broadcast, so that the texts stay where they are;
     beyond it both sides are shuffled. The result is the same.
     """
-    name = keys.columns[0]
-    gone = keys.select(F.col(name).alias("_gone"))
+    name = free_name(rows, "_gone")
+    gone = keys.select(F.col(keys.columns[0]).alias(name))
     gone = F.broadcast(gone) if keys.count() <= BROADCAST_KEYS else gone
-    return rows.join(gone, on == F.col("_gone"), "left_anti")
+    return rows.join(gone, on == F.col(name), "left_anti")
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for the Python workers; at the end of a task they give the memory it needed back to the machine.
+
+    Workers live on and serve the tasks of later stages, beside whose needs what allocators hold back would count.
+    """
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: there is nothing to ask for
+    return task
 
 
 def buckets(spark: SparkSession, each: int = 1) -> int:
@@ -52,6 +82,27 @@ def buckets(spark: SparkSession, each: int = 1) -> int:
     return each * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Memory:
+    """Values remembered by key in two halves: what is used again moves to the newer one, the older one is dropped
+    when the newer one is full. So what comes often stays, and at most twice ``half`` values are held."""
+
+    def __init__(self, half: int):
+        self.half = half
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, once per application.
 
