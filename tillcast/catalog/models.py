@@ -24,30 +24,36 @@ from .base import ERROR_PLACES, ERRORS, PANEL, last_month, nation_panel, panel_s
 
 K = ["nation_key"]
 SPEC = FeatureSpec()
-SMALL = M.GbtParams(trees=10, depth=3)
+# All values of a number are candidates, and no leaf is so small that different splits would be alike: models that SQL can follow.
+SMALL = M.GbtParams(trees=10, depth=3, bins=4096, min_rows=50)
 STUMP = M.GbtParams(trees=1, depth=1, bins=2048)
 LAG_ONLY = FeatureSpec(lags=(1,), means=(), calendar=())
 INPUTS = M.Inputs(tuple(SPEC.names), tuple(K), "y", (*K, "ds"))
 
 
-def _splits_sql(name: str, rows: str, features: str, label: str, by: str = "") -> str:
+def _splits_sql(name: str, rows: str, features: str, label: str, by: str = "", after: str = "", least: int = 1) -> str:
     """CTEs for the split that explains most of ``label`` (within each ``by``):
     ``<name>`` has the feature, the threshold between two values, the means on
-    both sides and the reduction of squared error."""
+    both sides and the reduction of squared error.
+
+    The trainer puts thresholds in the middle between neighbouring values of all training rows, not only of
+    those in ``by``: ``after`` begins the names of CTEs ``<after>_<feature>`` that hold each value's next one.
+    Splits that leave fewer than ``least`` rows on a side do not count."""
     by = f"{by}, " if by else ""
+    known = {f: f"JOIN {after}_{f} t ON t.v = {rows}.{f}" if after and not f.endswith("_rank") else "" for f in features.split(", ")}
     per_feature = "\nUNION ALL ".join(
-        f"SELECT {by}'{f}' AS feature, CAST({f} AS DOUBLE) AS v, count(*) AS n, sum({label}) AS s FROM {rows} GROUP BY ALL"
-        for f in features.split(", "))
+        f"SELECT {by}'{f}' AS feature, CAST({f} AS DOUBLE) AS v, {'any_value(t.after_v)' if join else 'CAST(NULL AS DOUBLE)'} AS after_v, "
+        f"count(*) AS n, sum({label}) AS s FROM {rows} {join} GROUP BY ALL" for f, join in known.items())
     gain = ("s_left * s_left / n_left + (s_all - s_left) * (s_all - s_left) / (n_all - n_left) - s_all * s_all / n_all")
     return f"""{name}_values AS ({per_feature}),
 {name}_sums AS (
-  SELECT {by}feature, v, lead(v) OVER o AS next_v, sum(n) OVER o AS n_left, sum(s) OVER o AS s_left,
+  SELECT {by}feature, v, coalesce(after_v, lead(v) OVER o) AS next_v, sum(n) OVER o AS n_left, sum(s) OVER o AS s_left,
     sum(n) OVER (PARTITION BY {by}feature) AS n_all, sum(s) OVER (PARTITION BY {by}feature) AS s_all
   FROM {name}_values WINDOW o AS (PARTITION BY {by}feature ORDER BY v)),
 {name} AS (
   SELECT {by}feature, (v + next_v) / 2 AS threshold, s_left / n_left AS left_mean,
     (s_all - s_left) / (n_all - n_left) AS right_mean, {gain} AS gain
-  FROM {name}_sums WHERE n_left < n_all
+  FROM {name}_sums WHERE n_left >= {least} AND n_all - n_left >= {least}
   QUALIFY row_number() OVER ({f"PARTITION BY {by[:-2]} " if by else ""}ORDER BY gain DESC, feature, v) = 1)"""
 
 
@@ -95,53 +101,63 @@ def boosted_stumps(spark, path):
     return rounded(M.predict(model, rows).drop("month"), {"yhat": 2})
 
 
-def _tree_sql(name: str, rows: str, numbers: list[str], categories: list[str], label: str, depth: int) -> str:
-    """CTEs that grow one tree of ``depth`` levels on ``rows``; ``<name>`` is ``rows`` with the mean of each row's leaf
-    in the column of that name.
+def _tree_sql(name: str, rows: str, numbers: list[str], categories: list[str], label: str, depth: int, known: str, least: int,
+              after: str) -> str:
+    """CTEs that grow one tree of ``depth`` levels on those of ``rows`` that are ``known``; ``<name>`` is ``rows`` with
+    the mean of each row's leaf in the column of that name.
 
     Level by level the rows are given to the node that the splits above lead them to, and each node has its
-    own split table. Categories are ordered by their mean label inside the node, and split along that order.
+    own split table. Categories are ordered by their mean label inside the node, and split along that order;
+    one without known rows there goes with the last.
     """
     parts, source = [f"{name}_at_0 AS (SELECT *, 1 AS node FROM {rows})"], f"{name}_at_0"
     for level in range(depth):
-        at, ranks = f"{name}_{level}", f"{name}_{level}_ranks"
-        ranked = "\nUNION ALL ".join(
-            f"""SELECT node, '{c}' AS feature, {c} AS category, CAST(row_number() OVER (PARTITION BY node ORDER BY avg({label}), {c}) AS DOUBLE) AS v
-  FROM {source} GROUP BY node, {c}""" for c in categories) or "SELECT 1 AS node, '' AS feature, 0 AS category, 0.0 AS v WHERE false"
-        placed = ", ".join([f"s.*", *[f"r_{c}.v AS {c}_rank" for c in categories]])
-        joins = " ".join(f"JOIN {ranks} r_{c} ON r_{c}.node = s.node AND r_{c}.feature = '{c}' AND r_{c}.category = s.{c}" for c in categories)
+        at = f"{name}_{level}"
+        for c in categories:
+            parts.append(f"""{at}_ranks_{c} AS (
+  SELECT node, {c} AS category, CAST(row_number() OVER (PARTITION BY node ORDER BY avg({label}), {c}) AS DOUBLE) AS v
+  FROM {source} WHERE {known} GROUP BY node, {c})""")
+        placed = ", ".join(["s.*", *[f"coalesce(r_{c}.v, 1e9) AS {c}_rank" for c in categories]])
+        joins = " ".join(f"LEFT JOIN {at}_ranks_{c} r_{c} ON r_{c}.node = s.node AND r_{c}.category = s.{c}" for c in categories)
         features = [*numbers, *[f"{c}_rank" for c in categories]]
         value = "CASE feature " + " ".join(f"WHEN '{f}' THEN {f}" for f in features) + " END"
         dropped = f" EXCLUDE ({', '.join(f'{c}_rank' for c in categories)})" if categories else ""
         parts += [
-            f"{ranks} AS ({ranked})",
             f"{at}_rows AS (SELECT {placed} FROM {source} s {joins})",
-            _splits_sql(f"{at}_best", f"{at}_rows", ", ".join(features), label, "node"),
+            f"{at}_known AS (SELECT * FROM {at}_rows WHERE {known})",
+            _splits_sql(f"{at}_best", f"{at}_known", ", ".join(features), label, "node", after, least),
             f"""{name}_at_{level + 1} AS (
   SELECT r.*{dropped} REPLACE (CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= threshold THEN 2 * r.node ELSE 2 * r.node + 1 END AS node)
   FROM {at}_rows r LEFT JOIN {at}_best b ON b.node = r.node)""",
         ]
         source = f"{name}_at_{level + 1}"
-    parts.append(f"{name} AS (SELECT * EXCLUDE (node), avg({label}) OVER (PARTITION BY node) AS {name} FROM {source})")
+    parts.append(f"{name} AS (SELECT * EXCLUDE (node), avg(CASE WHEN {known} THEN {label} END) OVER (PARTITION BY node) AS {name} FROM {source})")
     return ",\n".join(parts)
 
 
-def _forest_sql(rows: str, numbers: list[str], categories: list[str], label: str, depth: int, trees: int, step: float) -> str:
-    """CTEs of boosting rounds: each tree is grown on twice what the trees before leave over. ``forest`` has ``yhat``."""
-    parts, source, total = [], rows, ""
-    for n in range(1, trees + 1):
+def _forest_sql(name: str, rows: str, numbers: list[str], categories: list[str], label: str, params: M.GbtParams,
+                known: str = "TRUE") -> str:
+    """CTEs of boosting rounds: each tree is grown on twice what the trees before leave over. ``<name>`` is ``rows`` with
+    ``yhat``, and ``<name>_gains`` has the feature and gain of every split. All values of a number are candidates."""
+    parts = [f"""{name}_after_{f} AS (SELECT v, lead(v) OVER (ORDER BY v) AS after_v FROM (
+  SELECT DISTINCT CAST({f} AS DOUBLE) AS v FROM {rows} WHERE {known}))""" for f in numbers]
+    source, total = rows, ""
+    for n in range(1, params.trees + 1):
         if n > 1:
-            parts.append(f"left_{n} AS (SELECT *, 2 * ({label} - ({total})) AS rest_{n} FROM {source})")
-            source = f"left_{n}"
-        parts.append(_tree_sql(f"tree_{n}", source, numbers, categories, label if n == 1 else f"rest_{n}", depth))
-        source = f"tree_{n}"
-        total = f"{total} + {step} * tree_{n}" if total else f"tree_{n}"
-    return ",\n".join([*parts, f"forest AS (SELECT *, {total} AS yhat FROM {source})"])
+            parts.append(f"{name}_left_{n} AS (SELECT *, 2 * ({label} - ({total})) AS rest_{n} FROM {source})")
+            source = f"{name}_left_{n}"
+        tree = f"{name}_tree_{n}"
+        parts.append(_tree_sql(tree, source, numbers, categories, label if n == 1 else f"rest_{n}", params.depth, known,
+                               params.min_rows, f"{name}_after"))
+        source, total = tree, f"{total} + {params.step} * {tree}" if total else tree
+    gains = "\nUNION ALL ".join(f"SELECT feature, gain FROM {name}_tree_{n}_{level}_best" for n in range(1, params.trees + 1)
+                                for level in range(params.depth))
+    return ",\n".join([*parts, f"{name} AS (SELECT *, {total} AS yhat FROM {source})", f"{name}_gains AS ({gains})"])
 
 
 @query("boosted_trees", f"""{PANEL},
 known AS (SELECT nation_key, ds, CAST(month(ds) AS INTEGER) AS month, CAST(quarter(ds) AS INTEGER) AS quarter, y FROM panel),
-{_forest_sql('known', ['month', 'quarter'], ['nation_key'], 'y', 2, 3, 0.1)}
+{_forest_sql('forest', 'known', ['month', 'quarter'], ['nation_key'], 'y', M.GbtParams(3, 2, 0.1))}
 SELECT nation_key, ds, y, round(yhat, 2) AS yhat FROM forest""")
 def boosted_trees(spark, path):
     """Three rounds of trees with two levels, on numbers and a category."""
@@ -416,20 +432,45 @@ def forecast_customers(spark, path):
     return rounded(rows.drop("lo", "hi"), {"yhat": 2})
 
 
-@query("next_value_comparison")
+# The features of ``SPEC``, and the last year's start.
+_FEATURES = f"""{PANEL},
+cut AS (SELECT CAST(last_ds - INTERVAL 12 MONTH AS DATE) AS cut_ds FROM bounds),
+dated AS (
+  SELECT nation_key, ds, y, CAST(month(ds) AS INTEGER) AS month, {', '.join(f'lag(y, {k}) OVER o AS y_lag_{k}' for k in SPEC.lags)},
+    {', '.join(f'avg(y) OVER (o ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS y_mean_{w}' for w in SPEC.means)}
+  FROM panel WINDOW o AS (PARTITION BY nation_key ORDER BY ds)),
+features AS (SELECT dated.*, ds <= cut_ds AS train FROM dated, cut WHERE y_lag_12 IS NOT NULL)"""
+_NAMES = list(SPEC.names)
+
+
+@query("next_value_comparison", f"""{_FEATURES},
+{_forest_sql('forest', 'features', _NAMES, [], 'y', SMALL, 'train')},
+scored AS (
+  SELECT 'gbt' AS model, y, yhat FROM forest WHERE NOT train UNION ALL SELECT 'seasonal_naive', y, y_lag_12 FROM features WHERE NOT train)
+SELECT model, {ERRORS} FROM scored GROUP BY model""")
 def comparison(spark, path):
-    return next_value_comparison(read_tables(spark, path), K)
+    return rounded(next_value_comparison(read_tables(spark, path), K, params=SMALL), ERROR_PLACES)
 
 
-@query("fit_gbt")
+@query("fit_gbt", f"""{_FEATURES},
+{_forest_sql('forest', 'features', _NAMES, K, 'y', SMALL, 'train')}
+SELECT nation_key, ds, y, round(yhat, 2) AS yhat FROM forest WHERE NOT train""")
 def fit_gbt(spark, path):
     train, test = holdout(materialize(_features(spark, path)), 12, "month", last_month(spark, path))
-    return M.predict(M.fit_gbt(train, INPUTS, SMALL), test).select("nation_key", "ds", "y", "yhat")
+    return rounded(M.predict(M.fit_gbt(train, INPUTS, SMALL), test).select("nation_key", "ds", "y", "yhat"), {"yhat": 2})
 
 
-@query("feature_importance")
+@query("feature_importance", f"""{_FEATURES},
+{_forest_sql('forest', 'features', _NAMES, K, 'y', SMALL)},
+weights AS (
+  SELECT f.feature, coalesce(sum(gain), 0) / (SELECT sum(gain) FROM forest_gains) AS importance
+  FROM (SELECT unnest({[*[f'{k}_index' for k in K], *_NAMES]}) AS feature) f
+  LEFT JOIN forest_gains g ON replace(g.feature, '_rank', '_index') = f.feature GROUP BY f.feature)
+SELECT feature, round(importance, 8) AS importance,
+  CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS position FROM weights""")
 def feature_importance(spark, path):
-    return M.feature_importance(M.fit_gbt(materialize(_features(spark, path)), INPUTS, SMALL), spark)
+    found = M.feature_importance(M.fit_gbt(materialize(_features(spark, path)), INPUTS, SMALL), spark)
+    return rounded(found, {"importance": 8})
 
 
 @query("early_stop")
@@ -442,13 +483,16 @@ def early_stop(spark, path):
         "trees", F.lit(M.tree_count(model)))
 
 
-@query("log_model")
+@query("log_model", f"""{_FEATURES},
+logs AS (SELECT *, ln(1 + y) AS log_y FROM features),
+{_forest_sql('forest', 'logs', _NAMES, K, 'log_y', SMALL, 'train')}
+SELECT nation_key, ds, y, round(greatest(exp(yhat) - 1, 0), 2) AS yhat FROM forest WHERE NOT train""")
 def log_model(spark, path):
     """A model of log revenue, with its forecasts turned back."""
     rows = _features(spark, path).withColumn("log_y", M.log_target())
     train, test = holdout(materialize(rows), 12, "month", last_month(spark, path))
     model = M.fit_gbt(train, M.Inputs(tuple(SPEC.names), tuple(K), "log_y", (*K, "ds")), SMALL)
-    return M.predict(model, test).select("nation_key", "ds", "y", M.unlog().alias("yhat"))
+    return rounded(M.predict(model, test).select("nation_key", "ds", "y", M.unlog().alias("yhat")), {"yhat": 2})
 
 
 @query("tune_gbt")
