@@ -1,8 +1,9 @@
 """Queries over the boosted model.
 
-Where a model is small enough to write down, it is checked exactly: trees with
-one split, on features whose every value is a candidate, are a table of
-thresholds. The larger models have no SQL form; tests check their invariants.
+Models are checked exactly, on features whose every value is a candidate and with
+leaves large enough that no two splits are alike: SQL grows the same trees level by
+level, a split table per node, and boosts them over the rounds. Only the recursive
+forecasts of a large model have no SQL form; tests compare them with a plain loop.
 """
 
 from __future__ import annotations
@@ -473,14 +474,30 @@ def feature_importance(spark, path):
     return rounded(found, {"importance": 8})
 
 
-@query("early_stop")
+EARLY = M.GbtParams(trees=12, depth=3, bins=4096, min_rows=50)
+_ROUNDS = [" + ".join([f"forest_tree_{n}" if n == 1 else f"{EARLY.step} * forest_tree_{n}" for n in range(1, m + 1)]) for m in range(1, EARLY.trees + 1)]
+
+
+# A further tree counts if the error of the validation rows falls by one percent; the first that does not ends the fit.
+@query("early_stop", f"""{_FEATURES},
+parted AS (
+  SELECT * REPLACE (ds <= cut_ds - INTERVAL 12 MONTH AS train), ds > cut_ds - INTERVAL 12 MONTH AND ds <= cut_ds AS valid, ds > cut_ds AS test
+  FROM features, cut),
+{_forest_sql('forest', 'parted', _NAMES, K, 'y', EARLY, 'train')},
+rounds AS (SELECT *, [{', '.join(_ROUNDS)}] AS after FROM forest),
+errors AS (
+  SELECT m, avg((y - after[m]) * (y - after[m])) AS e FROM (SELECT *, unnest(range(1, {EARLY.trees + 1})) AS m FROM rounds WHERE valid) GROUP BY m),
+kept AS (
+  SELECT coalesce(min(m) - 1, {EARLY.trees}) AS trees
+  FROM (SELECT m, e, lag(e) OVER (ORDER BY m) AS before FROM errors) WHERE before - e < 0.01 * greatest(e, 0.01))
+SELECT nation_key, ds, y, round(after[trees], 2) AS yhat, CAST(trees AS INTEGER) AS trees FROM rounds, kept WHERE test""")
 def early_stop(spark, path):
     """Scores on the last year of a model stopped on the year before it."""
     known, test = holdout(materialize(_features(spark, path)), 12, "month", last_month(spark, path))
     train, valid = holdout(known, 12, "month")
-    model = M.early_stop(train, valid, INPUTS, M.GbtParams(trees=20, depth=3))
-    return M.predict(model, test).select("nation_key", "ds", "y", "yhat").withColumn(
-        "trees", F.lit(M.tree_count(model)))
+    model = M.early_stop(train, valid, INPUTS, EARLY)
+    return rounded(M.predict(model, test).select("nation_key", "ds", "y", "yhat").withColumn(
+        "trees", F.lit(M.tree_count(model))), {"yhat": 2})
 
 
 @query("log_model", f"""{_FEATURES},
@@ -495,16 +512,36 @@ def log_model(spark, path):
     return rounded(M.predict(model, test).select("nation_key", "ds", "y", M.unlog().alias("yhat")), {"yhat": 2})
 
 
-@query("tune_gbt")
-def tune_gbt(spark, path):
+_GRID = M.param_grid(M.GbtParams(trees=5, bins=4096, min_rows=50), depth=[2, 4])
+_TUNED_TREES = f"""{_FEATURES},
+{','.join(f"""
+rows_{f} AS (
+  SELECT * REPLACE (ds <= last_ds - INTERVAL {12 - 6 * (f - 1)} MONTH AS train),
+    ds > last_ds - INTERVAL {12 - 6 * (f - 1)} MONTH AND ds <= last_ds - INTERVAL {6 - 6 * (f - 1)} MONTH AS test FROM features, bounds),
+{_forest_sql(f'forest_{f}_{i}', f'rows_{f}', _NAMES, K, 'y', params, 'train')}""" if i == 0 else f"""
+{_forest_sql(f'forest_{f}_{i}', f'rows_{f}', _NAMES, K, 'y', params, 'train')}""" for f in (1, 2) for i, params in enumerate(_GRID))},
+scored AS (
+  {' UNION ALL '.join(f"SELECT {i} AS setting, {f} AS fold, {p.trees} AS trees, {p.depth} AS depth, CAST({p.step} AS DOUBLE) AS step, y, yhat FROM forest_{f}_{i} WHERE test"
+                      for f in (1, 2) for i, p in enumerate(_GRID))})"""
+
+
+def _tune_trees(spark, path):
     rows, last = materialize(_features(spark, path)), last_month(spark, path)
     folds = [fold_rows(rows, fold_origin(last, f, 2, 6, 6, 0, "month"), 6, 0, "month") for f in (1, 2)]
-    return M.tune_gbt(folds, INPUTS, M.param_grid(M.GbtParams(trees=5), depth=[2, 4]))
+    return M.tune_gbt(folds, INPUTS, _GRID)
 
 
-@query("tuned_setting")
+@query("tune_gbt", f"{_TUNED_TREES} SELECT setting, fold, trees, depth, step, {ERRORS} FROM scored GROUP BY ALL")
+def tune_gbt(spark, path):
+    return rounded(_tune_trees(spark, path), ERROR_PLACES)
+
+
+@query("tuned_setting", f"""{_TUNED_TREES}
+SELECT setting, trees, depth, step, round(avg(wape), 8) AS wape
+FROM (SELECT setting, fold, trees, depth, step, sum(abs(yhat - y)) / sum(abs(y)) AS wape FROM scored GROUP BY ALL)
+GROUP BY setting, trees, depth, step ORDER BY avg(wape), setting LIMIT 1""")
 def tuned_setting(spark, path):
-    return M.best_setting(tune_gbt(spark, path))
+    return rounded(M.best_setting(_tune_trees(spark, path)), {"wape": 8})
 
 
 @query("saved_model", f"SELECT *, CAST(0 AS DOUBLE) AS moved FROM ({_BOOSTED})")
@@ -518,26 +555,78 @@ def saved_model(spark, path):
     return rounded(again.select("nation_key", "ds", "y", "yhat", F.abs(F.col("yhat") - F.col("before")).alias("moved")), {"yhat": 2})
 
 
-@query("forecast_direct")
+_DIRECT_NAMES = [*SPEC.past, "month", "horizon"]
+
+
+def _direct_trees_sql(horizon: int, folds: dict[int, int]) -> str:
+    """CTE ``direct``: forecasts of a model for all horizons, fitted up to each fold's origin (months before the end)."""
+    rows = ",\n".join(f"""rows_{f} AS (
+  SELECT *, ds <= last_ds - INTERVAL {behind} MONTH AND label IS NOT NULL AND y_lag_12 IS NOT NULL AS train,
+    origin = last_ds - INTERVAL {behind} MONTH AS scored FROM cells, bounds),
+{_forest_sql(f'forest_{f}', f'rows_{f}', _DIRECT_NAMES, [], 'label', SMALL, 'train')}""" for f, behind in folds.items())
+    every = "\nUNION ALL ".join(f"SELECT nation_key, {f} AS fold, origin, ds, horizon, label, yhat, level FROM forest_{f} WHERE scored" for f in folds)
+    return f"""{PANEL},
+steps AS (SELECT CAST(unnest(range(1, {horizon + 1})) AS INTEGER) AS horizon),
+starts AS (
+  SELECT nation_key, ds, {', '.join(f'lag(y, {k - 1}) OVER o AS y_lag_{k}' for k in SPEC.lags)}, avg(y) OVER o AS level,
+    {', '.join(f'avg(y) OVER (o ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS y_mean_{w}' for w in SPEC.means)}
+  FROM panel WINDOW o AS (PARTITION BY nation_key ORDER BY ds)),
+cells AS (
+  SELECT o.* EXCLUDE (ds), o.ds AS origin, horizon, CAST(o.ds + to_months(horizon) AS DATE) AS ds,
+    CAST(month(CAST(o.ds + to_months(horizon) AS DATE)) AS INTEGER) AS month, t.y AS label
+  FROM starts o CROSS JOIN steps LEFT JOIN panel t ON t.nation_key = o.nation_key AND t.ds = CAST(o.ds + to_months(horizon) AS DATE)),
+{rows},
+direct AS (
+  SELECT nation_key, CAST(fold AS INTEGER) AS fold, origin, ds, horizon, 'gbt_direct' AS model, label AS y, yhat, 'model' AS status,
+    nullif(level, 0) AS level FROM ({every}))"""
+
+
+@query("forecast_direct", f"""{_direct_trees_sql(12, {0: 0})}
+SELECT nation_key, origin, ds, horizon, model, round(yhat, 2) AS yhat, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi, status FROM direct""")
 def forecast_direct(spark, path):
     last = last_month(spark, path)
     table = materialize(H.horizon_table(nation_panel(spark, path), K, 12, "month", SPEC, last))
-    return H.forecast_direct(table, K, SPEC, last, SMALL)[0]
+    return rounded(H.forecast_direct(table, K, SPEC, last, SMALL)[0], {"yhat": 2})
 
 
 @query("forecast_recursive")
 def forecast_recursive(spark, path):
+    """No SQL: it would have to walk ten trees twelve times over. Tests compare it with a loop over the steps."""
     panel = materialize(nation_panel(spark, path))
     model = H.fit_step(panel, K, SPEC, SMALL)
     return H.forecast_recursive(model, panel, K, 12, "month", SPEC, last_month(spark, path))
 
 
-@query("backtest")
+@query("backtest", f"""{_direct_trees_sql(6, {1: 12, 2: 6})},
+folds AS (SELECT DISTINCT fold, origin FROM direct),
+spots AS (SELECT nation_key, fold, origin, ds, horizon, y FROM direct),
+fitted AS (
+  SELECT nation_key, fold,
+    CAST(sum(CASE WHEN ds > origin - INTERVAL 12 MONTH THEN CAST(y AS DECIMAL(38,4)) END) AS DOUBLE) / 12 AS mean_y,
+    regr_slope(y, datediff('month', DATE '1970-01-01', ds)) AS slope,
+    regr_intercept(y, datediff('month', DATE '1970-01-01', ds)) AS intercept
+  FROM panel JOIN folds ON ds <= origin GROUP BY ALL),
+lines AS (
+  SELECT s.*, mean_y, intercept + slope * datediff('month', DATE '1970-01-01', s.ds) AS line, p.y AS before
+  FROM spots s JOIN fitted f ON f.nation_key = s.nation_key AND f.fold = s.fold
+  JOIN panel p ON p.nation_key = s.nation_key AND p.ds = s.ds - INTERVAL 12 MONTH)
+SELECT nation_key, fold, origin, ds, horizon, model, y, round(yhat, 2) AS yhat, status FROM (
+  SELECT nation_key, fold, origin, ds, horizon, model, y, yhat, status FROM direct
+  UNION ALL SELECT nation_key, fold, origin, ds, horizon, 'seasonal_naive', y, before, 'baseline' FROM lines
+  UNION ALL SELECT nation_key, fold, origin, ds, horizon, 'moving_average', y, mean_y, 'baseline' FROM lines
+  UNION ALL SELECT nation_key, fold, origin, ds, horizon, 'linear_trend', y, line, 'baseline' FROM lines)""")
 def backtest(spark, path):
     panel = materialize(nation_panel(spark, path))
-    return run_backtest(panel, K, "month", n=2, horizon=6, step=6, params=SMALL, last=last_month(spark, path))
+    return rounded(run_backtest(panel, K, "month", n=2, horizon=6, step=6, params=SMALL, last=last_month(spark, path)), {"yhat": 2})
 
 
-@query("forecast_revenue")
+@query("forecast_revenue", f"""{_direct_trees_sql(6, {0: 0, 1: 12, 2: 6})},
+limited AS (
+  SELECT *, quantile_cont(CASE WHEN fold > 0 THEN (y - yhat) / level END, 0.1) OVER h AS q_lo,
+    quantile_cont(CASE WHEN fold > 0 THEN (y - yhat) / level END, 0.9) OVER h AS q_hi
+  FROM direct WINDOW h AS (PARTITION BY horizon))
+SELECT nation_key, origin, ds, horizon, model, status, round(yhat, 2) AS yhat, round(greatest(yhat + q_lo * level, 0), 2) AS lo,
+  round(greatest(yhat + q_hi * level, 0), 2) AS hi FROM limited WHERE fold = 0""")
 def forecast_revenue(spark, path):
-    return run_forecast(nation_panel(spark, path), K, "month", 6, 2, SPEC, SMALL, last=last_month(spark, path))
+    out = run_forecast(nation_panel(spark, path), K, "month", 6, 2, SPEC, SMALL, last=last_month(spark, path))
+    return rounded(out, {"yhat": 2, "lo": 2, "hi": 2})
