@@ -46,6 +46,11 @@ IBAN_LENGTHS = {country: int(size) for size, countries in {
     "22": "BG BH DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ DZ ES MD PK RO SA SE SK TN VG",
     "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HN HU LB NI PL SV",
     "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU"}.items() for country in countries.split()}
+# Calling codes of one digit and of two; all others have three. No code begins with another one.
+CODES_OF_1 = frozenset("1 7".split())
+CODES_OF_2 = frozenset("""20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66
+    81 82 84 86 90 91 92 93 94 95 98""".split())
+MOST_LOCAL, MOST_DOMAIN = 64, 255  # characters of the two parts of an address
 CARD_LENGTHS = {"2": (16,), "3": (15, 16, 14), "4": (16, 19, 13), "5": (16,), "6": (16, 19)}
 _DATE = re.compile(r"(\d+)([-/.])(\d+)([-/.])(\d+)")
 
@@ -173,13 +178,11 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    """The country code stays."""
+    """The country code stays; it is told by its digits, so that a number is the same however it is written."""
     digits = _plain(text)
     if not 7 <= len(digits) <= 15:
         return None
-    code = len(re.match(r"\+?(\d*)", text)[1]) if text.startswith("+") else 0
-    if code == len(digits):  # written in one run: the first digit stands for the code
-        code = 1
+    code = 0 if not text.startswith("+") else 1 if digits[0] in CODES_OF_1 else 2 if digits[:2] in CODES_OF_2 else 3
     return _fill(text, digits[:code] + permute_characters(digits[code:], key, f"phone:{digits[:code]}", back))
 
 
@@ -216,6 +219,9 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
 
 def _email(text: str, key: bytes, back: bool) -> str | None:
     """The top-level domain stays."""
+    name, _, domain = text.rpartition("@")
+    if len(name) > MOST_LOCAL or len(domain) > MOST_DOMAIN:
+        return None
     local, _, end = text.rpartition(".")
     return permute_characters(local, key, "email", back) + "." + end
 
@@ -281,8 +287,9 @@ def _found(text: str, key: bytes, back: bool):
         spot = _NUMBERS.search(text, at)
         if emails and (spot is None or emails[-1].start() <= spot.start()):
             m = emails.pop()
-            yield m.start(), m.end(), "email", pseudonym("email", m[0], key, back)
-            at = m.end()
+            if (new := pseudonym("email", m[0], key, back)) is not None:
+                yield m.start(), m.end(), "email", new
+                at = m.end()
             continue
         if spot is None:
             return
