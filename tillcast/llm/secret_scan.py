@@ -7,13 +7,15 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import query, ship_package, table
+from .common import lean, query, ship_package, table
 
 MASK = "[SECRET]"
 
@@ -38,7 +40,6 @@ _ESCAPES = ((re.compile(r"\\+(?:r\\+n|[rnt]|u000[aAdD9])|\\\r?\n"), "\n"), (re.c
             (re.compile(r"\\+u002[bB]"), "+"), (re.compile(r"\\+/"), "/"))
 _PEM_HEADER = re.compile(r"\s*([A-Za-z][A-Za-z0-9-]*)[\x20\t]*:([^\r\n]*)")
 _ENCRYPTED = re.compile(r"4\s*,\s*ENCRYPTED")
-_MOST_CHARS = 1 << 17  # of base64, far above that of the largest keys
 
 Span = tuple[int, int, str]
 
@@ -67,11 +68,7 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 def is_private_key(data: bytes) -> bool:
     """Whether ``data`` is one whole private key: its tags and nested lengths all agree."""
     if data.startswith(_OPENSSH):
-        at = len(_OPENSSH)
-        for _ in range(3):  # cipher, key derivation and its options
-            size = int.from_bytes(data[at:at + 4], "big")
-            at += 4 + size
-        return at + 4 <= len(data)
+        return _key_size(data) == len(data)
     outer = der_items(data)
     if outer is None or len(outer) != 1 or outer[0][0] != _SEQUENCE:
         return False
@@ -145,18 +142,19 @@ def pem_keys(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def _key_size(data: bytes) -> int | None:
+def _key_size(data) -> int | None:
     """Bytes of the key that ``data`` begins with, by its own lengths."""
-    if data.startswith(_OPENSSH):
+    if bytes(data[:len(_OPENSSH)]) == _OPENSSH:
         at = len(_OPENSSH)
         for _ in range(3):  # cipher, key derivation and its options
             at += 4 + int.from_bytes(data[at:at + 4], "big")
         keys = int.from_bytes(data[at:at + 4], "big")
         at += 4
-        for _ in range(min(keys, 8) + 1):  # public keys and the private part
-            if at + 4 > len(data):
+        for _ in range(keys + 1):  # public keys and the private part
+            size = int.from_bytes(data[at:at + 4], "big")
+            if not size or at + 4 + size > len(data):
                 return None
-            at += 4 + int.from_bytes(data[at:at + 4], "big")
+            at += 4 + size
         return at
     if len(data) < 6 or data[0] != _SEQUENCE:
         return None
@@ -164,72 +162,110 @@ def _key_size(data: bytes) -> int | None:
     return 2 + width + int.from_bytes(data[2:2 + width], "big") if 1 <= width <= 4 else 2 + data[1] if not width else None
 
 
-def _bytes_of(characters: str) -> bytes:
-    """What whole groups of base64 at the start of ``characters`` decode to."""
-    return base64.b64decode(characters[:len(characters) // 4 * 4])
+def _may_be_key(data) -> bool:
+    """Whether the bytes behind the outer length of ``data`` begin as those of a private key do."""
+    if data[0] != _SEQUENCE:
+        return True  # an OpenSSH key, known by its first bytes
+    at = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
+    return at < len(data) and data[at] in (_INTEGER, _SEQUENCE)
+
+
+class _Run:
+    """A run of base64 in one or more lines: its characters without line ends, decoded as a stream.
+
+    Each of the four places a group of characters can begin at is decoded at most once, for the whole run, so
+    that every line is looked at in bytes that are there already, however long the run and wherever it is wrapped.
+    """
+
+    def __init__(self, text: str, low: int, high: int):
+        self.starts, self.ends, parts, at = [], [], [], low
+        last = low + len(text[low:high].rstrip("="))
+        for end in _LINE_END.finditer(text, low, high):
+            self.starts.append(at)
+            self.ends.append(end.start())
+            at = end.end()
+        self.starts.append(at)
+        self.ends.append(last)
+        parts = [text[x:y] for x, y in zip(self.starts, self.ends)]
+        self.body = "".join(parts)
+        self.begins = list(accumulate(map(len, parts), initial=0))  # of each line in the body, and its end
+        self.high = high
+        self.decoded: dict[int, bytes] = {}
+
+    def stream(self, place: int) -> bytes:
+        """The bytes from a place of the body on that begin a group there: place modulo 4 of the whole run."""
+        shift = place % 4
+        if shift not in self.decoded:
+            self.decoded[shift] = _decoded(self.body[shift:]) or _decoded(self.body[shift:-1]) or b""
+        return self.decoded[shift]
+
+    def bytes_at(self, place: int) -> memoryview:
+        return memoryview(self.stream(place))[place // 4 * 3:]
+
+    def end_of(self, line: int) -> int:
+        """Where a line ends in the text; the last one with its padding."""
+        return self.high if line == len(self.ends) - 1 else self.ends[line]
 
 
 def wrapped_keys(text: str) -> list[Span]:
     """Base64 in one or more lines that is a key (der), or whose bytes hold a PEM block of one (pem)."""
     found = []
     for m in WRAPPED.finditer(text):
-        lines, at = [], m.start()
-        for end in _LINE_END.finditer(text, m.start(), m.end()):
-            lines.append((at, end.start()))
-            at = end.end()
-        last = m.end() - (len(m[0]) - len(m[0].rstrip("=")))
-        lines.append((at, last))
-        done = 0
-        for i, (low, high) in enumerate(lines):
-            if low < done or high - low < 16:
+        run = _Run(text, m.start(), m.end())
+        done = 0  # characters of the body up to the end of the last key
+        for line, low in enumerate(run.begins[:-1]):
+            start = run.body[low:low + 16]
+            if low < done or run.begins[line + 1] - low < 16 or not (
+                    start.startswith("b3BlbnNzaC1rZXkt") or start[0] == "M" and start[1] in "ABCDEFGHI"):
+                continue
+            data = run.bytes_at(low)
+            size = _key_size(data)
+            need = size and low + size // 3 * 4 + (0, 2, 3)[size % 3]
+            if not need or need > len(run.body) or not _may_be_key(data):
                 continue
-            start = text[low:low + 16]
-            if start.startswith("b3BlbnNzaC1rZXkt") or start[0] == "M" and start[1] in "ABCDEFGHI":
-                size = _key_size(_bytes_of(start)) if start[0] == "M" else _key_size(_bytes_of(_joined(text, lines[i:])))
-                need = size and size // 3 * 4 + (0, 2, 3)[size % 3]
-                if not need or need > _MOST_CHARS:
-                    continue
-                end, count = i, 0
-                while end < len(lines) and count < need:
-                    count += lines[end][1] - lines[end][0]
-                    end += 1
-                if count == need and is_private_key(_decoded(_joined(text, lines[i:end])) or b""):
-                    done = m.end() if end == len(lines) else lines[end - 1][1]
-                    found.append((low, done, "der"))
+            last = bisect_left(run.begins, need)
+            if run.begins[last] == need and is_private_key(_decoded(run.body[low:need]) or b""):
+                done = need
+                found.append((run.starts[line], run.end_of(last - 1), "der"))
         if m.end() - m.start() < 40 or done:
             continue
-        for i, (low, high) in enumerate(lines):
-            if i and not text.startswith("LS0tLS1CRUdJTi", low):  # a block that starts a line, below other lines
+        keys: dict[int, list[tuple[int, int]]] = {}
+        for line, low in enumerate(run.begins[:-1]):
+            if line and not run.body.startswith("LS0tLS1CRUdJTi", low):  # a block that starts a line, below other lines
                 continue
-            data = _decoded(_joined(text, lines[i:])) or _bytes_of(_joined(text, lines[i:]))
-            if b"PRIVATE KEY-----" in data and (keys := pem_keys(data.decode("latin-1"))):
-                need, end = -(-keys[-1][1] * 4 // 3), i
-                while need > lines[end][1] - lines[end][0] and end + 1 < len(lines):
-                    need -= lines[end][1] - lines[end][0]
-                    end += 1
-                found.append((low, m.end() if end == len(lines) - 1 else lines[end][1], "pem"))
+            shift = low % 4
+            if shift not in keys:
+                data = run.stream(low)
+                keys[shift] = pem_keys(data.decode("latin-1")) if b"PRIVATE KEY-----" in data else []
+            if keys[shift] and keys[shift][-1][0] >= low // 4 * 3:
+                need = shift + -(-keys[shift][-1][1] * 4 // 3)
+                found.append((run.starts[line], run.end_of(min(bisect_left(run.begins, need), len(run.ends)) - 1), "pem"))
                 break
     return found
 
 
-def _joined(text: str, lines: list[tuple[int, int]]) -> str:
-    out, size = [], 0
-    for low, high in lines:
-        out.append(text[low:high])
-        size += high - low
-        if size > _MOST_CHARS:
-            break
-    return "".join(out)
+class _Cover:
+    """Whether a stretch lies inside one of some spans."""
+
+    def __init__(self, spans):
+        spans = sorted((low, high) for low, high, _ in spans)
+        self.lows = [low for low, _ in spans]
+        self.highs = list(accumulate((high for _, high in spans), max))
+
+    def holds(self, low: int, high: int) -> bool:
+        before = bisect_right(self.lows, low)
+        return before > 0 and self.highs[before - 1] >= high
 
 
 def confirmed_spans(text: str) -> list[Span]:
     """Keys and tokens that decode to what they look like; a bare candidate has to be one whole key."""
     found = [(low, high, "pem") for low, high in pem_keys(text)]
-    found += [(low, high, kind) for low, high, kind in wrapped_keys(text) if not any(a <= low and high <= b for a, b, _ in found)]
-    whole = list(found)
+    blocks = _Cover(found)
+    found += [(low, high, kind) for low, high, kind in wrapped_keys(text) if not blocks.holds(low, high)]
+    whole = _Cover(found)
     for pattern, decode in ((BASE64, _decoded), (HEX_KEY, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
         for m in pattern.finditer(text):
-            if any(low <= m.start() and m.end() <= high for low, high, _ in whole):
+            if whole.holds(m.start(), m.end()):
                 continue
             data = decode(m[0])
             if data and is_private_key(data):
@@ -292,7 +328,7 @@ def scan_secrets(docs: DataFrame, with_text: bool = False) -> DataFrame:
     and empty texts have no spans; a null ``doc_id`` stays null; repeated rows each give a row.
     """
     ship_package(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(with_text), _SCAN)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_scan(with_text)), _SCAN)
 
 
 def _mask(batches):
@@ -306,7 +342,7 @@ def _mask(batches):
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets in ``text`` masked; other columns and all rows stay, null texts too."""
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(_mask, docs.schema)
+    return docs.mapInArrow(lean(_mask), docs.schema)
 
 
 @query("op7_secret_scan")
