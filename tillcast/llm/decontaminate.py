@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import query, ship_package, table, without
+from .common import lean, query, ship_package, table, without
 from .textnum import ALPHANUMERIC, U, combine, slices, text_bytes, words
 
 WINDOW = 10  # words
@@ -61,7 +61,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """
     ship_package(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    found = materialize(items.mapInArrow(_windows, _WINDOWS).distinct())
+    found = materialize(items.mapInArrow(lean(_windows), _WINDOWS).distinct())
     spots = found.select("window", "shingles").distinct().select("window", F.posexplode("shingles").alias("place", "shingle"))
     counts = spots.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     rarest = (spots.join(counts, "shingle").groupBy("window")
@@ -139,7 +139,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits, sizes = _bit_table(windows)
     shared = spark.sparkContext.broadcast(bits)
     sent = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    seen = materialize(sent.mapInArrow(_candidates(shared, sizes), _HITS))
+    seen = materialize(sent.mapInArrow(lean(_candidates(shared, sizes)), _HITS))
     rows = seen.where("shingle is null").select("row", "doc_id", "n_words")
     met = (seen.where("shingle is not null").drop("doc_id").join(windows, "shingle")
            .withColumn("start", F.col("at") - F.col("place"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import query, ship_package, table
+from .common import lean, query, ship_package, table
 from .textnum import U, mix
 
 THRESHOLD = 0.7
@@ -130,18 +130,40 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / (count + self.padding) + self.bias, -60, 60)))
 
 
-def _features(texts: list[str], how: Training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each text and their shares, end to end in arrays that grow by an eighth, where they lie if they can."""
-    first, ids, shares = np.zeros(len(texts) + 1, np.int64), np.empty(1 << 20, np.int32), np.empty(1 << 20, np.float32)
-    for i, text in enumerate(texts):
-        own, counts = np.unique(ngram_buckets([text], how.buckets)[0].astype(np.int32), return_counts=True)
-        first[i + 1] = first[i] + len(own)
-        while first[i + 1] > len(ids):
-            for values in (ids, shares):
-                values.resize(len(values) + len(values) // 8, refcheck=False)
-        ids[first[i]:first[i + 1]] = own
-        shares[first[i]:first[i + 1]] = counts / (counts.sum() + how.padding)
-    return first, ids, shares
+_BLOCK = 2**16
+
+
+class _Features:
+    """Buckets of each text with their counts, in arrays that grow by an eighth, where they lie if they can.
+
+    Buckets of a text rise, so the lower 16 bits and where each block of 2**16 begins say all of them: four
+    bytes an entry with its count. The driver holds the whole sample at once.
+    """
+
+    def __init__(self, texts: list[str], how: Training):
+        self.padding, blocks = how.padding, -(-how.buckets // _BLOCK)
+        self.first = np.zeros(len(texts) + 1, np.int64)
+        self.begins = np.zeros((len(texts), blocks), np.int64)
+        self.low, self.counts = np.empty(1 << 20, np.uint16), np.empty(1 << 20, np.uint16)
+        for i, text in enumerate(texts):
+            own, counts = np.unique(ngram_buckets([text], how.buckets)[0], return_counts=True)
+            start, end = self.first[i], self.first[i] + len(own)
+            while end > len(self.low):
+                for values in (self.low, self.counts):
+                    values.resize(len(values) + len(values) // 8, refcheck=False)
+            self.low[start:end] = own & (_BLOCK - 1)
+            self.counts[start:end] = np.minimum(counts, _BLOCK - 1)
+            self.begins[i] = np.searchsorted(own, np.arange(blocks) * _BLOCK)
+            self.first[i + 1] = end
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a text, and their shares of its n-grams."""
+        start, end = self.first[i], self.first[i + 1]
+        ids = self.low[start:end].astype(np.int32)
+        for begin in self.begins[i, 1:]:
+            ids[begin:] += _BLOCK
+        counts = self.counts[start:end]
+        return ids, (counts / (counts.sum(dtype=np.int64) + self.padding)).astype(np.float32)
 
 
 def fit(texts: list[str], labels: np.ndarray, how: Training) -> Model:
@@ -152,16 +174,16 @@ def fit(texts: list[str], labels: np.ndarray, how: Training) -> Model:
     vectors = np.zeros((how.buckets, how.width), np.float32)  # an n-gram that was never seen says nothing
     softmax, bias = rng.normal(0, 0.5, (how.width, 2)).astype(np.float32), np.zeros(2, np.float32)
     square_v, square_s, square_b = np.full((how.buckets, how.width), 1e-6, np.float32), np.full((how.width, 2), 1e-6), np.full(2, 1e-6)
-    first, all_ids, all_shares = _features(texts, how)
+    features = _Features(texts, how)
     for _ in range(how.epochs):
         order = rng.permutation(len(texts))
         for low in range(0, len(order), how.batch):
             part = order[low:low + how.batch]
-            sizes = first[part + 1] - first[part]
+            sizes = features.first[part + 1] - features.first[part]
             if not sizes.sum():
                 continue
-            ids = np.concatenate([all_ids[first[i]:first[i + 1]] for i in part])
-            share = np.concatenate([all_shares[first[i]:first[i + 1]] for i in part]) * how.scale
+            ids, share = map(np.concatenate, zip(*map(features.of, part)))
+            share = share * how.scale
             text = np.repeat(np.arange(len(part)), sizes)
             used, place = np.unique(ids, return_inverse=True)
             taken = vectors[used]
@@ -191,6 +213,21 @@ def held_out(doc_id=None):
     return F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")) % 3 == 1
 
 
+def _smallest_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of their ``doc_id``, or all if there are fewer.
+
+    Rows are counted, and cut at a hash below which about that many lie, so that what is put in order in one
+    place is little more than what is asked for, however many tasks the rows come from.
+    """
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    share = (most + 10 * most**0.5 + 100) / max(rows.count(), 1)
+    if share < 1:
+        least = rows.where(order[0] <= int(-2**63 + share * (2**64 - 1)))
+        if least.count() >= most:
+            rows = least
+    return rows.orderBy(*order).limit(most)
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
     """Fit on a bounded sample of ``docs (doc_id, text)`` with ``labels (doc_id, toxic)``, never on held-out ids.
 
@@ -204,14 +241,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training(
     texts_of = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
                 .where(F.col("doc_id").isNotNull() & (F.length("text") <= how.most_chars)))
     usable = materialize(known.join(texts_of.select("doc_id").distinct(), "doc_id", "left_semi"))  # two numbers a row
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    chosen = (usable.where("toxic = 1").orderBy(*order).limit(how.most_toxic)
-              .union(usable.where("toxic = 0").orderBy(*order).limit(how.most_clean)))
+    chosen = _smallest_hashes(usable.where("toxic = 1"), how.most_toxic).union(_smallest_hashes(usable.where("toxic = 0"), how.most_clean))
     # at most most_toxic + most_clean rows of two numbers
     sample = (texts_of.join(F.broadcast(chosen), "doc_id")
               .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
-    rows = sample.toPandas().sort_values("doc_id")
-    texts, toxic = rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)
+    rows = sample.toArrow().sort_by("doc_id")
+    texts, toxic = rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(np.int64)
     if len(set(toxic.tolist())) == 1 and known.select("toxic").distinct().count() == 2:
         said = f"all usable texts have label {toxic[0]}, though the labels have both"
         if known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("toxic").distinct().count() == 2:
@@ -245,7 +280,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)  # one number per bucket
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda batches: _score(batches, shared), _SCORES)
+    return rows.mapInArrow(lean(lambda batches: _score(batches, shared)), _SCORES)
 
 
 def _clean(batches, model, column):
@@ -259,7 +294,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     shared, column = spark.sparkContext.broadcast(model), docs.columns.index("text")
-    return docs.mapInArrow(lambda batches: _clean(batches, shared, column), docs.schema)
+    return docs.mapInArrow(lean(lambda batches: _clean(batches, shared, column)), docs.schema)
 
 
 @query("op4_toxicity")
