@@ -37,7 +37,7 @@ spots AS (
         FROM words_of, (SELECT DISTINCT size FROM windows) WHERE kind = 'd' AND len(w) >= size)),
 met AS (SELECT id, item, size, i FROM spots JOIN windows USING (size, text)),
 covered AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT id, unnest(range(i, i + size)) AS place FROM met) GROUP BY id),
-items AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT id, item FROM met) GROUP BY id)
+items AS (SELECT id, count(item) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT id, item FROM met) GROUP BY id)
 SELECT CAST(d.id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words_of d LEFT JOIN covered c ON c.id = d.id LEFT JOIN items i ON i.id = d.id WHERE kind = 'd'"""
