@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -59,6 +61,28 @@ def without(rows: DataFrame, on: Column, keys: DataFrame) -> DataFrame:
     return rows.join(gone, on == F.col(name), "left_anti")
 
 
+HOT_KEYS = 10_000  # a key with more than this part of all rows is a hot one: there are fewer of them
+
+
+def attach_by_key(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """All ``rows`` with the columns of ``side``, which has one row per ``key``; both are stored tables.
+
+    Rows of one key never fill a task: those of hot keys stay where they are and meet their row of ``side`` by a
+    broadcast, which holds fewer than ``HOT_KEYS`` rows whatever the data, and rows without a key meet nothing.
+    The rest is shuffled, where no key has more than that part of the rows.
+    """
+    known = rows.where(F.col(key).isNotNull())
+    hot = known.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") * HOT_KEYS > rows.count())
+    hot = F.broadcast(materialize(hot.select(key)))
+    often = known.join(hot, key, "left_semi").join(F.broadcast(side.join(hot, key, "left_semi")), key, "left")
+    seldom = known.join(hot, key, "left_anti").join(side, key, "left")
+    without_key = rows.where(F.col(key).isNull())
+    for field in side.schema:
+        if field.name != key:
+            without_key = without_key.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return often.unionByName(seldom).unionByName(without_key)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run`` for the Python workers; at the end of a task they give the memory it needed back to the machine.
 

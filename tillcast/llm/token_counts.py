@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import new_path
-from .common import query, ship_package, table
+from ..session import materialize, new_path
+from .common import attach_by_key, lean, query, ship_package, table
 
 LIMIT = 4096
 BATCH_BYTES = 4_000_000  # of text given to the tokenizer at once
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str) -> DataFrame
     before the digest as far as no count can change: a null is the empty text. Digests without a stored
     count for this version are encoded once each, whatever the number of copies, and appended; then all
     rows take their counts from the cache. Copies meet before the shuffle, so a text that fills a third
-    of the table sends one row per task. A cache that does not exist is made. A task that is run again
+    of the table sends one row per task, and its rows take their count from a broadcast of the few such texts. A cache that does not exist is made. A task that is run again
     writes the same rows; if two jobs append one digest, both rows agree and one is used.
 
     Null and empty texts have 0 bytes and the count of the empty text; a null ``doc_id`` stays null;
@@ -83,15 +83,15 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str) -> DataFrame
     ship_package(spark)
     version = tokenizer_version(model_path)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    digest = F.unhex(F.sha2(text, 256)).alias("digest")
     spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache_path)
     known = _stored(spark, cache_path, version)
-    misses = (keyed.select("digest", "text").dropDuplicates(["digest"])
+    misses = (docs.select(digest, text.alias("text")).dropDuplicates(["digest"])
               .join(known.select("digest"), "digest", "left_anti").select("digest", "text"))
-    misses.mapInArrow(_encode(model_path, version), _CACHE).write.mode("append").parquet(cache_path)
-    counts = _stored(spark, cache_path, version).select(F.col("digest").alias("_digest"), "n_tokens")
-    return (keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-            .join(counts, F.col("digest") == F.col("_digest"), "left").select("doc_id", "n_bytes", "n_tokens"))
+    misses.mapInArrow(lean(_encode(model_path, version)), _CACHE).write.mode("append").parquet(cache_path)
+    rows = materialize(docs.select("doc_id", digest, F.octet_length(text).cast("long").alias("n_bytes")))
+    counts = materialize(_stored(spark, cache_path, version))
+    return attach_by_key(rows, counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def _stored(spark, cache_path: str, version: str) -> DataFrame:
