@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import buckets, query, ship_package, table, without
+from .common import attach_by_key, buckets, lean, query, ship_package, table, without
 from .components import components
 from .textnum import SPACED, U, combine, slices, text_bytes, words
 
@@ -253,7 +253,7 @@ def ngram_sets(docs: DataFrame) -> DataFrame:
     of them a partner must be looked for under (``prefix``). Without words, or a null text: n is 0."""
     ship_package(docs.sparkSession)
     blocks = buckets(docs.sparkSession, 2)
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_send(blocks), _PARTS)
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_send(blocks)), _PARTS)
     counted = sent.groupBy("bucket").applyInArrow(_count, _PARTS)
     return counted.groupBy("batch").applyInArrow(_gather, _SETS)
 
@@ -322,14 +322,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Other columns of ``docs`` are not read.
     """
     sets, labels = jaccard_links(docs)
-    first = (sets.where("grams is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("_id")))
-    labels = labels.select(F.col("id").alias("_at"), "label")
+    first = sets.where("grams is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     # copies hang on their first; a document whose id has several texts hangs on each of them
-    named = (sets.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(first, "digest", "left")
-             .join(labels, F.col("_id") == F.col("_at"), "left"))
-    return named.select("doc_id", "n_shingles",
-                        F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("label", "_id", "doc_id"), "doc_id"))
-                        .alias("component_id"))
+    named = materialize(first.join(labels.withColumnRenamed("id", "_at"), F.col("id") == F.col("_at"), "left")
+                        .select("digest", F.coalesce("label", "id").alias("label")))
+    found = attach_by_key(sets.select("doc_id", F.col("n").alias("n_shingles"), "digest"), named, "digest")
+    return found.select("doc_id", "n_shingles",
+                        F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("label", "doc_id"), "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
