@@ -127,13 +127,23 @@ class Memory:
         self.new[key] = value
 
 
+BATCH_BYTES = 8 << 20  # of rows that go to a Python worker at once
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per application.
+    """Give this package to the Python workers, once per application, and rows to them in batches of bounded size.
 
-    Workers need not find it on their own path: the driver may have put the folder
-    on its path only after the session started.
+    Workers need not find the package on their own path: the driver may have put the folder
+    on its path only after the session started. The bound is a setting of the session, lowered to
+    ``BATCH_BYTES`` where it is higher: long texts otherwise fill batches of ten thousand rows on both
+    sides of every task. It changes no result.
     """
     context = spark.sparkContext
+    held = spark.conf.get(_BATCH_SETTING).strip().lower().removesuffix("b")
+    units = {"k": 2**10, "m": 2**20, "g": 2**30}
+    if (int(held[:-1]) * units[held[-1]] if held[-1:] in units else int(held)) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     if getattr(context, "_package_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
