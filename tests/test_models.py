@@ -329,3 +329,19 @@ def test_stored_tables_are_deleted_only_in_the_shared_folder(spark, tmp_path):
         spark.read.parquet(path).count()
     with pytest.raises(ValueError):
         delete_stored(spark, str(tmp_path))
+
+
+def test_training_rows_take_more_pieces_as_they_grow(spark, monkeypatch):
+    """A fit's tasks hold a bounded number of rows: more rows are laid out in more pieces, few in the least."""
+    monkeypatch.setattr(M, "PIECE_ROWS", 10)
+    rows = spark.range(100).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    inputs = M.Inputs(("x",), identity=("x", "y"))
+    many = M.lay_out(rows, inputs, tasks=2)
+    few = M.lay_out(rows.limit(15), inputs, tasks=2)
+    try:
+        assert many.rows.rdd.getNumPartitions() == 10
+        assert many.rows.count() == 100
+        assert few.rows.rdd.getNumPartitions() == 2
+    finally:
+        many.release()
+        few.release()
